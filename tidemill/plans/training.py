@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import feature_table as ft
-from tidemill.operators import heavy_keys, rolling
+from tidemill.operators import heavy_keys, profile, rolling
 from tidemill.operators.redelivery import latest_rows
 from tidemill.session import table
+from tidemill.sources import records
 
 PAIR = ("source_phone", "service_code")
 
@@ -37,6 +38,23 @@ def p1_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.totals(rolling.advance(state, daily, PAIR, str(last)), PAIR)
 
 
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records below the header; one without a line number is none."""
+    return table(spark, sf_dir, "raw_lines").filter(F.coalesce(F.col("line_no") != 1, F.lit(True)))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.failed_records(_body(spark, sf_dir), "line", ["line_id"]).select("line_id")
+
+
+def p2_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.failed_records(_body(spark, sf_dir), "line", ["line_id", "batch_no", "line_no"])
+
+
+def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.load_records(_body(spark, sf_dir), "line", ["line_id"])
+
+
 def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held(spark, sf_dir, "source_phone", "service_code", "partner_reference", "transaction_date",
                  "transaction_amount", "transaction_fees")
@@ -44,6 +62,19 @@ def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                             ("transaction_amount", "transaction_fees"))
 
 
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.load_profiles(table(spark, sf_dir, "staged_rows"), "load_id", records.NAMES,
+                                 table(spark, sf_dir, "schema_audit_report"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir).filter(F.size("departs") > 0).select(F.col("load_id").cast("int").alias("load_id"), "column_name")
+
+
+def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir).drop("departs", "unlisted_share", "distance", "beyond_share").withColumn("entropy", F.round("entropy", 6))
+
+
 def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held(spark, sf_dir, "source_phone", "destination_phone", "transaction_amount", "transaction_fees")
     return heavy_keys.per_key_totals(held, ("source_phone", "destination_phone"), ("transaction_amount", "transaction_fees"))
@@ -66,7 +97,75 @@ def _pivot(kind: str, value: str) -> str:
   FROM held GROUP BY ALL) ON t USING max(v) GROUP BY source_phone)"""
 
 
+_GOOD_VALUES = " AND ".join(
+    f"regexp_full_match(coalesce(v[{p + 1}], ''), '{x}')" for p, x in records.PATTERNS.items())
+_REAL_DATES = " AND ".join(
+    f"(coalesce(v[{p + 1}], '') = '' OR try_cast(concat('20', v[{p + 1}][7:8], '-', v[{p + 1}][4:5], '-', v[{p + 1}][1:2], v[{p + 1}][9:]) AS TIMESTAMP) IS NOT NULL)"
+    for p in records.DATES)
+_LOADS_SQL = f"""split AS (SELECT line_id, batch_no, line_no, line,
+    regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\\r\\n]*))*') AS quoted,
+    list_transform(regexp_extract_all(concat(line, ','), '("(?:[^"]|"")*"|[^",\\r\\n]*),', 1),
+      lambda x: CASE WHEN x[1:1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v
+  FROM raw_lines WHERE line_no IS DISTINCT FROM 1),
+checked AS (SELECT *, coalesce(quoted AND line <> '' AND len(v) BETWEEN 26 AND 30
+    AND len(list_filter(v[27:], lambda x: x <> '')) = 0 AND {_GOOD_VALUES} AND {_REAL_DATES}, FALSE) AS loads FROM split)"""
+
+
+def _loaded(p: int) -> str:
+    value = f"nullif(v[{p + 1}], '')"
+    iso = f"CAST(concat('20', v[{p + 1}][7:8], '-', v[{p + 1}][4:5], '-', v[{p + 1}][1:2], v[{p + 1}][9:]) AS TIMESTAMP)"
+    if p in records.DATES:
+        value = f"CASE WHEN v[{p + 1}] <> '' THEN {iso} + to_microseconds(CAST(coalesce(nullif(v[{p + 2}], ''), '0') AS BIGINT) // 1000) END"
+    elif p in (*records.FRACTIONS, *records.WHOLE):
+        value = f"try_cast({value} AS BIGINT)"
+    elif p in records.NUMBERS:
+        value = f"CAST({value} AS DOUBLE)"
+    return f"{value} AS {records.NAMES[p]}"
+
+
+_TYPE_SQL = " ".join(f"WHEN regexp_full_match(v, '{x[1:-2]}') THEN '{t}'" for t, x in profile.TYPE_PATTERNS.items())
+_NAMES_SQL = ", ".join(records.NAMES)
+_PROFILE_SQL = f"""cells AS (UNPIVOT (SELECT load_id, {', '.join(f"coalesce({c}, '') AS {c}" for c in records.NAMES)} FROM staged_rows)
+    ON {_NAMES_SQL} INTO NAME column_name VALUE v),
+typed AS (SELECT c.*, CASE WHEN v = '' THEN 'EMPTY' {_TYPE_SQL} ELSE 'OTHER' END AS t, r.* EXCLUDE (column_name, n_nonempty, pct_nonempty, distinct_share),
+    r.n_nonempty AS r_n, r.pct_nonempty AS r_pct, r.distinct_share AS r_distinct
+  FROM cells c JOIN schema_audit_report r USING (column_name)),
+prof AS (SELECT load_id, column_name, count(*) AS n_seen, count(*) FILTER (v <> '') AS n_nonempty,
+    100.0::DOUBLE * count(*) FILTER (v <> '') / count(*) AS pct_nonempty,
+    {', '.join(f"count(*) FILTER (t = '{t}') AS n_{t.lower()}" for t in profile.TYPES)},
+    count(DISTINCT v) FILTER (v <> '') AS n_distinct,
+    CASE WHEN count(*) FILTER (v <> '') > 0 THEN (count(DISTINCT v) FILTER (v <> ''))::DOUBLE / (count(*) FILTER (v <> '')) END AS distinct_share,
+    min(try_cast(v AS DOUBLE)) FILTER (t IN ('INT', 'FLOAT') AND median_number IS NOT NULL) AS lo,
+    quantile_cont(CASE WHEN t IN ('INT', 'FLOAT') AND median_number IS NOT NULL THEN try_cast(v AS DOUBLE) END, 0.5) AS mid,
+    max(try_cast(v AS DOUBLE)) FILTER (t IN ('INT', 'FLOAT') AND median_number IS NOT NULL) AS hi,
+    count(*) FILTER (t IN ('INT', 'FLOAT') AND (try_cast(v AS DOUBLE) < min_number OR try_cast(v AS DOUBLE) > max_number)) AS n_beyond,
+    count(*) FILTER (v <> '' AND NOT list_contains(distinct_values, v)) AS n_unlisted
+  FROM typed GROUP BY load_id, column_name),
+n AS (SELECT load_id, column_name, v, count(*) AS n FROM cells WHERE v <> '' GROUP BY ALL),
+ent AS (SELECT load_id, column_name, log2(sum(n)::DOUBLE) - sum(n * log2(n)) / sum(n) AS entropy FROM n GROUP BY ALL),
+known AS (SELECT column_name, e.key AS v, e.value / sum(e.value) OVER (PARTITION BY column_name) AS q
+  FROM (SELECT column_name, unnest(map_entries(value_counts)) AS e FROM schema_audit_report WHERE value_counts IS NOT NULL)),
+gap AS (SELECT p.load_id, p.column_name, sum(abs(coalesce(n.n, 0) / p.n_nonempty - k.q)) / 2 AS g, sum(coalesce(n.n, 0)) AS n_known
+  FROM prof p JOIN known k USING (column_name) LEFT JOIN n ON n.load_id = p.load_id AND n.column_name = p.column_name AND n.v = k.v
+  WHERE p.n_nonempty > 0 GROUP BY ALL)"""
+
 SQL = {
+    "p2_found": f"WITH {_LOADS_SQL} SELECT line_id FROM checked WHERE NOT loads",
+    "p2_loaded": f"WITH {_LOADS_SQL} SELECT line_id, {', '.join(_loaded(p) for p in range(len(records.NAMES)))} FROM checked WHERE loads",
+    "p4_found": f"""WITH {_PROFILE_SQL}
+SELECT p.load_id, p.column_name FROM prof p JOIN schema_audit_report r USING (column_name)
+  LEFT JOIN gap ON gap.load_id = p.load_id AND gap.column_name = p.column_name
+WHERE abs(p.pct_nonempty - r.pct_nonempty) > 10 + 1e-9 OR p.n_nonempty > 0 AND ({' OR '.join(
+    f"abs(100.0::DOUBLE * n_{t.lower()} / p.n_nonempty - 100.0::DOUBLE * coalesce(r.type_counts['{t}'], 0) / r.n_nonempty) > 8 + 1e-9" for t in profile.TYPES)}
+  OR r.distinct_values IS NULL AND (p.distinct_share < r.distinct_share / 2 - 1e-9 OR p.distinct_share > 2 * r.distinct_share + 1e-9)
+  OR r.distinct_values IS NOT NULL AND n_unlisted::DOUBLE / p.n_nonempty > 0.05 + 1e-9
+  OR r.value_counts IS NOT NULL AND g + (p.n_nonempty - n_known)::DOUBLE / p.n_nonempty / 2 > 0.2 + 1e-9
+  OR r.median_number IS NOT NULL AND (mid < r.median_number / 2 - 1e-9 OR mid > 2 * r.median_number + 1e-9
+    OR n_int + n_float > 0 AND n_beyond::DOUBLE / (n_int + n_float) > 0.05 + 1e-9))""",
+    "p4_profiles": f"""WITH {_PROFILE_SQL}
+SELECT load_id, column_name, n_seen, n_nonempty, pct_nonempty, {', '.join(f'n_{t.lower()}' for t in profile.TYPES)}, n_distinct,
+  distinct_share, lo AS min_number, mid AS median_number, hi AS max_number, round(entropy, 6) AS entropy
+FROM prof LEFT JOIN ent USING (load_id, column_name)""",
     "p1_totals": f"""WITH {_DAILY_SQL},
 cal AS (SELECT CAST(unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM daily),
 grid AS (SELECT p.source_phone, p.service_code, cal.day, coalesce(d.units, 0) AS units, coalesce(d.n, 0) AS n
@@ -102,4 +201,5 @@ SELECT side, key, count(*) AS n, CAST(coalesce(sum({_UNITS.format('transaction_a
   CAST(coalesce(sum({_UNITS.format('transaction_fees')}), 0) AS DOUBLE) / 100.0::DOUBLE AS total_transaction_fees FROM u GROUP BY ALL""",
 }
 
-QUERIES = {"p1_totals": p1_totals, "p1_latest": p1_latest, "p3_features": p3_features, "p6_totals": p6_totals}
+QUERIES = {f.__name__: f for f in (
+    p1_totals, p1_latest, p2_found, p2_loaded, p2_rejected, p3_features, p4_found, p4_profiles, p6_totals)}
