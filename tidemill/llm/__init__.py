@@ -1,0 +1 @@
+"""Operators for training data of language models; nothing outside imports this."""
