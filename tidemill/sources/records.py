@@ -1,9 +1,10 @@
 """Loading delimited records of which some fail to parse.
 
-Blocks of records are parsed at once on a columnar path (Arrow's CSV reader, regular
-expressions and casts over whole columns). A block that does not pass as a whole is
-halved again and again; what is left of a failing block at ``LEAF`` records is
-parsed strictly, one record at a time, which gives the reason of each failure.
+Blocks of records are parsed at once on a columnar path: one expression over the whole
+column of records, then Arrow's CSV reader and casts of whole columns. A block that
+does not pass is halved again and again; what is left of a failing block at ``LEAF``
+records is parsed strictly, one record at a time, which gives the reason of each
+failure. The parts of a block that pass are typed together.
 
 Defined cases: a NULL or empty record fails ("no record"); an empty value is missing
 and comes out as NULL; repeated records each come out; records may be of any length;
@@ -14,7 +15,7 @@ columns named by ``keep`` are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -25,7 +26,7 @@ import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 
 BLOCK = 1024
-LEAF = 4
+LEAF = 2
 
 # The layout of a record.
 NAMES = (
@@ -62,7 +63,25 @@ PATTERNS = {
 }
 
 _VALUE = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
-_RECORD = rf"^{_VALUE}(?:,{_VALUE})*\z"
+#: dd/MM/yy HH:mm:ss of the years 2000 to 2099, real dates only.
+_REAL_DATE = (
+    r"(?:(?:0[1-9]|1[0-9]|2[0-8])/(?:0[1-9]|1[0-2])/[0-9]{2}|(?:29|30)/(?:0[13-9]|1[0-2])/[0-9]{2}"
+    r"|31/(?:0[13578]|1[02])/[0-9]{2}|29/02/(?:[02468][048]|[13579][26])) (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]")
+
+
+def _record_pattern() -> str:
+    """One expression for a whole record that loads."""
+    values = []
+    for p in range(len(NAMES)):
+        if p in PATTERNS:
+            x = PATTERNS[p].replace(_DATE, _REAL_DATE)
+            values.append(rf'(?:"(?:{x})"|(?:{x}))')
+        else:
+            values.append(_VALUE)
+    return rf"^{','.join(values)}(?:,(?:\"\")?){{0,{MOST_VALUES - len(NAMES)}}}\z"
+
+
+_RECORD = _record_pattern()
 _STRICT_VALUE = re.compile(r'"((?:[^"]|"")*)"|([^",\r\n]*)')
 _STRICT = {p: re.compile(x) for p, x in PATTERNS.items()}
 
@@ -120,25 +139,27 @@ def _iso(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(col, ""), pa.scalar(None, pa.string()), text).cast(pa.timestamp("us"))
 
 
-def _strings(block: pa.Array) -> list[pa.Array] | None:
-    """The columns of a block of records as strings; None if a record is malformed."""
-    if block.null_count or not pc.all(pc.match_substring_regex(block, _RECORD)).as_py():
-        return None
-    outside = pc.replace_substring_regex(block, r'"[^"]*"', "") if pc.any(pc.match_substring(block, '"')).as_py() else block
+def block_loads(block: pa.Array) -> bool:
+    """Whether every record of a block loads."""
+    return not block.null_count and pc.all(pc.match_substring_regex(block, _RECORD)).as_py()
+
+
+def _strings(block: pa.Array) -> list[pa.Array]:
+    """The columns, as strings, of records that load."""
+    quoted = pc.any(pc.match_substring(block, '"')).as_py()
+    outside = pc.replace_substring_regex(block, r'"[^"]*"', "") if quoted else block
     commas = pc.count_substring(outside, ",")
-    span = pc.min_max(commas).as_py()
-    if span["min"] < len(NAMES) - 1 or span["max"] > MOST_VALUES - 1:
-        return None
     pads = pa.array(["," * i for i in range(MOST_VALUES)])
     padded = pc.binary_join_element_wise(block, pads.take(pc.subtract(MOST_VALUES - 1, commas)), "")
-    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(padded)], pa.int32()), padded), "\n")[0].as_py()
+    text = "\n".join([*padded.to_pylist(), ""]).encode()
     names = [str(i) for i in range(MOST_VALUES)]
     read = pcsv.read_csv(
-        pa.py_buffer((text + "\n").encode()),
-        read_options=pcsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, 8 * len(text) + 64)),
+        pa.py_buffer(text),
+        read_options=pcsv.ReadOptions(column_names=names, use_threads=False, block_size=len(text) + 64),
         parse_options=pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
         convert_options=pcsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False))
-    return [c.combine_chunks() for c in read.columns] if read.num_rows == len(block) else None
+    assert read.num_rows == len(block)
+    return [c.combine_chunks() for c in read.columns]
 
 
 def _missing(col: pa.Array) -> pa.Array:
@@ -172,44 +193,33 @@ def _typed(cols: Sequence[pa.Array]) -> list[pa.Array]:
     return out
 
 
-def parse_block(block: pa.Array) -> list[pa.Array] | None:
-    """The typed columns of a block all of whose records load, else None."""
-    cols = _strings(block)
-    if cols is None:
-        return None
-    for p in range(len(NAMES), MOST_VALUES):
-        if pc.any(pc.not_equal(cols[p], "")).as_py():
-            return None
-    for p, pattern in PATTERNS.items():
-        if not pc.all(pc.match_substring_regex(cols[p], rf"^(?:{pattern})\z")).as_py():
-            return None
-    try:
-        return _typed(cols)
-    except pa.ArrowInvalid:
-        return None
-
-
-def bisect(block: pa.Array, bulk: Callable[[pa.Array], list[pa.Array] | None] = parse_block) -> Iterator[tuple[int, int, list[pa.Array] | None, list[str] | None]]:
-    """(begin, end, typed columns, None) of parts that load, (.., None, reasons) of the rest, in order."""
+def bisect(block: pa.Array) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """(positions of the records that load, [(position, reason)] of those that fail), in order."""
+    good, bad = [], []
     todo = [(0, len(block))]
     while todo:
         a, b = todo.pop()
         if a == b:
             continue
-        if b - a > LEAF:
-            if (cols := bulk(block.slice(a, b - a))) is not None:
-                yield a, b, cols, None
-            else:
-                mid = (a + b) // 2
-                todo += [(mid, b), (a, mid)]
-            continue
-        for i in range(a, b):
-            try:
-                values = parse_strictly(block[i].as_py())
-            except Failure as f:
-                yield i, i + 1, None, [f.reason]
-            else:
-                yield i, i + 1, _typed([pa.array([v]) for v in values]), None
+        if block_loads(block.slice(a, b - a)):
+            good.append(np.arange(a, b))
+        elif b - a > LEAF:
+            mid = (a + b) // 2
+            todo += [(mid, b), (a, mid)]
+        else:
+            for i in range(a, b):
+                try:
+                    parse_strictly(block[i].as_py())
+                except Failure as f:
+                    bad.append((i, f.reason))
+                else:
+                    good.append(np.array([i]))
+    return np.concatenate(good) if good else np.zeros(0, dtype=np.int64), bad
+
+
+def parse_block(block: pa.Array) -> list[pa.Array]:
+    """The typed columns of records that load."""
+    return _typed(_strings(block))
 
 
 _ARROW = {**dict.fromkeys(DATES, pa.timestamp("us")), **dict.fromkeys((*FRACTIONS, *WHOLE), pa.int64()), **dict.fromkeys(NUMBERS, pa.float64())}
@@ -222,24 +232,20 @@ def _loader(record: str, keep: Sequence[str], block: int, want: str):
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lines = batch.column(record)
-        loaded, rows, bad, reasons = [[] for _ in NAMES], [], [], []
-        for at in range(0, len(lines), block):
-            for a, b, cols, why in bisect(lines.slice(at, block)):
-                if cols is None:
-                    bad.append(at + a)
-                    reasons += why
-                else:
-                    rows.append(np.arange(at + a, at + b))
-                    for held, col in zip(loaded, cols):
-                        held.append(col)
         kept = [batch.column(k) for k in keep]
-        if rows and want != "failed":
-            i = pa.array(np.concatenate(rows))
-            typed = [pa.concat_arrays(c) for c in loaded]
-            yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], *typed], schema=pa.schema(
-                [*[pa.field(n, k.type) for n, k in zip(keep, kept)], *fields]))
-        if bad and want == "failed":
-            i = pa.array(bad, pa.int64())
+        at, reasons = [], []
+        for begin in range(0, len(lines), block):
+            part = lines.slice(begin, block)
+            good, bad = bisect(part)
+            if want == "failed":
+                at += [begin + i for i, _ in bad]
+                reasons += [r for _, r in bad]
+            elif len(good):
+                i = pa.array(begin + good)
+                yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], *parse_block(part.take(pa.array(good)))], schema=pa.schema(
+                    [*[pa.field(n, k.type) for n, k in zip(keep, kept)], *fields]))
+        if at:
+            i = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], lines.take(i), pa.array(reasons)], [*keep, record, "reason"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
