@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import nearest_time as nt
-from tidemill.llm import packing, tokenize
+from tidemill.llm import packing, spam, tokenize
 from tidemill.operators.redelivery import latest_rows
 from tidemill.session import table
 
@@ -61,6 +61,10 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_summary(p8_containers(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def _ns(prefix: str) -> str:
     d = f"{prefix}__date_part"
     return (f"epoch_us(CASE WHEN regexp_full_match({d}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN "
@@ -79,7 +83,7 @@ near AS (SELECT leg_id, transaction_code, tx.ns - legs.ns AS gap_ns,
     row_number() OVER (PARTITION BY leg_id ORDER BY abs(tx.ns - legs.ns), tx.ns, transaction_code) AS rn
   FROM legs JOIN tx ON tx.entity = legs.entity AND tx.ns BETWEEN legs.ns - {TOLERANCE_NS} AND legs.ns + {TOLERANCE_NS})"""
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_legs, p7_ids, p8_containers, p8_summary)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_legs, p7_ids, p8_containers, p8_summary, p9_found)}
 SQL = {
     "p5_found": f"{_PAIRS_SQL} SELECT leg_id, transaction_code FROM near WHERE rn = 1",
     "p5_legs": f"{_PAIRS_SQL} SELECT l.leg_id, transaction_code, gap_ns FROM (SELECT DISTINCT leg_id FROM ledger_legs) l LEFT JOIN (SELECT * FROM near WHERE rn = 1) USING (leg_id)",
