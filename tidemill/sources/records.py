@@ -139,9 +139,10 @@ def _iso(col: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(col, ""), pa.scalar(None, pa.string()), text).cast(pa.timestamp("us"))
 
 
-def block_loads(block: pa.Array) -> bool:
-    """Whether every record of a block loads."""
-    return not block.null_count and pc.all(pc.match_substring_regex(block, _RECORD)).as_py()
+def _blocks_load(records: pa.Array, starts: np.ndarray) -> np.ndarray:
+    """Of adjacent blocks of records, whether every record of each loads: one pass over them all."""
+    fits = pc.fill_null(pc.match_substring_regex(records, _RECORD), False).to_numpy(zero_copy_only=False)
+    return np.logical_and.reduceat(fits, starts)
 
 
 def _strings(block: pa.Array) -> list[pa.Array]:
@@ -193,28 +194,34 @@ def _typed(cols: Sequence[pa.Array]) -> list[pa.Array]:
     return out
 
 
-def bisect(block: pa.Array) -> tuple[np.ndarray, list[tuple[int, str]]]:
-    """(positions of the records that load, [(position, reason)] of those that fail), in order."""
+def bisect(records: pa.Array, block: int = BLOCK) -> tuple[np.ndarray, list[tuple[int, str]]]:
+    """(positions of the records that load, [(position, reason)] of those that fail), in order.
+
+    All blocks of one length are parsed together: those that fail are halved and parsed
+    again with the others of the next length, so starting the parser costs little.
+    """
     good, bad = [], []
-    todo = [(0, len(block))]
-    while todo:
-        a, b = todo.pop()
-        if a == b:
-            continue
-        if block_loads(block.slice(a, b - a)):
-            good.append(np.arange(a, b))
-        elif b - a > LEAF:
-            mid = (a + b) // 2
-            todo += [(mid, b), (a, mid)]
-        else:
-            for i in range(a, b):
-                try:
-                    parse_strictly(block[i].as_py())
-                except Failure as f:
-                    bad.append((i, f.reason))
-                else:
-                    good.append(np.array([i]))
-    return np.concatenate(good) if good else np.zeros(0, dtype=np.int64), bad
+    begin = np.arange(0, len(records), block)
+    end = np.minimum(begin + block, len(records))
+    while len(begin):
+        length = end - begin
+        starts = np.cumsum(length) - length
+        at = np.arange(length.sum()) + np.repeat(begin - starts, length)
+        loads = _blocks_load(records.take(pa.array(at)), starts)
+        good.append(at[np.repeat(loads, length)])
+        begin, end = begin[~loads], end[~loads]
+        for i in at[np.repeat(~loads & (length <= LEAF), length)].tolist():
+            try:
+                parse_strictly(records[i].as_py())
+            except Failure as f:
+                bad.append((i, f.reason))
+            else:
+                good.append(np.array([i]))
+        large = end - begin > LEAF
+        begin, end = begin[large], end[large]
+        middle = (begin + end) // 2
+        begin, end = np.stack([begin, middle], 1).ravel(), np.stack([middle, end], 1).ravel()
+    return np.sort(np.concatenate(good)) if good else np.zeros(0, dtype=np.int64), sorted(bad)
 
 
 def parse_block(block: pa.Array) -> list[pa.Array]:
@@ -233,20 +240,15 @@ def _loader(record: str, keep: Sequence[str], block: int, want: str):
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lines = batch.column(record)
         kept = [batch.column(k) for k in keep]
-        at, reasons = [], []
-        for begin in range(0, len(lines), block):
-            part = lines.slice(begin, block)
-            good, bad = bisect(part)
-            if want == "failed":
-                at += [begin + i for i, _ in bad]
-                reasons += [r for _, r in bad]
-            elif len(good):
-                i = pa.array(begin + good)
-                yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], *parse_block(part.take(pa.array(good)))], schema=pa.schema(
-                    [*[pa.field(n, k.type) for n, k in zip(keep, kept)], *fields]))
-        if at:
-            i = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], lines.take(i), pa.array(reasons)], [*keep, record, "reason"])
+        good, bad = bisect(lines, block)
+        if want == "failed" and bad:
+            i = pa.array([i for i, _ in bad], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[k.take(i) for k in kept], lines.take(i), pa.array([r for _, r in bad])], [*keep, record, "reason"])
+        elif want == "loaded" and len(good):
+            i = pa.array(good)
+            yield pa.RecordBatch.from_arrays([*[k.take(i) for k in kept], *parse_block(lines.take(i))], schema=pa.schema(
+                [*[pa.field(n, k.type) for n, k in zip(keep, kept)], *fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
