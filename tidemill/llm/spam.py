@@ -70,13 +70,14 @@ for _lang, _words in FUNCTION_WORDS.items():
 _URL = re.compile(r"https?://[^\s<>\[\]|\"{}]+")
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_WORD = re.compile(r"[^\W\d_](?:[\w@+$]*\w)?|[@+$\d]\w*[^\W\d_]\w*")
+_RUN = re.compile(r"[\w@+$]++")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
 _UNIT = re.compile(
     r"(?<=[.!?؟])(?=\s)|(?<=。)|(?=<ref)|(?<=</ref>)|(?<=/>)|(?=<!--)|(?<=-->)"
     r"|(?=<(?:div|span|poem|noinclude|includeonly))|(?<=</div>)|(?<=</span>)")
-_END = re.compile(r"[.!?؟。][\s\"'»”)\]}>]*(?:</\w+>|-->|\s)*\Z")
+_END = re.compile(r"[.!?؟。](?:[\s\"'»”)\]}>]|</\w{1,20}>|-->)*+\Z")
+_TAIL = 80  # characters at the end of a unit that may follow its full stop
 _STRUCTURE = re.compile(
     r"\{\{[^,\n]{0,80}|\}\}.{0,3}|\{\|.*|\|\}|\|-.*|\|\+.*|!.*"                       # templates, tables
     r"|\|\s*[^\W\d]+\s*=\s*[^,|\n]{0,40}|\|\s*\w+\s*=\s*(?:\{\{\{.*|[\d.,\s]*)"      # parameters
@@ -93,10 +94,15 @@ LONGEST_REPEATED = 11  # words of a sentence that is nothing but a repeated phra
 _WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]")
 
 
+def _words_of(text: str) -> list[str]:
+    """The words of a text: runs of letters, digits and what stands for letters, but no numbers."""
+    return [w for w in _RUN.findall(text) if not w.isdigit() and w.strip("@+$_0123456789")]
+
+
 def _function_words(words) -> int:
     """How many words are function words; in Arabic, those that carry the article count."""
     return sum(map(_BY_WORD.__contains__, words)) + sum(
-        w[0] > "\u05ff" and w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words)
+        "\u0600" <= w[0] <= "\u06ff" and w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words)
 
 
 def _unit_facts(unit: str) -> tuple:
@@ -109,16 +115,16 @@ def _unit_facts(unit: str) -> tuple:
     body = _URL.sub(" ", unit) if urls else unit
     if "<" in body:
         body = _TAG.sub(" ", body)
-    words = tuple(map(intern, _WORD.findall(_INVISIBLE.sub("", body.lower()))))
+    words = tuple(map(intern, _words_of(_INVISIBLE.sub("", body.lower()))))
     n = len(words)
     function = _function_words(words)
     told, tied = n, function  # outside links, where names are
     if "[[" in body:
-        plain = _WORD.findall(_WIKILINK.sub(" ", body.lower()))
+        plain = _words_of(_WIKILINK.sub(" ", body.lower()))
         if len(plain) >= 4:
             told, tied = len(plain), _function_words(plain)
     cjk = len(_CJK.findall(body))
-    ended = bool(_END.search(unit))
+    ended = bool(_END.search(unit.rstrip()[-_TAIL:]))
     if cjk >= 4 and cjk >= 0.4 * sum(map(len, words)):
         prose = cjk >= 6 and len(_HIRAGANA.findall(body)) >= 0.2 * cjk
         function = n if prose else 0
@@ -143,11 +149,11 @@ def _unit_facts(unit: str) -> tuple:
     elif s.startswith("|") and "||" in s:
         cells = [c.strip() for c in s.strip("|").split("||")]
         kind = "structure" if 2 * sum(c[:1].isdigit() for c in cells) >= len(cells) else "bare"
-    elif "{{" in s and len(_WORD.findall(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
+    elif "{{" in s and len(_words_of(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
         kind = "structure"
     said = ()
     if kind == "thin" and n <= LONGEST_REPEATED:
-        plain = tuple(map(intern, _WORD.findall(_INVISIBLE.sub("", _WIKILINK.sub(" ", body.lower())))))
+        plain = tuple(map(intern, _words_of(_INVISIBLE.sub("", _WIKILINK.sub(" ", body.lower())))))
         said = tuple(p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD)
     return len(unit), words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
 

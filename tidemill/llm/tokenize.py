@@ -29,6 +29,7 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 MOST_VOCABULARY_BYTES = 64 << 20  # of a vocabulary file, which every worker gets
 WORD_CACHE = 400_000  # words
 LINE_CACHE_CHARS = 12_000_000
+LONGEST_KEPT_WORD, LONGEST_KEPT_LINE = 256, 100_000  # characters; longer ones are encoded each time
 OUT_IDS = 2_000_000  # ids in a batch of results
 _NEVER = 1 << 40
 
@@ -138,9 +139,10 @@ class Encoder:
         found = self._words.get(word)
         if found is None:
             found = np.array(self.encode_word(word.encode()), dtype=np.int32).tobytes()
-            if len(self._words) >= WORD_CACHE:
-                self._words.clear()
-            self._words[word] = found
+            if len(word) <= LONGEST_KEPT_WORD:
+                if len(self._words) >= WORD_CACHE:
+                    self._words.clear()
+                self._words[word] = found
         return found
 
     def _line(self, line: str) -> bytes:
@@ -164,11 +166,12 @@ class Encoder:
             found = self._lines.get(held)
             if found is None:
                 found = self._line(held)
-                self._line_chars += len(held)
-                if self._line_chars > LINE_CACHE_CHARS:
-                    self._lines.clear()
-                    self._line_chars = len(held)
-                self._lines[held] = found
+                if len(held) <= LONGEST_KEPT_LINE:
+                    self._line_chars += len(held)
+                    if self._line_chars > LINE_CACHE_CHARS:
+                        self._lines.clear()
+                        self._line_chars = len(held)
+                    self._lines[held] = found
             out.append(found)
             held = f"\n{line}"
         return b"".join(out)
