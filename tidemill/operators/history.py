@@ -3,7 +3,8 @@
 The rows of a key are cut by day (or by stretches of time), so a key that holds a
 third of the table is many groups; what earlier days add is carried by a small table
 of totals per key and day. Ties of time are ordered by a second column, which
-should be unique within them. NULL keys are one key.
+should be unique within them. NULL keys are one key. A row without a time comes out
+with values of nothing (sums 0, others NULL) and counts for no other row.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from tidemill.functions.exprs import key, micros
 from tidemill.operators.arrow_groups import changes
 
 DAY_US = 86_400_000_000
+_NO_DAY = -(1 << 40)
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,9 @@ def before(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Mapp
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     names = list(values)
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": micros(ts)} | {f"__v_{n}": v.of for n, v in values.items()})
-    keyed = keyed.withColumn("__day", F.floor(F.col("__us") / DAY_US))
+    us = micros(ts)
+    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": us} | {f"__v_{n}": F.when(us.isNotNull(), v.of) for n, v in values.items()})
+    keyed = keyed.withColumn("__day", F.coalesce(F.floor(F.col("__us") / DAY_US), F.lit(_NO_DAY)))
     inside = Window.partitionBy(*ks, "__day")
     if strictly_earlier:
         inside = inside.orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
@@ -86,16 +89,17 @@ def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Col
     keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": micros(ts), "__u": units})
     own = F.floor(F.col("__us") / stretch)
     places = F.when(F.col("__us") - own * stretch > stretch - widest, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = keyed.withColumn("__own", own).withColumn("__s", F.explode(places))
+    spread = keyed.withColumn("__own", own).withColumn("__s", F.explode_outer(places))
     at = Window.partitionBy(*ks, "__s").orderBy("__us")
     later = Window.partitionBy(*ks, "__s", "__us").orderBy(tie).rowsBetween(1, Window.unboundedFollowing)
     out = spread.withColumns({"__ln": F.count(F.lit(1)).over(later), "__lu": F.coalesce(F.sum("__u").over(later), F.lit(0))})
+    timed = F.col("__us").isNotNull()
     made = {}
     for w, us in windows.items():
         frame = at.rangeBetween(-(us - 1), 0)
-        made[f"n_{w}"] = F.count(F.lit(1)).over(frame) - F.col("__ln")
-        made[f"units_{w}"] = F.coalesce(F.sum("__u").over(frame), F.lit(0)) - F.col("__lu")
-    return out.withColumns(made).filter("__s = __own").select(*rows.columns, *made)
+        made[f"n_{w}"] = F.when(timed, F.count(F.lit(1)).over(frame) - F.col("__ln")).otherwise(0)
+        made[f"units_{w}"] = F.when(timed, F.coalesce(F.sum("__u").over(frame), F.lit(0)) - F.col("__lu")).otherwise(0)
+    return out.withColumns(made).filter("__s <=> __own").select(*rows.columns, *made)
 
 
 def _medians(keys: Sequence[str], value: str, name: str):
