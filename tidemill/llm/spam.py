@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from sys import intern
 
 import numpy as np
@@ -73,9 +74,10 @@ _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _RUN = re.compile(r"[\w@+$]++")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
-_UNIT = re.compile(
-    r"(?<=[.!?؟])(?=\s)|(?<=。)|(?=<ref)|(?<=</ref>)|(?<=/>)|(?=<!--)|(?<=-->)"
-    r"|(?=<(?:div|span|poem|noinclude|includeonly))|(?<=</div>)|(?<=</span>)")
+_BORDER = re.compile(r"[.!?؟。<>]")
+_OPENS = ("<ref", "</ref", "<!--", "<div", "<span", "<poem", "<noinclude", "<includeonly")
+_CLOSES = ("</ref>", "/>", "-->", "</div>", "</span>")
+_ARABIC = re.compile("[\u0600-\u06ff]")
 _END = re.compile(r"[.!?؟。](?:[\s\"'»”)\]}>]|</\w{1,20}>|-->)*+\Z")
 _TAIL = 80  # characters at the end of a unit that may follow its full stop
 _STRUCTURE = re.compile(
@@ -96,13 +98,31 @@ _WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]")
 
 def _words_of(text: str) -> list[str]:
     """The words of a text: runs of letters, digits and what stands for letters, but no numbers."""
-    return [w for w in _RUN.findall(text) if not w.isdigit() and w.strip("@+$_0123456789")]
+    return [w for w in _RUN.findall(text) if w[0].isalpha() or w.strip("@+$_0123456789")]
 
 
-def _function_words(words) -> int:
+def _function_words(words, arabic: bool) -> int:
     """How many words are function words; in Arabic, those that carry the article count."""
-    return sum(map(_BY_WORD.__contains__, words)) + sum(
-        "\u0600" <= w[0] <= "\u06ff" and w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words)
+    n = sum(map(_BY_WORD.__contains__, words))
+    return n + sum(w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words) if arabic else n
+
+
+def _units_of(line: str) -> list[str]:
+    """A line cut after sentences and around markup that encloses text."""
+    cuts, size = [0], len(line)
+    for m in _BORDER.finditer(line):
+        at, c = m.start(), m[0]
+        if c == "<":
+            if at and line.startswith(_OPENS, at):
+                cuts.append(at)
+        elif c == ">":
+            if line.endswith(_CLOSES, 0, at + 1):
+                cuts.append(at + 1)
+        elif c == "。" or at + 1 < size and line[at + 1].isspace():
+            cuts.append(at + 1)
+    if cuts[-1] != size:
+        cuts.append(size)
+    return [line[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def _unit_facts(unit: str) -> tuple:
@@ -115,18 +135,24 @@ def _unit_facts(unit: str) -> tuple:
     body = _URL.sub(" ", unit) if urls else unit
     if "<" in body:
         body = _TAG.sub(" ", body)
-    words = tuple(map(intern, _words_of(_INVISIBLE.sub("", body.lower()))))
+    low = body.lower()
+    plain_ascii = low.isascii()
+    arabic = not plain_ascii and bool(_ARABIC.search(low))
+    if not plain_ascii:
+        low = _INVISIBLE.sub("", low)
+    words = tuple(map(intern, _words_of(low)))
     n = len(words)
-    function = _function_words(words)
+    function = _function_words(words, arabic)
     told, tied = n, function  # outside links, where names are
-    if "[[" in body:
-        plain = _words_of(_WIKILINK.sub(" ", body.lower()))
+    plain = words
+    if "[[" in low:
+        plain = _words_of(_WIKILINK.sub(" ", low))
         if len(plain) >= 4:
-            told, tied = len(plain), _function_words(plain)
-    cjk = len(_CJK.findall(body))
+            told, tied = len(plain), _function_words(plain, arabic)
+    cjk = 0 if plain_ascii else len(_CJK.findall(low))
     ended = bool(_END.search(unit.rstrip()[-_TAIL:]))
     if cjk >= 4 and cjk >= 0.4 * sum(map(len, words)):
-        prose = cjk >= 6 and len(_HIRAGANA.findall(body)) >= 0.2 * cjk
+        prose = cjk >= 6 and len(_HIRAGANA.findall(low)) >= 0.2 * cjk
         function = n if prose else 0
     elif ended:
         prose = told >= 4 and (4 * tied >= told or told >= 8 and 5 * tied >= told)
@@ -153,7 +179,6 @@ def _unit_facts(unit: str) -> tuple:
         kind = "structure"
     said = ()
     if kind == "thin" and n <= LONGEST_REPEATED:
-        plain = tuple(map(intern, _words_of(_INVISIBLE.sub("", _WIKILINK.sub(" ", body.lower())))))
         said = tuple(p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD)
     return len(unit), words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
 
@@ -167,7 +192,7 @@ def _line(line: str) -> tuple:
     if found is None:
         if len(_lines) >= LINE_CACHE:
             _lines.clear()
-        found = _lines[line] = tuple(_unit_facts(u) for u in _UNIT.split(line) if u)
+        found = _lines[line] = tuple(map(_unit_facts, _units_of(line)))
     return found
 
 
@@ -210,18 +235,17 @@ def measure(text: str | None, label: str | None = None) -> tuple[str, float, flo
             bare += linked
         if "</poem" in raw:
             song = False
-    seen: Counter = Counter()
-    for u in units:
-        seen.update(u[1])
-    n = sum(seen.values())
+    words = [*chain.from_iterable(u[1] for u in units)]
+    seen = Counter(words)
+    n = len(words)
     entropy = repeated = function = 0.0
     votes = Counter({"ja": sum(u[7] for u in units) // 3})
     if n:
         for w, c in seen.items():
             for x in _BY_WORD.get(w, ()):
                 votes[x] += c
-        phrases = Counter(p for u in units for p in zip(u[1], u[1][1:], u[1][2:]))
-        repeated = sum(c for c in phrases.values() if c >= 4) / max(1, sum(phrases.values()))
+        phrases = Counter(zip(words, words[1:], words[2:]))
+        repeated = sum(c for c in phrases.values() if c >= 4) / max(1, n - 2)
         function = sum(u[3] for u in units) / n
         entropy = 1.0 if n == 1 else (math.log2(n) - sum(c * math.log2(c) for c in seen.values() if c > 1) / n) / math.log2(n)
     links = sum(u[5] + 4 * u[6] for u in units) + 4 * text.count("[[")
