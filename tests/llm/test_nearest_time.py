@@ -58,7 +58,7 @@ def test_empty(spark):
 
 
 def test_names_and_times(spark):
-    df = spark.createDataFrame([(" Tel 1\t2 ", "01/01/70 00:00:01", 5), ("  ", "31/02/21 00:00:00", None), (None, "1/1/21 00:00:00", 1), ("x", "01/01/70 00:00:00", None)],
+    df = spark.createDataFrame([(" Tel 1\t2 ", "01/01/00 00:00:01", 5), ("  ", "31/02/21 00:00:00", None), (None, "1/1/21 00:00:00", 1), ("x", "01/01/00 00:00:00", None)],
                                "p string, d string, f bigint")
     r = df.select(nt.plain_entity("p").alias("e"), nt.instant_ns("d", "f").alias("t")).collect()
-    assert [x.e for x in r] == ["tel12", None, None, "x"] and [x.t for x in r] == [10**9 + 5, None, None, 0]
+    assert [x.e for x in r] == ["tel12", None, None, "x"] and [x.t for x in r] == [946_684_801 * 10**9 + 5, None, None, 946_684_800 * 10**9]

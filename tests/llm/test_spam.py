@@ -17,7 +17,7 @@ SPAM = {
     "sentences": " ".join(f"Buy {p} red lamp! {p} red lamp online. red lamp near {p}." for p in "Oslo Rome Paris Lima Quito Accra Baku Bern".split() * 3),
     "links": "\n".join(f"* [http://shop{i}.example/p/{i} cheap lamp]" for i in range(40)),
     "urls": " ".join(f"https://shop{i}.example/a?id={i}" for i in range(40)),
-    "tags": "\n".join(f"#CheapLamp{i}" for i in "abcdefghijklmnopqrst"),
+    "tags": "\n".join(f"#CheapLamp{i}{j}" for i in "abcdefghijklmnopqrst" for j in "xyz"),
     "products": "\n".join(f"* LAMPO lamp – SKU {10000 + i} – {i}.99 €" for i in range(40)),
     "hidden": '<div style="display:none">' + "casino loan cheap bonus " * 40 + "</div>",
     "parameters": "{{Infobox company\n" + "\n".join(f"| keyword{i} = cheap lamp, lamp outlet, best lamp" for i in range(30)) + "\n}}",
@@ -54,7 +54,7 @@ def test_other_pages_are_not(kind):
 
 
 def test_less_than_half_is_no_spam():
-    text = "\n\n".join([PROSE["en"]] * 12) + "\n\n" + SPAM["tags"]
+    text = "\n\n".join([PROSE["en"]] * 20) + "\n\n" + SPAM["tags"]
     assert 0 < spam.measure(text)[1] < 0.5
 
 
