@@ -67,11 +67,15 @@ def before(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Mapp
 
 
 def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str, counts: Column | None = None) -> DataFrame:
-    """``name``: no row of the same keys came before. The first row is found by aggregation, not in a window."""
+    """``name``: no row of the same keys came before; False for a row without a time.
+
+    The first row is found by aggregation, not in a window.
+    """
     ks = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__at": F.struct(micros(ts).alias("us"), F.col(tie).alias("tie"))})
+    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__at": F.when(
+        F.col(ts).isNotNull(), F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")))})
     first = keyed.groupBy(*ks).agg(F.min("__at").alias("__first"))
-    is_first = F.col("__at") == F.col("__first")
+    is_first = F.coalesce(F.col("__at") == F.col("__first"), F.lit(False))
     if counts is not None:
         is_first = is_first & counts
     return keyed.join(first, ks).withColumn(name, is_first).select(*rows.columns, name)
