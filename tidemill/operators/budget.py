@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.exprs import key, label, level, micros, pdiv
-from tidemill.operators.history import Carried, before
+from tidemill.functions.exprs import label, level, micros, pdiv
 from tidemill.operators.redelivery import fixed_point
 
 LEVELS = (0.5, 0.8, 0.95, 1.0)
@@ -31,10 +30,9 @@ def ratio_to_limit(rows: DataFrame, dims: DataFrame, code: str, amount: str, lim
 
 def running_day_total(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, amount: str, counts: Column, name: str, decimals: int = 2) -> DataFrame:
     """``name``: the running total of the keys' amounts on the day, this row included; rows not counted add 0."""
-    day = rows.withColumn("__d", F.to_date(ts))
     units = F.when(counts, F.coalesce(fixed_point(amount, decimals), F.lit(0))).otherwise(0)
-    out = before(day, [*keys, "__d"], ts, tie, {"__run": Carried(units)}, including=True)
-    return out.withColumn(name, F.col("__run") / float(10**decimals)).select(*rows.columns, name)
+    day = Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum(units).over(day) / float(10**decimals))
 
 
 def consumption(rows: DataFrame, dims: DataFrame, entity: str, code: str, ts: str, amount: str, limit: str, per_month: float = 30, decimals: int = 2) -> DataFrame:
@@ -97,6 +95,3 @@ def phone_activity(rows: DataFrame, source: str, target: str, ts: str, amount: s
     return out.withColumn("tenure_days", days).withColumn(
         "received_to_sent", F.when(F.col("total_sent") != 0, F.col("total_received") / F.col("total_sent")))
 
-
-__all__ = ["LEVELS", "LEVEL_NAMES", "alert_history", "alerts", "consumption", "key", "latest_per_key", "limits",
-           "phone_activity", "ratio_to_limit", "running_day_total"]

@@ -42,39 +42,50 @@ class Carried:
 
 
 def before(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Mapping[str, Carried],
-           strictly_earlier: bool = False, including: bool = False) -> DataFrame:
+           strictly_earlier: bool = False, including: bool = False, base: DataFrame | None = None) -> DataFrame:
     """The rows with each value over the rows of the same keys that came before.
 
     Before means an earlier (time, tie); with ``strictly_earlier`` an earlier time, ties
-    excluded; with ``including`` the row itself counts too. Sums of nothing are 0.
+    excluded; with ``including`` the row itself counts too. Sums of nothing are 0. ``base``
+    gives the totals of days if they come cheaper from it than from ``rows``: a table of the
+    same rows without what was added to them.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     names = list(values)
     us = micros(ts)
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": us} | {f"__v_{n}": F.when(us.isNotNull(), v.of) for n, v in values.items()})
-    keyed = keyed.withColumn("__day", F.coalesce(F.floor(F.col("__us") / DAY_US), F.lit(_NO_DAY)))
+
+    def key_rows(df: DataFrame) -> DataFrame:
+        keyed = df.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": us} | {f"__v_{n}": F.when(us.isNotNull(), v.of) for n, v in values.items()})
+        return keyed.withColumn("__day", F.coalesce(F.floor(F.col("__us") / DAY_US), F.lit(_NO_DAY)))
+
+    keyed = key_rows(rows)
     inside = Window.partitionBy(*ks, "__day")
     if strictly_earlier:
         inside = inside.orderBy("__us").rangeBetween(Window.unboundedPreceding, -1)
     else:
         inside = inside.orderBy("__us", tie).rowsBetween(Window.unboundedPreceding, 0 if including else -1)
     own = keyed.withColumns({f"__i_{n}": v.over(F.col(f"__v_{n}")).over(inside) for n, v in values.items()})
-    totals = keyed.groupBy(*ks, "__day").agg(*[v.over(F.col(f"__v_{n}")).alias(f"__t_{n}") for n, v in values.items()])
+    totals = key_rows(rows if base is None else base).groupBy(*ks, "__day").agg(*[v.over(F.col(f"__v_{n}")).alias(f"__t_{n}") for n, v in values.items()])
     days = Window.partitionBy(*ks).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     earlier = totals.select(*ks, "__day", *[v.over(F.col(f"__t_{n}")).over(days).alias(f"__e_{n}") for n, v in values.items()])
     joined = own.join(earlier, [*ks, "__day"])
     return joined.select(*[F.col(c) for c in rows.columns], *[values[n].join(F.col(f"__e_{n}"), F.col(f"__i_{n}")).alias(n) for n in names])
 
 
-def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str, counts: Column | None = None) -> DataFrame:
+def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str, counts: Column | None = None,
+                     base: DataFrame | None = None) -> DataFrame:
     """``name``: no row of the same keys came before; False for a row without a time.
 
-    The first row is found by aggregation, not in a window.
+    The first row is found by aggregation, not in a window; ``base`` as in ``before``.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__at": F.when(
-        F.col(ts).isNotNull(), F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")))})
-    first = keyed.groupBy(*ks).agg(F.min("__at").alias("__first"))
+
+    def key_rows(df: DataFrame) -> DataFrame:
+        return df.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__at": F.when(
+            F.col(ts).isNotNull(), F.struct(micros(ts).alias("us"), F.col(tie).alias("tie")))})
+
+    keyed = key_rows(rows)
+    first = key_rows(rows if base is None else base).groupBy(*ks).agg(F.min("__at").alias("__first"))
     is_first = F.coalesce(F.col("__at") == F.col("__first"), F.lit(False))
     if counts is not None:
         is_first = is_first & counts
@@ -147,20 +158,25 @@ def prior_median(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, value:
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: tuple[str, str], ts: tuple[str, str], tie: tuple[str, str],
-                  take: Sequence[str]) -> DataFrame:
+                  take: Sequence[str], left_base: DataFrame | None = None) -> DataFrame:
     """The left rows with ``take`` of the last right row strictly earlier, NULL if there is none.
 
     ``by``, ``ts`` and ``tie`` name the left and the right column. Both sides are one
-    stream of events per key, over which the latest right row is carried.
+    stream of events per key, over which the latest right row is carried. ``left_base``: a
+    table with the keys and times of the left rows, if those took work to make.
     """
     found = F.struct(micros("__ts").alias("us"), F.col("__tie").alias("tie"), *take)
     empty = [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take]
-    l = left.select(F.col(by[0]).alias("__by"), F.col(ts[0]).alias("__ts"), F.col(tie[0]).alias("__tie"), *empty, F.struct(*left.columns).alias("__row"))
+    key_of = [F.col(by[0]).alias("__by"), F.col(ts[0]).alias("__ts"), F.col(tie[0]).alias("__tie")]
+    l = left.select(*key_of, *empty, F.struct(*left.columns).alias("__row"), F.lit(True).alias("__left"))
     none = F.lit(None).cast(l.schema["__row"].dataType).alias("__row")
-    r = right.filter(F.col(ts[1]).isNotNull()).select(F.col(by[1]).alias("__by"), F.col(ts[1]).alias("__ts"), F.col(tie[1]).alias("__tie"), *take, none)
-    events = l.unionByName(r)
-    got = before(events, ["__by"], "__ts", "__tie", {"__got": Carried(F.when(F.col("__row").isNull(), found), "max")}, strictly_earlier=True)
-    return got.filter(F.col("__row").isNotNull()).select("__row.*", *[F.col(f"__got.{c}").alias(c) for c in take])
+    r = right.filter(F.col(ts[1]).isNotNull()).select(
+        F.col(by[1]).alias("__by"), F.col(ts[1]).alias("__ts"), F.col(tie[1]).alias("__tie"), *take, none, F.lit(False).alias("__left"))
+    base = None
+    if left_base is not None:
+        base = left_base.select(*key_of, *empty, F.lit(True).alias("__left")).unionByName(r.drop("__row"))
+    got = before(l.unionByName(r), ["__by"], "__ts", "__tie", {"__got": Carried(F.when(~F.col("__left"), found), "max")}, strictly_earlier=True, base=base)
+    return got.filter("__left").select("__row.*", *[F.col(f"__got.{c}").alias(c) for c in take])
 
 
 def asof_forward(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, within_us: int, take: Mapping[str, str]) -> DataFrame:

@@ -40,6 +40,11 @@ def clean(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return cleaning.quarantine(dated, cleaning.bounded("transaction_amount"))[0]
 
 
+def clean_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The same, written once, where several branches of a plan read it."""
+    return materialize(clean(spark, sf_dir, *columns), "clean")
+
+
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.limits(table(spark, sf_dir, "service_thresholds"), "service_code", ["seuil_vigilance_unitaire_mru", "seuil_cumul_journalier_mru"])
 
@@ -104,12 +109,12 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transaction_code", *[f"n_{w}" for w in WINDOWS], *[(F.col(f"units_{w}") / 100.0).alias(f"sum_{w}") for w in WINDOWS])
 
 
-def _prior(rows: DataFrame) -> DataFrame:
+def _prior(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Strictly prior statistics of the sender's amounts, exact until the last step."""
     u = fixed_point("transaction_amount", 2)
     got = history.before(rows, ["source_phone"], "transaction_date", "transaction_code", {
         "n_prior": Carried(F.lit(1)), "__m": Carried(F.when(u.isNotNull(), 1).otherwise(0)), "__s": Carried(u.cast("decimal(20,0)")),
-        "__q": Carried(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")), "__x": Carried(u, "max"), "__l": Carried(micros("transaction_date"), "max")})
+        "__q": Carried(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")), "__x": Carried(u, "max"), "__l": Carried(micros("transaction_date"), "max")}, base=base)
     m, s, q = F.col("__m"), F.col("__s"), F.col("__q")
     spread = (m * q - s * s).cast("double")
     mean = F.when(m > 0, s.cast("double") / m / 100.0)
@@ -121,7 +126,7 @@ def _prior(rows: DataFrame) -> DataFrame:
 
 
 def behavioral_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prior(clean(spark, sf_dir, "source_phone")).select(
+    return _prior(clean_table(spark, sf_dir, "source_phone")).select(
         "transaction_code", "n_prior", "max_prior", "mean_prior", "std_prior", "zscore", "max_ratio", "days_since")
 
 
@@ -137,44 +142,53 @@ def new_beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "transaction_code", "is_new", there).select("transaction_code", "is_new")
 
 
-def _network(rows: DataFrame) -> DataFrame:
-    """What each sender had sent and received, from and to how many, strictly before."""
+def _network(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """What each sender had sent and received, from and to how many, strictly before.
+
+    ``base`` is a table of the same rows; ``rows`` may have more columns.
+    """
     u = F.coalesce(fixed_point("transaction_amount", 2), F.lit(0))
     there = F.coalesce(F.col("destination_phone"), F.lit("")) != ""
-    pair = materialize(history.first_occurrence(rows, ["source_phone", "destination_phone"], "transaction_date", "transaction_code", "__new", there), "pairs")
-    sent = history.before(pair, ["source_phone"], "transaction_date", "transaction_code",
-                          {"sent_units": Carried(u), "n_targets": Carried(F.col("__new").cast("int"))})
-    got = history.before(pair.filter(there), ["destination_phone"], "transaction_date", "transaction_code",
-                         {"received_units": Carried(u), "n_senders": Carried(F.col("__new").cast("int"))}, including=True)
+    known = materialize(history.first_occurrence(
+        base.select("transaction_code", "source_phone", "destination_phone", "transaction_date", "transaction_amount"),
+        ["source_phone", "destination_phone"], "transaction_date", "transaction_code", "is_new", there), "pairs")
+    new = F.col("is_new").cast("int")
+    sent = history.before(known, ["source_phone"], "transaction_date", "transaction_code", {"sent_units": Carried(u), "n_targets": Carried(new)})
+    got = history.before(known.filter(there), ["destination_phone"], "transaction_date", "transaction_code",
+                         {"received_units": Carried(u), "n_senders": Carried(new)}, including=True)
     got = got.select("destination_phone", F.col("transaction_date").alias("received_at"), F.col("transaction_code").alias("received_code"), "received_units", "n_senders")
-    out = history.asof_backward(sent, got, ("source_phone", "destination_phone"), ("transaction_date", "received_at"), ("transaction_code", "received_code"),
-                                ["received_at", "received_units", "n_senders"])
-    return (out.withColumn("sent_before", F.col("sent_units") / 100.0).withColumn("received_before", F.coalesce(F.col("received_units"), F.lit(0)) / 100.0)
-            .withColumn("n_senders", F.coalesce(F.col("n_senders"), F.lit(0)))
-            .withColumn("received_to_sent", F.col("received_before") / null_if_zero(F.col("sent_before")))
-            .withColumn("minutes_since_received", (micros("transaction_date") - micros("received_at")) / 60_000_000.0))
+    got = materialize(got, "received")
+    out = history.asof_backward(
+        sent.select("transaction_code", "source_phone", "transaction_date", "is_new", "sent_units", "n_targets"), got,
+        ("source_phone", "destination_phone"), ("transaction_date", "received_at"), ("transaction_code", "received_code"),
+        ["received_at", "received_units", "n_senders"], left_base=known)
+    out = (out.withColumn("sent_before", F.col("sent_units") / 100.0).withColumn("received_before", F.coalesce(F.col("received_units"), F.lit(0)) / 100.0)
+           .withColumn("n_senders", F.coalesce(F.col("n_senders"), F.lit(0)))
+           .withColumn("received_to_sent", F.col("received_before") / null_if_zero(F.col("sent_before")))
+           .withColumn("minutes_since_received", (micros("transaction_date") - micros("received_at")) / 60_000_000.0)
+           .select("transaction_code", "is_new", *NETWORK))
+    return rows.join(out, "transaction_code")
 
 
 NETWORK = ["sent_before", "received_before", "n_targets", "n_senders", "received_to_sent", "minutes_since_received"]
 
 
 def network_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _network(clean(spark, sf_dir, "source_phone", "destination_phone"))
+    rows = clean_table(spark, sf_dir, "source_phone", "destination_phone")
+    out = _network(rows.select("transaction_code"), rows)
     return out.select("transaction_code", *NETWORK)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of each transaction, one plan, joined by nothing: each step adds columns to the rows."""
-    rows = clean(spark, sf_dir)
+    """All features of each transaction: one table of clean rows, to which each step adds columns."""
+    base = clean_table(spark, sf_dir)
     d = dims(spark, sf_dir)
-    x = budget.ratio_to_limit(rows, d, "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
+    x = budget.ratio_to_limit(base, d, "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
     x = budget.running_day_total(x, ["source_phone", "service_code"], "transaction_date", "transaction_code", "transaction_amount", valid(), "day_total")
     x = x.join(d.select("__code", F.col("seuil_cumul_journalier_mru").alias("__limit")), F.col("service_code") == F.col("__code"), "left").withColumn(
         "day_ratio", pdiv(F.col("day_total"), F.col("__limit"))).drop("__code", "__limit")
     x = history.trailing(x, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
-    there = F.coalesce(F.col("destination_phone"), F.lit("")) != ""
-    x = history.first_occurrence(x, ["source_phone", "destination_phone"], "transaction_date", "transaction_code", "is_new", there)
-    return _network(_prior(x))
+    return _network(_prior(x, base), base)
 
 
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +243,8 @@ def fan_out_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pass_through(_network(clean(spark, sf_dir, "source_phone", "destination_phone")), "source_phone", "received_to_sent", "minutes_since_received")
+    rows = clean_table(spark, sf_dir, "source_phone", "destination_phone")
+    return graph.pass_through(_network(rows.select("transaction_code", "source_phone"), rows), "source_phone", "received_to_sent", "minutes_since_received")
 
 
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,20 +256,20 @@ def closed_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
+    e = materialize(_edges(spark, sf_dir), "edges")
     out = graph.node_features(e, _passing(spark, sf_dir), graph.closed_circuits(e))
     return out.withColumn("score", F.round("score", 6))
 
 
 def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _edges(spark, sf_dir)
+    e = materialize(_edges(spark, sf_dir), "edges")
     centres = graph.top(graph.degree(e, "dst", "src", "fan_in"), "fan_in", "node", 8)
     return graph.ego_sample(e, centres, 2)
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per phone, senders and receivers alike: totals, distinct counterparties, services and days."""
-    rows = clean(spark, sf_dir, "source_phone", "destination_phone", "service_code", "transaction_fees")
+    rows = clean_table(spark, sf_dir, "source_phone", "destination_phone", "service_code", "transaction_fees")
     u = lambda c: F.coalesce(F.sum(fixed_point(c, 2)), F.lit(0)) / 100.0
     sent = rows.groupBy(F.col("source_phone").alias("phone")).agg(
         F.count(F.lit(1)).alias("n_sent"), u("transaction_amount").alias("sent"), u("transaction_fees").alias("fees"),
@@ -262,7 +277,8 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = rows.filter(F.coalesce("destination_phone", F.lit("")) != "").groupBy(F.col("destination_phone").alias("phone")).agg(u("transaction_amount").alias("received"))
     targets = graph.degree(rows.filter(F.coalesce("destination_phone", F.lit("")) != "").select("source_phone", "destination_phone"), "source_phone", "destination_phone", "n_targets")
     both = sent.join(got, "phone", "full").join(targets.withColumnRenamed("node", "phone"), "phone", "left")
-    return both.fillna(0, ["n_sent", "sent", "fees", "n_services", "n_days", "received", "n_targets"]).withColumn("is_sender", F.col("n_sent") > 0)
+    filled = both.fillna(0, ["n_sent", "sent", "fees", "n_services", "n_days", "received", "n_targets"])
+    return materialize(filled.withColumn("is_sender", F.col("n_sent") > 0), "metrics")
 
 
 def customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
