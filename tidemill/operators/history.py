@@ -95,26 +95,32 @@ def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, na
 def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Column, windows: Mapping[str, int]) -> DataFrame:
     """``n_<w>`` and ``units_<w>`` over (t - w, t] for each window, later ties of t excluded.
 
-    ``windows`` maps names to microseconds. A row also goes, as context only, into the
-    next stretch of time if that stretch looks back on it.
+    ``windows`` maps names to microseconds. A window is the difference of two running
+    totals, at t and at t - w, so its width costs nothing: no frame slides over the rows of
+    a busy key. Each row asks for its totals by one event a window, among the rows' own
+    events, and gets them back by its content. ``units`` are whole numbers; a row
+    without a time has 0.
     """
-    widest = max(windows.values())
-    stretch = 4 * widest
     ks = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": micros(ts), "__u": units})
-    own = F.floor(F.col("__us") / stretch)
-    places = F.when(F.col("__us") - own * stretch > stretch - widest, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = keyed.withColumn("__own", own).withColumn("__s", F.explode_outer(places))
-    at = Window.partitionBy(*ks, "__s").orderBy("__us")
-    later = Window.partitionBy(*ks, "__s", "__us").orderBy(tie).rowsBetween(1, Window.unboundedFollowing)
-    out = spread.withColumns({"__ln": F.count(F.lit(1)).over(later), "__lu": F.coalesce(F.sum("__u").over(later), F.lit(0))})
-    timed = F.col("__us").isNotNull()
+    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {
+        "__us": micros(ts), "__u": F.coalesce(units, F.lit(0)).cast("bigint"), "__id": F.xxhash64(*rows.columns), "__tie": key(tie)})
+    ties = Window.partitionBy(*ks, "__us").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
+    slim = keyed.filter("__us is not null").select(*ks, "__us", "__u", "__id", "__tie", F.count(F.lit(1)).over(ties).alias("__tn"), F.sum("__u").over(ties).alias("__tu"))
+    asked = [F.struct(F.lit("").alias("w"), F.col("__us").alias("at"))] + [
+        F.struct(F.lit(w).alias("w"), (F.col("__us") - us + 1).alias("at")) for w, us in windows.items()]
+    events = slim.select(*ks, "__u", "__id", "__tie", "__tn", "__tu", F.explode(F.array(*asked)).alias("__e")).select(
+        "*", F.col("__e.w").alias("__w"), F.timestamp_micros("__e.at").alias("__at")).drop("__e")
+    mine = F.col("__w") == ""
+    got = before(events, ks, "__at", "__tie", {"__n": Carried(F.when(mine, 1).otherwise(0)), "__s": Carried(F.when(mine, F.col("__u")).otherwise(0))}, strictly_earlier=True)
+    back = got.groupBy("__id", "__tie").agg(
+        F.max(F.when(mine, F.col("__n") + F.col("__tn"))).alias("__n"), F.max(F.when(mine, F.col("__s") + F.col("__tu"))).alias("__s"),
+        *[F.max(F.when(F.col("__w") == w, F.col(c))).alias(f"{c}_{w}") for w in windows for c in ("__n", "__s")])
+    joined = keyed.join(back, ["__id", "__tie"], "left")
     made = {}
-    for w, us in windows.items():
-        frame = at.rangeBetween(-(us - 1), 0)
-        made[f"n_{w}"] = F.when(timed, F.count(F.lit(1)).over(frame) - F.col("__ln")).otherwise(0)
-        made[f"units_{w}"] = F.when(timed, F.coalesce(F.sum("__u").over(frame), F.lit(0)) - F.col("__lu")).otherwise(0)
-    return out.withColumns(made).filter("__s <=> __own").select(*rows.columns, *made)
+    for w in windows:
+        made[f"n_{w}"] = F.coalesce(F.col("__n") - F.col(f"__n_{w}"), F.lit(0))
+        made[f"units_{w}"] = F.coalesce(F.col("__s") - F.col(f"__s_{w}"), F.lit(0))
+    return joined.withColumns(made).select(*rows.columns, *made)
 
 
 def _medians(keys: Sequence[str], value: str, name: str):

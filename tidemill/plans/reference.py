@@ -105,7 +105,7 @@ def daily_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = history.trailing(clean(spark, sf_dir, "source_phone"), ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
+    out = history.trailing(clean_table(spark, sf_dir, "source_phone"), ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
     return out.select("transaction_code", *[f"n_{w}" for w in WINDOWS], *[(F.col(f"units_{w}") / 100.0).alias(f"sum_{w}") for w in WINDOWS])
 
 
@@ -183,11 +183,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of each transaction: one table of clean rows, to which each step adds columns."""
     base = clean_table(spark, sf_dir)
     d = dims(spark, sf_dir)
-    x = budget.ratio_to_limit(base, d, "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
+    x = history.trailing(base, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
+    x = budget.ratio_to_limit(x, d, "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
     x = budget.running_day_total(x, ["source_phone", "service_code"], "transaction_date", "transaction_code", "transaction_amount", valid(), "day_total")
     x = x.join(d.select("__code", F.col("seuil_cumul_journalier_mru").alias("__limit")), F.col("service_code") == F.col("__code"), "left").withColumn(
         "day_ratio", pdiv(F.col("day_total"), F.col("__limit"))).drop("__code", "__limit")
-    x = history.trailing(x, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
     return _network(_prior(x, base), base)
 
 
