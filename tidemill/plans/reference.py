@@ -476,7 +476,7 @@ _RANKED = """rk AS (SELECT phone, (rank() OVER (ORDER BY received))::DOUBLE / co
 _JUDGED = f"{CLEAN}, {_RATIO}, judged AS (SELECT transaction_code, transaction_status <> 'VALIDATED' AS label, greatest(0.0::DOUBLE, least(5.0::DOUBLE, coalesce(ratio, 0))) / 5.0::DOUBLE AS score FROM rat)"
 
 SQL = {
-    "typed_dates": """SELECT leg_id, loaded_at, make_timestamp(epoch_us(CASE WHEN regexp_full_match(posted_date__date_part, '[0-9]{2}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') THEN
+    "typed_dates": """SELECT leg_id, loaded_at, make_timestamp(epoch_us(CASE WHEN regexp_full_match(posted_date__date_part, '[0-9]{2}/[0-9]{2}/[0-9]{2} ([01][0-9]|2[0-3]):[0-9]{2}:[0-9]{2}') THEN
   try_cast(concat(CASE WHEN posted_date__date_part[7:8] >= '69' THEN '19' ELSE '20' END, posted_date__date_part[7:8], '-', posted_date__date_part[4:5], '-', posted_date__date_part[1:2], posted_date__date_part[9:]) AS TIMESTAMP) END)
   + coalesce(posted_date__fraction_ns, 0) // 1000) AS posted_at FROM ledger_legs""",
     "validators_report": """WITH a AS (SELECT count(*) - count(DISTINCT transaction_code) - max((transaction_code IS NULL)::INT) AS unique_code, count(*) FILTER (transaction_amount > 10000000) AS bounded_amount,

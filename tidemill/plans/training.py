@@ -100,7 +100,7 @@ def _pivot(kind: str, value: str) -> str:
 _GOOD_VALUES = " AND ".join(
     f"regexp_full_match(coalesce(v[{p + 1}], ''), '{x}')" for p, x in records.PATTERNS.items())
 _REAL_DATES = " AND ".join(
-    f"(coalesce(v[{p + 1}], '') = '' OR try_cast(concat('20', v[{p + 1}][7:8], '-', v[{p + 1}][4:5], '-', v[{p + 1}][1:2], v[{p + 1}][9:]) AS TIMESTAMP) IS NOT NULL)"
+    f"(coalesce(v[{p + 1}], '') = '' OR v[{p + 1}][10:11] < '24' AND try_cast(concat('20', v[{p + 1}][7:8], '-', v[{p + 1}][4:5], '-', v[{p + 1}][1:2], v[{p + 1}][9:]) AS TIMESTAMP) IS NOT NULL)"
     for p in records.DATES)
 _LOADS_SQL = f"""split AS (SELECT line_id, batch_no, line_no, line,
     regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\\r\\n]*))*') AS quoted,
