@@ -67,7 +67,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ns(prefix: str) -> str:
     d = f"{prefix}__date_part"
-    return (f"epoch_us(CASE WHEN regexp_full_match({d}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN "
+    return (f"epoch_us(CASE WHEN regexp_full_match({d}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}} ([01][0-9]|2[0-3]):[0-9]{{2}}:[0-9]{{2}}') THEN "
             f"try_cast(concat('20', {d}[7:8], '-', {d}[4:5], '-', {d}[1:2], {d}[9:]) AS TIMESTAMP) END) * 1000 + coalesce({prefix}__fraction_ns, 0)")
 
 
