@@ -43,7 +43,7 @@ FUNCTION_WORDS = {
           "ni entre depuis encore toujours ont avait cet ces deux lui peu pourtant",
     "de": "der die das und ist war wurde wurden von dem den des ein eine einer einen einem im in am an zu zum zur mit für auf nach aus bei nicht nur "
           "als sich wie hier bis durch oder es er sie seit unter obwohl noch schon wenn dass denn ob warum man sind hat haben sein seine "
-          "ihre ihr über vor zwischen etwa heißt laut alles trotz mehrerer dennoch anders gilt",
+          "davon ihre ihr über vor zwischen etwa heißt laut alles trotz mehrerer dennoch anders gilt",
     "es": "el la los las un una uno de del y en es al por para con que se no su sus lo como más pero sin sobre hasta todavía desde fue era o ni "
           "esta este estas estos según cuando donde sólo solo ya muy también entre dos parte pese había aunque porque cerca son está cuenta",
     "ru": "в на не и с со до от по из за у к ко о об что как это был была были было всё все для но его её их где при там тут потому хотя здесь сих пор "
@@ -93,7 +93,7 @@ _NUMBERED = re.compile(r"\|\s*\w*?(?:key|tag|word)\w*\s*=", re.IGNORECASE)
 NEAR = 3  # units to either side in which a phrase is looked for again
 AGAIN = 3  # of them have it
 LONGEST_REPEATED = 11  # words of a sentence that is nothing but a repeated phrase
-_WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]")
+_WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]|\'{3}[^\']{1,80}\'{3}")
 
 
 def _words_of(text: str) -> list[str]:
@@ -143,9 +143,9 @@ def _unit_facts(unit: str) -> tuple:
     words = tuple(map(intern, _words_of(low)))
     n = len(words)
     function = _function_words(words, arabic)
-    told, tied = n, function  # outside links, where names are
+    told, tied = n, function  # outside links and bold type, where names are
     plain = words
-    if "[[" in low:
+    if "[[" in low or "'''" in low:
         plain = _words_of(_WIKILINK.sub(" ", low))
         if len(plain) >= 4:
             told, tied = len(plain), _function_words(plain, arabic)
@@ -161,7 +161,7 @@ def _unit_facts(unit: str) -> tuple:
     s = unit.strip()
     if s.startswith("<ref") and n >= 8:
         prose = 5 * function >= n
-    if urls and n < 7 * len(urls):
+    if urls and max(n, cjk // 2) < 7 * len(urls):
         prose = False
     kind = "bare"
     if prose:
