@@ -143,10 +143,10 @@ def _unit_facts(unit: str) -> tuple:
     words = tuple(map(intern, _words_of(low)))
     n = len(words)
     function = _function_words(words, arabic)
-    told, tied = n, function  # outside links and bold type, where names are
+    told, tied = n, function  # outside links, bold type and templates, where names are
     plain = words
-    if "[[" in low or "'''" in low:
-        plain = _words_of(_WIKILINK.sub(" ", low))
+    if "[[" in low or "'''" in low or "{{" in low:
+        plain = _words_of(_WIKILINK.sub(" ", _TEMPLATE.sub(" ", _TEMPLATE.sub(" ", low)) if "{{" in low else low))
         if len(plain) >= 4:
             told, tied = len(plain), _function_words(plain, arabic)
     cjk = 0 if plain_ascii else len(_CJK.findall(low))
