@@ -76,3 +76,35 @@ def test_pages(spark):
 def test_long_texts_take_linear_time():
     for t in ("." + " " * 200_000 + "x", "1" * 200_000, "[" * 100_000, "{{" * 50_000, "<" * 100_000, "a" * 200_000, ") ." * 60_000, "w " * 150_000):
         spam.measure(t)
+
+
+PHRASES = ["Buy cheap red lamp in the Oslo shop.", "Order a gold watch from Rome online.", "Best replica bag sale at the Lima outlet.",
+           "Fast loan approval for every casino player.", "Cheap Paris hotel room with pool bonus."]
+LONG = ["Buy the best cheap red lamp and a new gold lamp shade online from the Oslo lamp shop.",
+        "Order the original gold watch with free replica strap bonus online from a Rome discount watch outlet."]
+OVER_AND_OVER = {
+    "two in turn": PHRASES[:2] * 200, "three in turn": PHRASES[:3] * 100, "five in turn": PHRASES * 60,
+    "blocks of three": [x for x in PHRASES for _ in range(3)] * 10, "long in turn": LONG * 100,
+    "far apart": [f"Buy cheap {w}lamp{i} in the {w}shop{i}." for i in range(60) for w in "abc"] * 6,
+    "with places": [f"{x[:-1]} {p}." for p in "Accra Baku Bern Quito Lima Oslo Rome Paris".split() * 9 for x in PHRASES[:4]],
+    "ru": ["Купить дешёвый красный фонарь в магазине Осло.", "Заказать золотые часы из Рима онлайн."] * 100,
+    "ja": ["東京駅前店で激安赤色電球販売中の商品。", "大阪本店で高級金時計特価販売の案内。"] * 100,
+}
+
+
+@pytest.mark.parametrize("kind", OVER_AND_OVER)
+def test_phrases_are_counted_over_the_whole_text(kind):
+    assert spam.measure(" ".join(OVER_AND_OVER[kind]))[1] > 0.9
+    assert spam.measure("\n".join(OVER_AND_OVER[kind]))[1] > 0.9
+
+
+def test_phrases_of_songs_and_prose_are_not():
+    assert spam.measure("<poem>\n" + "\n".join(PHRASES[:2] * 60) + "\n</poem>")[1] < 0.1
+    assert spam.measure(" ".join([PROSE["en"]] * 60))[1] < 0.1
+
+
+def test_pages_of_phrases_are_found(spark):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((k, v + f" {n}") for n in range(30) for k, v in PROSE.items())]
+    bad = [(10_000 + i, " ".join(t), "en") for i, t in enumerate(OVER_AND_OVER.values())]
+    df = spark.createDataFrame(rows + bad, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in spam.spam_pages(df).collect()) == [r[0] for r in bad]

@@ -90,9 +90,10 @@ _TEMPLATE = re.compile(r"\{\{[^{},\n]{0,80}\}\}")
 _PRICE = re.compile(r"\bSKU\b|[€$£¥]\s?\d|\d\s?[€$£¥]")
 _ARABIC_ARTICLE = re.compile(r"[ولبفك]?ال\w|لل\w")
 _NUMBERED = re.compile(r"\|\s*\w*?(?:key|tag|word)\w*\s*=", re.IGNORECASE)
-NEAR = 3  # units to either side in which a phrase is looked for again
-AGAIN = 3  # of them have it
-LONGEST_REPEATED = 11  # words of a sentence that is nothing but a repeated phrase
+OFTEN = 6  # units of a text that have a phrase, for it to be repeated over and over
+NEAR = 3  # units to either side in which a short unit's phrases are looked for again
+AGAIN = 3  # of them have one
+LONGEST_NEAR = 11  # words of a short unit
 _WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]|\'{3}[^\']{1,80}\'{3}")
 
 
@@ -151,8 +152,10 @@ def _unit_facts(unit: str) -> tuple:
             told, tied = len(plain), _function_words(plain, arabic)
     cjk = 0 if plain_ascii else len(_CJK.findall(low))
     ended = bool(_END.search(unit.rstrip()[-_TAIL:]))
+    kana = 0
     if cjk >= 4 and cjk >= 0.4 * sum(map(len, words)):
-        prose = cjk >= 6 and len(_HIRAGANA.findall(low)) >= 0.2 * cjk
+        kana = len(_HIRAGANA.findall(low))
+        prose = cjk >= 6 and kana >= 0.2 * cjk
         function = n if prose else 0
     elif ended:
         prose = told >= 4 and (4 * tied >= told or told >= 8 and 5 * tied >= told)
@@ -165,7 +168,7 @@ def _unit_facts(unit: str) -> tuple:
         prose = False
     kind = "bare"
     if prose:
-        kind = "prose" if 5 * function >= 2 * n else "thin"
+        kind = "prose" if (5 * kana >= 2 * cjk if kana else 5 * function >= 2 * n) else "thin"
     elif urls:
         kind = "link"
     elif _PRICE.search(s) or _NUMBERED.match(s):
@@ -178,8 +181,11 @@ def _unit_facts(unit: str) -> tuple:
     elif "{{" in s and len(_words_of(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
         kind = "structure"
     said = ()
-    if kind == "thin" and n <= LONGEST_REPEATED:
-        said = tuple(p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD)
+    if kind == "thin" and kana:  # no blanks: four letters are a phrase
+        run = "".join(words)
+        said = tuple({(run[i:i + 4],) for i in range(len(run) - 3)})
+    elif kind == "thin":
+        said = tuple({p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD})
     return len(unit), words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
 
 
@@ -197,14 +203,23 @@ def _line(line: str) -> tuple:
 
 
 def _said_again(units: list[tuple]) -> set[int]:
-    """Which thin units repeat a phrase of several units near them."""
-    phrases = [set(u[8]) for u in units]
+    """Which thin units repeat phrases of others, at any distance.
+
+    A unit does if phrases said often in the whole text hold half its words that are not
+    function words, or, if it is short, if most units around have a phrase of it. Sentences
+    of many function words never do: those made by a script or sung repeat whole patterns.
+    """
+    count = Counter(chain.from_iterable(u[8] for u in units))
+    twice = [{p for p in u[8] if count[p] > 1} for u in units]
+    near = [x if u[2] <= LONGEST_NEAR and not u[7] else () for u, x in zip(units, twice)]
     found = set()
-    for i, mine in enumerate(phrases):
-        if mine:
-            around = [phrases[j] for j in range(max(0, i - NEAR), min(len(units), i + NEAR + 1)) if j != i]
-            if sum(not mine.isdisjoint(x) for x in around) >= AGAIN:
-                found.add(i)
+    for i, (u, mine) in enumerate(zip(units, twice)):
+        if not mine:
+            continue
+        told = {w for p in mine if count[p] >= OFTEN for w in p if w not in _BY_WORD}
+        if (told and 2 * len(told) >= len({w for p in u[8] for w in p if w not in _BY_WORD})
+                or near[i] and sum(not near[i].isdisjoint(x) for x in near[max(0, i - NEAR):i + NEAR + 1]) > AGAIN):
+            found.add(i)
     return found
 
 
@@ -215,7 +230,7 @@ def measure(text: str | None, label: str | None = None) -> tuple[str, float, flo
     lines = [_line(x) for x in text.split("\n")]
     units = [u for line in lines for u in line]
     again: set[int] = set()
-    if any(u[4] == "thin" for u in units):
+    if sum(u[4] == "thin" for u in units) > AGAIN:
         spoken = [(i, u) for i, u in enumerate(units) if u[2]]
         again = {spoken[i][0] for i in _said_again([u for _, u in spoken])}
     bare, at, song = 0, 0, False
