@@ -108,3 +108,26 @@ def test_pages_of_phrases_are_found(spark):
     bad = [(10_000 + i, " ".join(t), "en") for i, t in enumerate(OVER_AND_OVER.values())]
     df = spark.createDataFrame(rows + bad, "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in spam.spam_pages(df).collect()) == [r[0] for r in bad]
+
+
+SHORT = {"tags": "#CheapLamp #RedLamp #LampSale", "bag": "cheap loan casino cheap loan", "urls": "http://a.example/x http://b.example/y"}
+CUT = {
+    "run in a bag": "cheap loan casino bonus " * 30 + "x" * 12 + " cheap loan casino bonus" * 30,
+    "definite nouns": "، ".join(["القرض الكازينو العرض الخصم السعر المتجر الشراء"] * 20),
+}
+
+
+@pytest.mark.parametrize("text", [*SHORT.values(), *CUT.values()], ids=[*SHORT, *CUT])
+def test_bare_whatever_the_size_or_a_run(spark, text):
+    assert spam.measure(text)[1] > 0.9
+    rows = [(i, t + f" {n}", lang) for i, (lang, t) in enumerate((k, v) for k, v in PROSE.items()) for n in range(30)]
+    df = spark.createDataFrame(rows + [(10_000, text, None), (10_001, "test test", None)], "doc_id bigint, text string, lang string")
+    assert [r.doc_id for r in spam.spam_pages(df).collect()] == [10_000]
+
+
+def test_scatter_does_not_jump_with_the_number_of_documents(spark):
+    def medians(n):
+        texts = [(i, PROSE["en"] + f" {i}", "en") for i in range(n)] + [(-i, SPAM["ru"], "ru") for i in range(1, 301)]
+        return spam.robust_scatter(spam.page_features(spark.createDataFrame(texts, "doc_id bigint, text string, lang string")))["en"][0]
+
+    assert abs(medians(199) - medians(201)).max() < 0.01

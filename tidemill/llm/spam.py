@@ -59,8 +59,8 @@ MEASURES = (*FEATURES, "bare_chars")
 SPAM_DIRECTION = (1.0, 1.0, -1.0, 1.0, -1.0)
 CHI2_LIMIT = 12.83  # 0.975 quantile for five features
 LEAST_SHARE = 0.5
-LEAST_CHARS = 60  # of bare units; less is too little to be keywords or links repeated
-LEAST_GROUP = 200  # documents a language needs for a scatter of its own
+LEAST_CHARS = 60  # of bare units; fewer must show by themselves that they are repeated words, links or tags
+COMMON_WEIGHT = 200  # documents that the scatter of all languages counts as, beside a language's own
 LINE_CACHE = 30_000
 
 _BY_WORD: dict[str, tuple[str, ...]] = {}
@@ -85,8 +85,10 @@ _STRUCTURE = re.compile(
     r"|\|\s*[^\W\d]+\s*=\s*[^,|\n]{0,40}|\|\s*\w+\s*=\s*(?:\{\{\{.*|[\d.,\s]*)"      # parameters
     r"|\[\[[^\]|:\n]{2,20}:[^\]\n]+\]\]|=+[^=\n]+=+|#\s?\w+\s*:?\s*\[\[.*"             # categories, headings, redirects
     r"|</?\w+[^>]*>|<!--|-->|;\s.{1,40}|.{0,60}[:：]|'{2,5}[^']{1,60}'{2,5}.{0,12}|-{2,}.{0,60}"
-    r"|\[\d+\]|.*(\w)\1{9,}.*", re.IGNORECASE | re.DOTALL)
+    r"|\[\d+\]", re.IGNORECASE | re.DOTALL)
 _TEMPLATE = re.compile(r"\{\{[^{},\n]{0,80}\}\}")
+_LONG_RUN = re.compile(r"(\w)\1{9,}")
+_HASHTAG = re.compile(r"(?<!\S)#\w*[^\W\d]")
 _PRICE = re.compile(r"\bSKU\b|[€$£¥]\s?\d|\d\s?[€$£¥]")
 _ARABIC_ARTICLE = re.compile(r"[ولبفك]?ال\w|لل\w")
 _NUMBERED = re.compile(r"\|\s*\w*?(?:key|tag|word)\w*\s*=", re.IGNORECASE)
@@ -103,9 +105,9 @@ def _words_of(text: str) -> list[str]:
 
 
 def _function_words(words, arabic: bool) -> int:
-    """How many words are function words; in Arabic, those that carry the article count."""
+    """How many words are function words; in Arabic, those that carry the article count beside others."""
     n = sum(map(_BY_WORD.__contains__, words))
-    return n + sum(w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words) if arabic else n
+    return n + sum(w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words) if arabic and n else n
 
 
 def _units_of(line: str) -> list[str]:
@@ -126,6 +128,20 @@ def _units_of(line: str) -> list[str]:
     return [line[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
+def _kind_of(s: str) -> str:
+    """Whether a unit that is no prose and has no links is ``structure`` or ``bare``."""
+    if _PRICE.search(s) or _NUMBERED.match(s):
+        return "bare"
+    if not s or _STRUCTURE.fullmatch(s):
+        return "structure"
+    if s.startswith("|") and "||" in s:
+        cells = [c.strip() for c in s.strip("|").split("||")]
+        return "structure" if 2 * sum(c[:1].isdigit() for c in cells) >= len(cells) else "bare"
+    if "{{" in s and len(_words_of(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
+        return "structure"
+    return "bare"
+
+
 def _unit_facts(unit: str) -> tuple:
     """(length, words, words and function words counted, kind, link chars, links, CJK letters, phrases).
 
@@ -161,7 +177,7 @@ def _unit_facts(unit: str) -> tuple:
         prose = told >= 4 and (4 * tied >= told or told >= 8 and 5 * tied >= told)
     else:
         prose = told >= 6 and 4 * tied >= told
-    s = unit.strip()
+    s, size = unit.strip(), len(unit)
     if s.startswith("<ref") and n >= 8:
         prose = 5 * function >= n
     if urls and max(n, cjk // 2) < 7 * len(urls):
@@ -171,22 +187,19 @@ def _unit_facts(unit: str) -> tuple:
         kind = "prose" if (5 * kana >= 2 * cjk if kana else 5 * function >= 2 * n) else "thin"
     elif urls:
         kind = "link"
-    elif _PRICE.search(s) or _NUMBERED.match(s):
-        kind = "bare"
-    elif _STRUCTURE.fullmatch(s):
-        kind = "structure"
-    elif s.startswith("|") and "||" in s:
-        cells = [c.strip() for c in s.strip("|").split("||")]
-        kind = "structure" if 2 * sum(c[:1].isdigit() for c in cells) >= len(cells) else "bare"
-    elif "{{" in s and len(_words_of(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
-        kind = "structure"
+    elif _LONG_RUN.search(s):  # the run is nothing, what stands beside it counts
+        s = _LONG_RUN.sub("", s)
+        size = len(s)
+        kind = _kind_of(s)
+    else:
+        kind = _kind_of(s)
     said = ()
     if kind == "thin" and kana:  # no blanks: four letters are a phrase
         run = "".join(words)
         said = tuple({(run[i:i + 4],) for i in range(len(run) - 3)})
     elif kind == "thin":
         said = tuple({p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD})
-    return len(unit), words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
+    return size, words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
 
 
 _lines: dict[str, tuple] = {}
@@ -264,11 +277,19 @@ def measure(text: str | None, label: str | None = None) -> tuple[str, float, flo
         function = sum(u[3] for u in units) / n
         entropy = 1.0 if n == 1 else (math.log2(n) - sum(c * math.log2(c) for c in seen.values() if c > 1) / n) / math.log2(n)
     links = sum(u[5] + 4 * u[6] for u in units) + 4 * text.count("[[")
+    if 0 < bare < LEAST_CHARS and not _shown(text, seen, sum(u[6] for u in units)):
+        bare = 0
     best = max(votes, key=lambda x: (votes[x], x))
     return (best if votes[best] else normal_label(label), bare / len(text), min(1.0, links / len(text)), entropy, repeated, function,
             float(bare))
 
 
+def _shown(text: str, seen: Counter, links: int) -> bool:
+    """Whether a few bare characters are repeated words, links or tags, and no scrap of a text."""
+    again = [c for w, c in seen.items() if c > 1 and w not in _BY_WORD]
+    return links + len(_HASHTAG.findall(text)) + len(_PRICE.findall(text)) > 1 or len(again) > 1 or max(again, default=0) > 2
+
+
 def normal_label(label: str | None) -> str:
     """A language label without case and suffix; ``other`` if it is none of those known."""
     short = (label or "").strip().lower()[:2]
@@ -312,8 +333,8 @@ def _with_parameters(rows: DataFrame, key: str, table: dict[str, list[float]], n
 def robust_scatter(features: DataFrame) -> Scatter:
     """language -> (medians, scales, inverse of the scatter of clipped standard values), over all documents.
 
-    Languages are a closed set, so what comes to the driver is of fixed size. A language
-    of few documents gets the scatter of all documents together.
+    Languages are a closed set, so what comes to the driver is of fixed size. Each language's
+    numbers are drawn towards those of all documents, the more the fewer documents it has.
     """
     k = len(FEATURES)
     both = features.select(F.explode(F.array("language", F.lit("all"))).alias("g"), *FEATURES)
@@ -337,8 +358,10 @@ def robust_scatter(features: DataFrame) -> Scatter:
         for i in range(k):
             for j in range(i, k):
                 c[i, j] = c[j, i] = r[f"c{i}_{j}"]
-        out[r.g] = (np.array(med[r.g]), np.array(scale[r.g]), np.linalg.inv(c + 0.05 * np.eye(k)))
-    return {g: out[g if size[g] >= LEAST_GROUP else "all"] for g in out}
+        out[r.g] = (np.array(med[r.g]), np.array(scale[r.g]), c + 0.05 * np.eye(k))
+    own = {g: size[g] / (size[g] + COMMON_WEIGHT) for g in out}
+    drawn = {g: [own[g] * x + (1 - own[g]) * y for x, y in zip(out[g], out["all"])] for g in out}
+    return {g: (m, s, np.linalg.inv(c)) for g, (m, s, c) in drawn.items()}
 
 
 def suspicious(features: DataFrame, scatter: Scatter) -> DataFrame:
@@ -359,4 +382,4 @@ def spam_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, language, features, distance, towards_spam) of the spam pages."""
     features = materialize(page_features(documents, id_col, text_col, lang_col), "page-features")
     flagged = suspicious(features, robust_scatter(features))
-    return flagged.filter((F.col("distance") > limit) & (F.col("towards_spam") > 0) & (F.col("bare") > least_share) & (F.col("bare_chars") >= LEAST_CHARS))
+    return flagged.filter((F.col("distance") > limit) & (F.col("towards_spam") > 0) & (F.col("bare") > least_share))
