@@ -112,3 +112,20 @@ def test_latest_rows(spark):
     got = sorted(((r.code, r.v) for r in latest_rows(df, "code", "at", ["v"]).collect()), key=str)
     assert got == [(1, "b"), (2, "d"), (3, "e"), (None, "f"), (None, "g")]
     assert latest_rows(df.limit(0), "code", "at", ["v"]).count() == 0
+
+
+def test_late_and_redelivered_rows_reach_the_query_as_corrections(spark, tmp_path, monkeypatch):
+    from tidemill.plans import training as tr
+
+    t = lambda day, h=1: dt.datetime(2021, 3, day, h)
+    data = [(1, t(10), "a", "x", t(9), 5.0), (1, t(28), "a", "x", t(9), 7.0), (2, t(11), "a", "x", t(27), 1.0), (3, t(29), "new", "x", t(25), 2.0),
+            (4, t(29), None, "x", None, 3.0), (None, t(29), "a", "x", t(27), 4.0), (5, t(27), "b", "y", t(28), 8.0)]
+    spark.createDataFrame(data, "transaction_code bigint, loaded_at timestamp_ntz, source_phone string, service_code string, "
+                          "transaction_date timestamp_ntz, transaction_amount double").write.parquet(str(tmp_path / "transactions.parquet"))
+    calls = []
+    correct = rolling.correct
+    monkeypatch.setattr(rolling, "correct", lambda states, deltas, *a, **k: calls.append(deltas.count()) or correct(states, deltas, *a, **k))
+    got = {(r.source_phone, r.service_code, r.day): r.sum_30d for r in tr.QUERIES["p1_corrected"](spark, str(tmp_path)).collect()}
+    every = {(r.source_phone, r.service_code, r.day): r.sum_30d for r in tr.p1_totals(spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in every.items() if k[2] >= D(2021, 3, 25)} and len(got) == 16
+    assert got["a", "x", D(2021, 3, 28)] == 12.0 and calls and calls[0] > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,52 @@ def p1_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.totals(rolling.advance(state, daily, PAIR, str(last)), PAIR)
 
 
+DAYS_ADVANCED = 3
+
+
+def p1_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of the last days, kept as versions: loaded, advanced day by day, then corrected.
+
+    Rows delivered before the last day give the state of an earlier day, which is advanced
+    to the last; what was delivered since (arrivals, late and re-delivered rows) makes
+    signed deltas of daily amounts, and those make new versions of the days they touch.
+    """
+    columns = ["loaded_at", *PAIR, "transaction_date", "transaction_amount"]
+    rows = table(spark, sf_dir, "transactions")
+    code = F.col("transaction_code")
+    last = latest_rows(rows, "transaction_code", "loaded_at", columns[1:]).agg(F.max(rolling.usable_day("transaction_date"))).first()[0]
+    if last is None:
+        return rolling.totals(rolling.state_on(_daily(spark, sf_dir), PAIR, "1970-01-01"), PAIR)
+    days = [str(last - timedelta(i)) for i in range(DAYS_ADVANCED, -1, -1)]
+    soon = F.coalesce(F.col("loaded_at") < F.lit(days[-1]).cast("timestamp_ntz"), F.lit(True))
+
+    def daily(of: DataFrame) -> DataFrame:
+        return rolling.daily_amounts(latest_rows(of, "transaction_code", "loaded_at", columns[1:]), PAIR, "transaction_date", "transaction_amount")
+
+    early = rolling.materialize(daily(rows.filter(soon)), "daily-early")
+    state = rolling.materialize(rolling.state_on(early, PAIR, days[0]), "state-0")
+    states = state
+    for day in days[1:]:
+        state = rolling.materialize(rolling.advance(state, early, PAIR, day), "state")
+        states = states.unionByName(state)
+    # Only transactions delivered since can differ; a row without a code is one of its own.
+    since = rows.filter(~soon)
+    codes = since.select("transaction_code").filter(code.isNotNull()).distinct()
+    touched = rolling.materialize(rows.join(codes, "transaction_code", "left_semi").select("transaction_code", *columns)
+                                  .unionByName(since.filter(code.isNull()).select("transaction_code", *columns)), "touched")
+    plus = daily(touched)
+    minus = daily(touched.filter(soon)).withColumns({"units": -F.col("units"), "n": -F.col("n")})
+    change = rolling.materialize(plus.unionByName(minus).groupBy(*PAIR, "day").agg(F.sum("units").alias("units"), F.sum("n").alias("n")), "deltas")
+    # An entity first delivered since has a state on every day, if only of 0.
+    known = early.select(*PAIR, F.lit(1).alias("k")).unionByName(change.select(*PAIR, F.lit(0).alias("k")))
+    first = known.groupBy(*PAIR).agg(F.max("k").alias("k")).filter("k = 0").select(*PAIR, F.lit(days[0]).cast("date").alias("day"), F.lit(0).cast("bigint").alias("units"),
+                                                  F.lit(0).cast("bigint").alias("n"))
+    span = F.col("day") > F.date_sub(F.lit(days[0]).cast("date"), max(rolling.PERIODS))
+    fixed = rolling.correct(states, change.filter(span).unionByName(first), PAIR, days[-1], version=1)
+    versions = states.unionByName(fixed.filter(F.col("day") >= F.lit(days[0]).cast("date")))
+    return rolling.totals(rolling.current(versions, PAIR), PAIR)
+
+
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records below the header; one without a line number is none."""
     return table(spark, sf_dir, "raw_lines").filter(F.coalesce(F.col("line_no") != 1, F.lit(True)))
@@ -184,6 +232,16 @@ s AS (SELECT source_phone, service_code, max(last) AS day,
     coalesce(sum(units) FILTER (day BETWEEN last - 6 AND last), 0) AS s7, coalesce(sum(n) FILTER (day BETWEEN last - 6 AND last), 0) AS n7,
     coalesce(sum(units) FILTER (day BETWEEN last - 29 AND last), 0) AS s30, coalesce(sum(n) FILTER (day BETWEEN last - 29 AND last), 0) AS n30
   FROM daily, edge GROUP BY ALL)
+SELECT source_phone, service_code, day, CAST(s7 AS DOUBLE) / 100.0::DOUBLE AS sum_7d,
+  CASE WHEN n7 > 0 THEN CAST(s7 AS DOUBLE) / 100.0::DOUBLE / CAST(n7 AS DOUBLE) END AS avg_7d,
+  CAST(s30 AS DOUBLE) / 100.0::DOUBLE AS sum_30d,
+  CASE WHEN n30 > 0 THEN CAST(s30 AS DOUBLE) / 100.0::DOUBLE / CAST(n30 AS DOUBLE) END AS avg_30d FROM s""",
+    "p1_corrected": f"""WITH {_DAILY_SQL}, edge AS (SELECT max(day) AS last FROM daily),
+days AS (SELECT CAST(unnest(generate_series((last - {DAYS_ADVANCED})::TIMESTAMP, last::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d FROM edge),
+s AS (SELECT source_phone, service_code, d AS day,
+    coalesce(sum(units) FILTER (day BETWEEN d - 6 AND d), 0) AS s7, coalesce(sum(n) FILTER (day BETWEEN d - 6 AND d), 0) AS n7,
+    coalesce(sum(units) FILTER (day BETWEEN d - 29 AND d), 0) AS s30, coalesce(sum(n) FILTER (day BETWEEN d - 29 AND d), 0) AS n30
+  FROM daily, days GROUP BY source_phone, service_code, d)
 SELECT source_phone, service_code, day, CAST(s7 AS DOUBLE) / 100.0::DOUBLE AS sum_7d,
   CASE WHEN n7 > 0 THEN CAST(s7 AS DOUBLE) / 100.0::DOUBLE / CAST(n7 AS DOUBLE) END AS avg_7d,
   CAST(s30 AS DOUBLE) / 100.0::DOUBLE AS sum_30d,
@@ -202,4 +260,4 @@ SELECT side, key, count(*) AS n, CAST(coalesce(sum({_UNITS.format('transaction_a
 }
 
 QUERIES = {f.__name__: f for f in (
-    p1_totals, p1_latest, p2_found, p2_loaded, p2_rejected, p3_features, p4_found, p4_profiles, p6_totals)}
+    p1_totals, p1_latest, p1_corrected, p2_found, p2_loaded, p2_rejected, p3_features, p4_found, p4_profiles, p6_totals)}
