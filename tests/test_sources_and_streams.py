@@ -72,3 +72,12 @@ def test_stream_takes_a_code_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.code for r in spark.table("once").collect()) == [1, 2]
+
+
+def test_lines_without_a_number_are_counted(spark, tmp_path):
+    from tidemill.plans import reference
+
+    rows = [(1, 1, "a,b"), (2, 2, "1,2"), (3, None, "1,2,3")]
+    spark.createDataFrame(rows, "line_id bigint, line_no int, line string").write.parquet(str(tmp_path / "raw_lines.parquet"))
+    got = {r.n_fields: r.n_lines for r in reference.QUERIES["field_counts"](spark, str(tmp_path)).collect()}
+    assert got == {2: 1, 3: 1}
