@@ -68,3 +68,18 @@ def test_empty_and_clashes(spark):
     check(frame(spark, ROWS).withColumn("t", F.lit(1)).withColumn("last", F.lit(1)).withColumn("u0", F.lit(1)), ROWS)
     with pytest.raises(ValueError):
         build(frame(spark, [("a", "S-1", "P", None, 1.0, 1.0, 1, 1), ("a", "S+1", "P", None, 1.0, 1.0, 1, 1)]))
+
+
+def test_a_catalogue_fixes_the_columns(spark):
+    types = ["S1__P1", "S9__P9"]
+    want = ["who", *[f"{k}__{t}" for t in (*types, "other") for k in ("n", "last", "amount", "fee")]]
+    got = {r.who: r for r in build(frame(spark, ROWS), types=types).collect()}
+    assert build(frame(spark, []), types=types).columns == want == build(frame(spark, ROWS), types=types).columns
+    assert got["a"].n__S1__P1 == 2 and got["a"].n__other == 1 and got["a"].n__S9__P9 is None and got["b"].n__other == 1 and got[None].n__other == 2
+    assert got[None].amount__other == 6.0 and build(frame(spark, []), types=types).count() == 0
+
+
+def test_blocks_are_joined_without_an_exchange(spark, capsys):
+    build(frame(spark, ROWS), block_types=2).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan

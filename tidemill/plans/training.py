@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.functions.exprs import NO_KEY
 from tidemill.operators import feature_table as ft
 from tidemill.operators import heavy_keys, profile, rolling
 from tidemill.operators.redelivery import latest_rows
@@ -103,11 +104,28 @@ def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.load_records(_body(spark, sf_dir), "line", ["line_id"])
 
 
+#: The catalogue of event types: every service and NULL with every partner and NULL.
+SERVICES = (*[f"SERVICE_{i:02d}" for i in range(1, 13)], "null")
+PARTNERS = (*[f"INS{i:06d}" for i in (3, 4, 7, 11, 14, 18, 21, 25, 26, 30, 33, 38, 41, 42, 47, 52, 56, 60)], "null")
+EVENT_TYPES = tuple(f"{s}__{p}" for s in SERVICES for p in PARTNERS)
+FEATURE_AMOUNTS = ("transaction_amount", "transaction_fees")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _held(spark, sf_dir, "source_phone", "service_code", "partner_reference", "transaction_date", *FEATURE_AMOUNTS)
+
+
 def p3_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _held(spark, sf_dir, "source_phone", "service_code", "partner_reference", "transaction_date",
-                 "transaction_amount", "transaction_fees")
-    return ft.feature_table(held, "source_phone", ("service_code", "partner_reference"), "transaction_date",
-                            ("transaction_amount", "transaction_fees"))
+    """The feature table over the catalogue of event types; types outside it count as ``other``."""
+    return ft.feature_table(_events(spark, sf_dir), "source_phone", ("service_code", "partner_reference"), "transaction_date",
+                            FEATURE_AMOUNTS, types=EVENT_TYPES)
+
+
+def p3_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in long form: a row for every phone and type that occurs."""
+    cells = ft.event_cells(_events(spark, sf_dir), "source_phone", ("service_code", "partner_reference"), "transaction_date", FEATURE_AMOUNTS)
+    return cells.select(F.when(F.col("k") != NO_KEY, F.col("k")).alias("source_phone"), F.col("t").alias("type"), "n", F.col("last").alias("last_day"),
+                        *[(F.col(f"u{i}") / 100.0).alias(c) for i, c in enumerate(FEATURE_AMOUNTS)])
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +157,24 @@ daily AS (SELECT source_phone, service_code,
   FROM held GROUP BY ALL)"""
 
 
-def _pivot(kind: str, value: str) -> str:
-    return f"""(PIVOT (WITH {LATEST_SQL} SELECT source_phone,
-  concat('{kind}__', coalesce(service_code, 'null'), '__', coalesce(partner_reference, 'null')) AS t, {value} AS v
-  FROM held GROUP BY ALL) ON t USING max(v) GROUP BY source_phone)"""
+_CELLS_SQL = f"""{LATEST_SQL},
+cells AS (SELECT source_phone, concat(coalesce(service_code, 'null'), '__', coalesce(partner_reference, 'null')) AS type, count(*) AS n,
+    max(CASE WHEN year(transaction_date) >= 2020 THEN CAST(transaction_date AS DATE) END) AS last_day,
+    CAST(sum({_UNITS.format('transaction_amount')}) AS DOUBLE) / 100.0::DOUBLE AS transaction_amount,
+    CAST(sum({_UNITS.format('transaction_fees')}) AS DOUBLE) / 100.0::DOUBLE AS transaction_fees
+  FROM held GROUP BY ALL)"""
+
+
+def _features_sql() -> str:
+    """Every declared type's four columns out of the cells; types outside the catalogue together are ``other``."""
+    columns = []
+    for t in (*EVENT_TYPES, "other"):
+        for kind, value in (("n", "n"), ("last", "last_day"), ("transaction_amount", "transaction_amount"), ("transaction_fees", "transaction_fees")):
+            columns.append(f"max(CASE WHEN type = '{t}' THEN {value} END) AS {kind}__{t}")
+    listed = ", ".join(f"'{t}'" for t in EVENT_TYPES)
+    merged = f"""all_cells AS (SELECT source_phone, CASE WHEN type IN ({listed}) THEN type ELSE 'other' END AS type, sum(n)::BIGINT AS n, max(last_day) AS last_day,
+    sum(transaction_amount) AS transaction_amount, sum(transaction_fees) AS transaction_fees FROM cells GROUP BY 1, 2)"""
+    return f"WITH {_CELLS_SQL}, {merged} SELECT source_phone, {', '.join(columns)} FROM all_cells GROUP BY source_phone"
 
 
 _GOOD_VALUES = " AND ".join(
@@ -246,12 +278,8 @@ SELECT source_phone, service_code, day, CAST(s7 AS DOUBLE) / 100.0::DOUBLE AS su
   CASE WHEN n7 > 0 THEN CAST(s7 AS DOUBLE) / 100.0::DOUBLE / CAST(n7 AS DOUBLE) END AS avg_7d,
   CAST(s30 AS DOUBLE) / 100.0::DOUBLE AS sum_30d,
   CASE WHEN n30 > 0 THEN CAST(s30 AS DOUBLE) / 100.0::DOUBLE / CAST(n30 AS DOUBLE) END AS avg_30d FROM s""",
-    "p3_features": " JOIN ".join(
-        [f"SELECT * FROM {_pivot('n', 'count(*)')}"]
-        + [f"{_pivot(k, v)} USING (source_phone)" for k, v in (
-            ("last", "max(CASE WHEN year(transaction_date) >= 2020 THEN CAST(transaction_date AS DATE) END)"),
-            ("transaction_amount", f"CAST(sum({_UNITS.format('transaction_amount')}) AS DOUBLE) / 100.0::DOUBLE"),
-            ("transaction_fees", f"CAST(sum({_UNITS.format('transaction_fees')}) AS DOUBLE) / 100.0::DOUBLE"))]),
+    "p3_features": _features_sql(),
+    "p3_cells": f"WITH {_CELLS_SQL} SELECT * FROM cells",
     "p6_totals": f"""WITH {LATEST_SQL}, u AS (
   SELECT 'source_phone' AS side, source_phone AS key, transaction_amount, transaction_fees FROM held
   UNION ALL SELECT 'destination_phone', destination_phone, transaction_amount, transaction_fees FROM held)
@@ -260,4 +288,4 @@ SELECT side, key, count(*) AS n, CAST(coalesce(sum({_UNITS.format('transaction_a
 }
 
 QUERIES = {f.__name__: f for f in (
-    p1_totals, p1_latest, p1_corrected, p2_found, p2_loaded, p2_rejected, p3_features, p4_found, p4_profiles, p6_totals)}
+    p1_totals, p1_latest, p1_corrected, p2_found, p2_loaded, p2_rejected, p3_features, p3_cells, p4_found, p4_profiles, p6_totals)}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +43,16 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local mode) a folder of this
-    machine is made, which local mode's single JVM shares with itself.
+    Only in local mode, whose single JVM shares this machine's disk with itself, is a
+    folder made where the session names none; on a cluster that is an error, as each
+    executor would write to its own disk and read a part of what was written.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if base is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: intermediate tables need a folder that all executors of {master} share")
         base = _own_dirs.setdefault(app, "")
         if not base:
             base = _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
@@ -53,6 +60,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _to_clear: set[str] = set()
+_scopes: list[list[tuple[str, str | None]]] = []
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _clear() -> None:
@@ -60,10 +73,8 @@ def _clear() -> None:
     if active is None:
         return
     try:
-        jvm = active.sparkContext._jvm
         for place in _to_clear:
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(active.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(active, place)
     except Exception:  # the session may be gone already
         pass
 
@@ -71,20 +82,56 @@ def _clear() -> None:
 atexit.register(_clear)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are removed at the end: put a query and the use of its result inside.
+
+    Outside of any scope they stay until the driver exits, as a result not yet read may need them.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for place, name in _scopes.pop():
+            if name is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _delete(spark, place)
+
+
+def _place(spark: SparkSession, name: str, table_name: str | None = None) -> str:
+    root = shared_dir(spark)
+    _to_clear.add(root)
+    place = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append((place, table_name))
+    return place
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage with replicated files, so that a lost executor costs only its
-    running tasks. The tables of this application go when the driver exits.
+    running tasks.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
-    _to_clear.add(root)
-    place = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    place = _place(spark, name)
     df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 
+def bucketed(df: DataFrame, name: str, by: str, buckets: int, parts: str | None = None) -> DataFrame:
+    """The same as a table bucketed by ``by`` (and cut into folders by ``parts``): joins and aggregations by that column need no exchange.
+
+    Rows are laid out once, a file a bucket and folder. The table is known to the session only.
+    """
+    spark = df.sparkSession
+    table_name = f"tidemill_{re.sub('[^0-9a-z]', '_', name)}_{uuid.uuid4().hex[:12]}"
+    place = _place(spark, name, table_name)
+    writer = df.repartition(buckets, by).write.format("parquet").option("path", place).bucketBy(buckets, by).sortBy(by)
+    (writer.partitionBy(parts) if parts else writer).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table: one parquet file or a folder of them."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
