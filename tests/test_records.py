@@ -28,12 +28,13 @@ def strict(text):
 
 
 def both(lines):
-    good, bad = R.bisect(pa.array(lines, pa.string()), 8)
+    good, strictly, bad, _ = R.bisect(pa.array(lines, pa.string()), 8)
+    loaded = sorted([*[i for a, b, _ in good for i in range(a, b)], *[i for i, _ in strictly]])
     for i, reason in bad:
         assert strict(lines[i])[1] == reason
-    assert all(strict(lines[i])[1] is None for i in good.tolist())
-    assert sorted([*good.tolist(), *[i for i, _ in bad]]) == list(range(len(lines)))
-    return good
+    assert all(strict(lines[i])[1] is None for i in loaded)
+    assert sorted([*loaded, *[i for i, _ in bad]]) == list(range(len(lines)))
+    return loaded
 
 
 def variants():
@@ -50,11 +51,36 @@ def test_fast_and_strict_paths_agree():
     lines = variants()
     good = both(lines)
     assert 0 in good and 1 not in good
-    typed = R.parse_block(pa.array([lines[i] for i in good.tolist()]))
+    at, typed = R.parse_block(pa.array(lines))
+    assert sorted(at.tolist()) == good
     for col, name in zip(typed, R.NAMES):
         assert len(col) == len(good), name
 
 
+def test_each_variant_alone_and_among_good_ones():
+    for x in variants():
+        both([x])
+        both([line(GOOD)] * 3 + [x] + [line(GOOD)] * 3)
+
+
+def test_clean_blocks_are_parsed_once_and_failures_cost_halvings():
+    clean = pa.array([line(GOOD)] * 4096)
+    good, strictly, bad, parses = R.bisect(clean, 1024)
+    assert (len(good), len(strictly), len(bad), parses) == (4, 0, 0, 4)
+    for failures in (1, 2, 8):
+        rows = [line(GOOD)] * 4096
+        for k in range(failures):
+            rows[500 * k + 7] = "bad"
+        good, strictly, bad, parses = R.bisect(pa.array(rows), 1024)
+        assert [i for i, _ in bad] == [500 * k + 7 for k in range(failures)]
+        assert len(strictly) <= (R.LEAF - 1) * failures and 4 < parses <= 4 + 2 * 7 * failures
+
+
+def test_records_that_only_together_look_right():
+    half = line(GOOD)[:len(line(GOOD)) // 2]
+    both(['1,"', '",' + line(GOOD), line(GOOD) + "\n" + line(GOOD), line(GOOD), half + '"', '"' + half, "\ufeff" + line(GOOD), line(GOOD)[1:] + "\n1"] * 3)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.sampled_from(variants()), st.text(alphabet='",\n0a', max_size=60),
                           st.tuples(st.integers(0, 25), st.text(alphabet='0123456789/: "\n,TEL', max_size=20)).map(lambda x: line([*GOOD[:x[0]], x[1], *GOOD[x[0] + 1:]]))), max_size=40))
@@ -82,4 +108,4 @@ def test_typed_values(spark):
 def test_reasons():
     assert strict(line([*GOOD[:3], "31/02/21 00:00:00", *GOOD[4:]]))[1] == "no real date in transaction_date__date_part"
     assert strict(line(GOOD) + ",,x")[1] == "value at position 27, after the last column"
-    assert strict('1,"x')[1] == "broken quoting at value 1"
+    assert strict('1,"x')[1] == "broken quoting"

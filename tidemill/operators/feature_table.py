@@ -35,7 +35,7 @@ from tidemill.session import bucketed, materialize
 
 BLOCK_TYPES = 64
 MOST_TYPES = 5_000  # column names are kept by the driver: more types are an error, not dropped
-BUCKET_CELLS = 2_000_000  # cells (entity and type) of a bucket, about
+BUCKET_CELLS = 500_000  # cells (entity and type) of a bucket, about
 OTHER = "other"
 
 
@@ -123,7 +123,7 @@ def feature_table(events: DataFrame, entity: str, parts: Sequence[str], ts: str,
     sql_types = ["bigint", "date", *["double"] * len(units)]
     schema = ", ".join([f"`{entity}` string", *[f"`{column_name(name, t)}` {kind}" for t in named for name, kind in zip(kinds.values(), sql_types)]])
 
-    buckets = buckets or max(4, -(-cells.count() // BUCKET_CELLS))
+    buckets = buckets or max(events.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // BUCKET_CELLS))
     place = events.sparkSession.createDataFrame([(t, i) for i, t in enumerate(named)], "t string, i int")  # MOST_TYPES rows at most
     laid = bucketed(cells.join(F.broadcast(place), "t").select("k", *kinds, (F.col("i") % block_types).alias("slot"), F.floor(F.col("i") / block_types).cast("int").alias("block")),
                     "feature-blocks", "k", buckets, "block")

@@ -177,18 +177,43 @@ def _features_sql() -> str:
     return f"WITH {_CELLS_SQL}, {merged} SELECT source_phone, {', '.join(columns)} FROM all_cells GROUP BY source_phone"
 
 
-_GOOD_VALUES = " AND ".join(
-    f"regexp_full_match(coalesce(v[{p + 1}], ''), '{x}')" for p, x in records.PATTERNS.items())
-_REAL_DATES = " AND ".join(
-    f"(coalesce(v[{p + 1}], '') = '' OR v[{p + 1}][10:11] < '24' AND try_cast(concat('20', v[{p + 1}][7:8], '-', v[{p + 1}][4:5], '-', v[{p + 1}][1:2], v[{p + 1}][9:]) AS TIMESTAMP) IS NOT NULL)"
-    for p in records.DATES)
+# The test of a record, written out from its statement and not from the loader's patterns: (position, name, pattern of the value).
+_RECORD_SQL = (
+    (0, "transaction_code", "[0-9]+"),
+    (1, "service_code", "SERVICE_0[1-9]|SERVICE_1[0-2]"),
+    (2, "transaction_status", "VALIDATED|REJECTED|INCOMPLETE|REGISTERED|EXPIRED"),
+    (3, "transaction_date__date_part", "[0-9][0-9]/[0-9][0-9]/[0-9][0-9] [0-9][0-9]:[0-9][0-9]:[0-9][0-9]"),
+    (4, "transaction_date__fraction_ns", "[0-9]{0,9}"),
+    (5, "transaction_amount", "[0-9]+([.][0-9]+)?"),
+    (7, "request_date__date_part", "([0-9][0-9]/[0-9][0-9]/[0-9][0-9] [0-9][0-9]:[0-9][0-9]:[0-9][0-9])?"),
+    (8, "request_date__fraction_ns", "[0-9]{0,9}"),
+    (9, "response_date__date_part", "[0-9][0-9]/[0-9][0-9]/[0-9][0-9] [0-9][0-9]:[0-9][0-9]:[0-9][0-9]"),
+    (10, "response_date__fraction_ns", "[0-9]{0,9}"),
+    (11, "source_phone", "TEL[0-9]{8}"),
+    (12, "destination_phone", "(TEL[0-9]{8})?"),
+    (13, "transaction_fees", "([0-9]+([.][0-9]+)?)?"),
+    (25, "unclear_position_25", "[0-9]*"),
+)
+
+
+def _fails_sql(p: int, name: str, pattern: str) -> str:
+    v = f"v[{p + 1}]"
+    said = f"WHEN NOT regexp_full_match({v}, '{pattern}') THEN concat(CASE WHEN {v} = '' THEN 'missing ' ELSE 'invalid ' END, '{name}')"
+    if p in (3, 7, 9):
+        said += (f" WHEN {v} <> '' AND ({v}[10:11] > '23' OR try_cast(concat('20', {v}[7:8], '-', {v}[4:5], '-', {v}[1:2], {v}[9:]) AS TIMESTAMP) IS NULL)"
+                 f" THEN 'no real date in {name}'")
+    return said
+
+
 _LOADS_SQL = f"""split AS (SELECT line_id, batch_no, line_no, line,
     regexp_full_match(line, '(?:"(?:[^"]|"")*"|[^",\\r\\n]*)(?:,(?:"(?:[^"]|"")*"|[^",\\r\\n]*))*') AS quoted,
     list_transform(regexp_extract_all(concat(line, ','), '("(?:[^"]|"")*"|[^",\\r\\n]*),', 1),
       lambda x: CASE WHEN x[1:1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v
   FROM raw_lines WHERE line_no IS DISTINCT FROM 1),
-checked AS (SELECT *, coalesce(quoted AND line <> '' AND len(v) BETWEEN 26 AND 30
-    AND len(list_filter(v[27:], lambda x: x <> '')) = 0 AND {_GOOD_VALUES} AND {_REAL_DATES}, FALSE) AS loads FROM split)"""
+checked AS (SELECT *, CASE WHEN coalesce(line, '') = '' THEN 'no record' WHEN NOT quoted THEN 'broken quoting'
+    WHEN len(v) NOT BETWEEN 26 AND 30 THEN concat(len(v), ' values')
+    {' '.join(f"WHEN coalesce(v[{p + 1}], '') <> '' THEN 'value at position {p}, after the last column'" for p in range(26, 30))}
+    {' '.join(_fails_sql(*x) for x in _RECORD_SQL)} END AS reason FROM split)"""
 
 
 def _loaded(p: int) -> str:
@@ -230,8 +255,9 @@ gap AS (SELECT p.load_id, p.column_name, sum(abs(coalesce(n.n, 0) / p.n_nonempty
   WHERE p.n_nonempty > 0 GROUP BY ALL)"""
 
 SQL = {
-    "p2_found": f"WITH {_LOADS_SQL} SELECT line_id FROM checked WHERE NOT loads",
-    "p2_loaded": f"WITH {_LOADS_SQL} SELECT line_id, {', '.join(_loaded(p) for p in range(len(records.NAMES)))} FROM checked WHERE loads",
+    "p2_found": f"WITH {_LOADS_SQL} SELECT line_id FROM checked WHERE reason IS NOT NULL",
+    "p2_rejected": f"WITH {_LOADS_SQL} SELECT line_id, batch_no, line_no, line, reason FROM checked WHERE reason IS NOT NULL",
+    "p2_loaded": f"WITH {_LOADS_SQL} SELECT line_id, {', '.join(_loaded(p) for p in range(len(records.NAMES)))} FROM checked WHERE reason IS NULL",
     "p4_found": f"""WITH {_PROFILE_SQL}
 SELECT p.load_id, p.column_name FROM prof p JOIN schema_audit_report r USING (column_name)
   LEFT JOIN gap ON gap.load_id = p.load_id AND gap.column_name = p.column_name
