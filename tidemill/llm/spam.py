@@ -1,293 +1,106 @@
 """Keyword-stuffed pages, link lists and product tags among encyclopedia texts.
 
-Every text is cut into units (lines, sentences, marked-up spans). A unit is prose if
-function words hold it together, structure if it is a template, table of figures,
-category or the like, and bare otherwise: keywords, phrases repeated over and over,
-links, tags, prices. From this come five features of a text: the density of bare
-units, the density of links, the entropy of its words, the share of repeated phrases,
-and the share of function words. Per language, location and scatter of the features
-are estimated robustly over all documents; a document is an outlier if its robust
-Mahalanobis distance is beyond the chi-square limit, and suspicious if it lies in the
-direction of spam. An exact check of the share of bare characters follows.
+Texts are cut into segments: sentences of a long line together up to some 300 characters,
+short lines together likewise. Four features of a segment, each drawn towards what is
+usual by how little the segment holds:
+
+* ``sparse``: the share of words that are no function words (a link counts as words, a
+  number as neither; in Japanese, characters that are not hiragana);
+* ``repeated``: how often the words that are no function words come in the whole text
+  (mean of their binary logarithms);
+* ``uniform``: the entropy that these words lack within the segment, as the share of words said before;
+* ``dense``: the density of links, tags and prices.
+
+Location, scale and scatter of the features are estimated robustly for each language
+over the segments of all documents. A segment is an outlier if its robust Mahalanobis
+distance, taken over the components that point the way of spam, is beyond the
+chi-square limit, and spam if it lacks function words besides. A page is spam if more than half the
+characters of its text are in such segments: nothing but the distance tells which.
+
+All of this works on columns: regular expressions, dictionaries and sums over a batch's
+texts, no text on its own. Headings, categories, redirects and names of templates and parameters are no words.
 
 Defined cases: a NULL, empty or blank text is no spam; repeated rows come out
-repeatedly; a NULL identifier stays; texts of any length are read whole; unknown,
-missing or odd language labels fall back on the text's own words; an empty table
-gives an empty result. Only identifier, text and language label are read.
+repeatedly; a NULL identifier stays; texts of any length are read whole; a segment
+without function words has the language of its document, a document without any its
+label's, an unknown label the numbers of all languages; an empty table gives an empty
+result. Only identifier, text and language label are read.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
-from sys import intern
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.session import materialize
 
-# Words that hold sentences together, by language.
+# Function words (articles, prepositions, pronouns, conjunctions, auxiliaries, particles) by language.
 FUNCTION_WORDS = {
-    "en": "the of a an and to in is was were it its by for from on at as that which with not no never this be been had has have are "
-          "their they who or but so than more most only even like after before between until about into said will one two some "
-          "each both there here his her he she i you we our what when where how if all any many much very being behind last also may might "
-          "can could despite unlike rests while during though although because since these those them then such other now yet however nor",
-    "fr": "de la le les un une des du et en il elle ne pas par pour sur au aux à est sont été dans qui que dont se sa son ses ce cette avec "
-          "mais on n y l d qu jusqu près moins plus comme selon sans sous après avant bien malgré fut ait vers chez leur leurs où ou si "
-          "ni entre depuis encore toujours ont avait cet ces deux lui peu pourtant",
-    "de": "der die das und ist war wurde wurden von dem den des ein eine einer einen einem im in am an zu zum zur mit für auf nach aus bei nicht nur "
-          "als sich wie hier bis durch oder es er sie seit unter obwohl noch schon wenn dass denn ob warum man sind hat haben sein seine "
-          "davon ihre ihr über vor zwischen etwa heißt laut alles trotz mehrerer dennoch anders gilt",
-    "es": "el la los las un una uno de del y en es al por para con que se no su sus lo como más pero sin sobre hasta todavía desde fue era o ni "
-          "esta este estas estos según cuando donde sólo solo ya muy también entre dos parte pese había aunque porque cerca son está cuenta",
-    "ru": "в на не и с со до от по из за у к ко о об что как это был была были было всё все для но его её их где при там тут потому хотя здесь сих пор "
-          "про лет после ещё чем который которая которое которые кем том этот эта эти года году год или если так уже только лишь можно "
-          "между под над перед около ли же бы отличие находится однако изза во своей свой он она они без",
-    "ar": "في من على إلى عن لا لم ما أن كان كانت قد هذا هذه بعد قبل مع كل حتى سوى ولم ولا سنة عام نحو التي الذي أو ثم هنا حسب ذلك وهو هو هي بين عند "
-          "لكن فقط كما أحد سبب لما خلافا رغم ومع يبلغ بلغ أي منذ دام ودام وجزء",
+    "en": "the a an of to in on at by for with from into onto upon about between among against through during before after above below over under "
+          "behind near beside until since without within along across around toward towards despite except as than and or but nor so yet if because "
+          "although though while whereas unless whether that this these those which who whom whose what when where why how i you he she it we they me "
+          "him her us them my your his its our their mine yours theirs myself itself themselves himself herself is am are was were be been being have "
+          "has had having do does did will would shall should can could may might must not no there here all any each every some none both either "
+          "neither one such own same",
+    "fr": "le la les l un une des du de d au aux ce cet cette ces mon ma mes ton ta tes son sa ses notre nos votre vos leur leurs à dans sur sous en par "
+          "pour avec sans vers chez entre contre depuis pendant avant après devant derrière jusque jusqu près malgré selon hors et ou ni mais donc or "
+          "car que qu qui quoi dont où si comme quand lorsque puisque tandis je tu il elle on nous vous ils elles me te se s y lui eux moi toi ne n pas "
+          "plus point rien jamais est sont était étaient fut furent être été a ai as ont avait avaient eut ait avoir",
+    "de": "der die das den dem des ein eine einen einem einer eines kein keine keinen in im an am auf aus bei beim mit nach von vom zu zum zur für durch "
+          "gegen ohne um über unter vor hinter neben zwischen seit bis während wegen trotz laut und oder aber denn sondern dass daß ob weil obwohl wenn "
+          "als wie damit nachdem bevor ich du er sie es wir ihr man mich dich sich uns euch ihn ihm ihnen mein dein sein seine seinen seinem seiner ihre "
+          "ihren ihrem ihrer unser dieser diese dieses diesen diesem jener welche wer was wo nicht ist sind war waren sei bin wird wurde wurden werden "
+          "worden hat haben hatte hatten kann können muss soll davon dazu daran darin hier dort",
+    "es": "el la los las lo un una unos unas de del a al en con por para sin sobre entre hasta desde hacia según contra ante bajo tras durante y e o u ni "
+          "pero sino aunque porque pues que quien quienes cual cuales cuyo cuya donde cuando como si yo tú él ella ello nosotros ellos ellas me te se nos "
+          "os le les mi tu su sus este esta estos estas ese esa esos esas aquel aquella no es son era eran fue fueron ser sido está están estaba ha han "
+          "había haber",
+    "ru": "в во на с со из от до по за к ко у о об обо при про для без под над перед между через около после и а но или да что чтобы как если когда потому "
+          "хотя пока ли же бы не ни я ты он она оно мы вы они меня его её ему ей их им нас вас себя свой свою этот эта это эти этого тот та то те "
+          "того той который которая которое которые которого которой кто кем чем где здесь там тут был была было были есть быть будет",
+    "ar": "في من إلى على عن مع بعد قبل بين عند حتى منذ خلال تحت فوق نحو دون سوى كل بعض غير و أو ثم لكن بل أن إن لأن كي إذا لو كما حيث هو هي هم هن أنا نحن "
+          "أنت هذا هذه ذلك تلك التي الذي الذين ما لا لم لن ليس قد كان كانت يكون أي وهو وهي وفي ومن وعلى ولا ولم ومع",
 }
 LANGUAGES = (*FUNCTION_WORDS, "ja")
-FEATURES = ("bare", "links", "entropy", "repeated", "function")
-MEASURES = (*FEATURES, "bare_chars")
-#: Which way each feature moves in spam.
-SPAM_DIRECTION = (1.0, 1.0, -1.0, 1.0, -1.0)
-CHI2_LIMIT = 12.83  # 0.975 quantile for five features
+FEATURES = ("sparse", "repeated", "uniform", "dense")
+CHI2_LIMIT = 13.28  # 0.99 quantile for four features
+LEAST_LACK = 1.5  # scales by which a spam segment's function words are fewer than usual
 LEAST_SHARE = 0.5
-LEAST_CHARS = 60  # of bare units; fewer must show by themselves that they are repeated words, links or tags
-COMMON_WEIGHT = 200  # documents that the scatter of all languages counts as, beside a language's own
-LINE_CACHE = 30_000
+SEGMENT_CHARS = 300
+LONG_LINE = 200  # characters from which a line is cut alone; shorter ones are joined
+USUAL_WORDS = 4  # words of the usual kind that every segment is taken to have besides its own
+LINK_WORDS = 4  # words that an address counts as
+TAG_CHARS = 8  # characters that a tag or price counts as
+LEAST_WORDS = 8  # of a segment that location and scatter are estimated from
+COMMON_WEIGHT = 200  # segments that those of all languages count as, beside a language's own
+SLICE_BYTES = 4_000_000  # of text worked on at a time
+_BINS = (1000, 100, 1000, 1000)  # bins for each unit of a feature
+_FLOOR = np.array([0.05, 0.5, 0.1, 0.1])  # least scales, so that very uniform texts have a scatter
+_CLIP = 3.0
 
-_BY_WORD: dict[str, tuple[str, ...]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
+_VOCABULARY: dict[str, int] = {}
+for _i, _words in enumerate(FUNCTION_WORDS.values()):
     for _w in _words.split():
-        _BY_WORD[_w] = (*_BY_WORD.get(_w, ()), _lang)
-
-_URL = re.compile(r"https?://[^\s<>\[\]|\"{}]+")
-_TAG = re.compile(r"<[^<>]{0,300}>")
-_INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_RUN = re.compile(r"[\w@+$]++")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
-_HIRAGANA = re.compile(r"[ぁ-ゟ]")
-_BORDER = re.compile(r"[.!?؟。<>]")
-_OPENS = ("<ref", "</ref", "<!--", "<div", "<span", "<poem", "<noinclude", "<includeonly")
-_CLOSES = ("</ref>", "/>", "-->", "</div>", "</span>")
-_ARABIC = re.compile("[\u0600-\u06ff]")
-_END = re.compile(r"[.!?؟。](?:[\s\"'»”)\]}>]|</\w{1,20}>|-->)*+\Z")
-_TAIL = 80  # characters at the end of a unit that may follow its full stop
-_STRUCTURE = re.compile(
-    r"\{\{[^,\n]{0,80}|\}\}.{0,3}|\{\|.*|\|\}|\|-.*|\|\+.*|!.*"                       # templates, tables
-    r"|\|\s*[^\W\d]+\s*=\s*[^,|\n]{0,40}|\|\s*\w+\s*=\s*(?:\{\{\{.*|[\d.,\s]*)"      # parameters
-    r"|\[\[[^\]|:\n]{2,20}:[^\]\n]+\]\]|=+[^=\n]+=+|#\s?\w+\s*:?\s*\[\[.*"             # categories, headings, redirects
-    r"|</?\w+[^>]*>|<!--|-->|;\s.{1,40}|.{0,60}[:：]|'{2,5}[^']{1,60}'{2,5}.{0,12}|-{2,}.{0,60}"
-    r"|\[\d+\]", re.IGNORECASE | re.DOTALL)
-_TEMPLATE = re.compile(r"\{\{[^{},\n]{0,80}\}\}")
-_LONG_RUN = re.compile(r"(\w)\1{9,}")
-_HASHTAG = re.compile(r"(?<!\S)#\w*[^\W\d]")
-_PRICE = re.compile(r"\bSKU\b|[€$£¥]\s?\d|\d\s?[€$£¥]")
-_ARABIC_ARTICLE = re.compile(r"[ولبفك]?ال\w|لل\w")
-_NUMBERED = re.compile(r"\|\s*\w*?(?:key|tag|word)\w*\s*=", re.IGNORECASE)
-OFTEN = 6  # units of a text that have a phrase, for it to be repeated over and over
-NEAR = 3  # units to either side in which a short unit's phrases are looked for again
-AGAIN = 3  # of them have one
-LONGEST_NEAR = 11  # words of a short unit
-_WIKILINK = re.compile(r"\[\[[^\[\]]*\]\]|\'{3}[^\']{1,80}\'{3}")
-
-
-def _words_of(text: str) -> list[str]:
-    """The words of a text: runs of letters, digits and what stands for letters, but no numbers."""
-    return [w for w in _RUN.findall(text) if w[0].isalpha() or w.strip("@+$_0123456789")]
-
-
-def _function_words(words, arabic: bool) -> int:
-    """How many words are function words; in Arabic, those that carry the article count beside others."""
-    n = sum(map(_BY_WORD.__contains__, words))
-    return n + sum(w not in _BY_WORD and bool(_ARABIC_ARTICLE.match(w)) for w in words) if arabic and n else n
-
-
-def _units_of(line: str) -> list[str]:
-    """A line cut after sentences and around markup that encloses text."""
-    cuts, size = [0], len(line)
-    for m in _BORDER.finditer(line):
-        at, c = m.start(), m[0]
-        if c == "<":
-            if at and line.startswith(_OPENS, at):
-                cuts.append(at)
-        elif c == ">":
-            if line.endswith(_CLOSES, 0, at + 1):
-                cuts.append(at + 1)
-        elif c == "。" or at + 1 < size and line[at + 1].isspace():
-            cuts.append(at + 1)
-    if cuts[-1] != size:
-        cuts.append(size)
-    return [line[a:b] for a, b in zip(cuts, cuts[1:]) if a < b]
-
-
-def _kind_of(s: str) -> str:
-    """Whether a unit that is no prose and has no links is ``structure`` or ``bare``."""
-    if _PRICE.search(s) or _NUMBERED.match(s):
-        return "bare"
-    if not s or _STRUCTURE.fullmatch(s):
-        return "structure"
-    if s.startswith("|") and "||" in s:
-        cells = [c.strip() for c in s.strip("|").split("||")]
-        return "structure" if 2 * sum(c[:1].isdigit() for c in cells) >= len(cells) else "bare"
-    if "{{" in s and len(_words_of(_TEMPLATE.sub("", _TEMPLATE.sub("", s)))) < 3:
-        return "structure"
-    return "bare"
-
-
-def _unit_facts(unit: str) -> tuple:
-    """(length, words, words and function words counted, kind, link chars, links, CJK letters, phrases).
-
-    The kind is ``prose``, ``thin`` (prose of few function words), ``structure``, ``link``
-    or ``bare``.
-    """
-    urls = _URL.findall(unit)
-    body = _URL.sub(" ", unit) if urls else unit
-    if "<" in body:
-        body = _TAG.sub(" ", body)
-    low = body.lower()
-    plain_ascii = low.isascii()
-    arabic = not plain_ascii and bool(_ARABIC.search(low))
-    if not plain_ascii:
-        low = _INVISIBLE.sub("", low)
-    words = tuple(map(intern, _words_of(low)))
-    n = len(words)
-    function = _function_words(words, arabic)
-    told, tied = n, function  # outside links, bold type and templates, where names are
-    plain = words
-    if "[[" in low or "'''" in low or "{{" in low:
-        plain = _words_of(_WIKILINK.sub(" ", _TEMPLATE.sub(" ", _TEMPLATE.sub(" ", low)) if "{{" in low else low))
-        if len(plain) >= 4:
-            told, tied = len(plain), _function_words(plain, arabic)
-    cjk = 0 if plain_ascii else len(_CJK.findall(low))
-    ended = bool(_END.search(unit.rstrip()[-_TAIL:]))
-    kana = 0
-    if cjk >= 4 and cjk >= 0.4 * sum(map(len, words)):
-        kana = len(_HIRAGANA.findall(low))
-        prose = cjk >= 6 and kana >= 0.2 * cjk
-        function = n if prose else 0
-    elif ended:
-        prose = told >= 4 and (4 * tied >= told or told >= 8 and 5 * tied >= told)
-    else:
-        prose = told >= 6 and 4 * tied >= told
-    s, size = unit.strip(), len(unit)
-    if s.startswith("<ref") and n >= 8:
-        prose = 5 * function >= n
-    if urls and max(n, cjk // 2) < 7 * len(urls):
-        prose = False
-    kind = "bare"
-    if prose:
-        kind = "prose" if (5 * kana >= 2 * cjk if kana else 5 * function >= 2 * n) else "thin"
-    elif urls:
-        kind = "link"
-    elif _LONG_RUN.search(s):  # the run is nothing, what stands beside it counts
-        s = _LONG_RUN.sub("", s)
-        size = len(s)
-        kind = _kind_of(s)
-    else:
-        kind = _kind_of(s)
-    said = ()
-    if kind == "thin" and kana:  # no blanks: four letters are a phrase
-        run = "".join(words)
-        said = tuple({(run[i:i + 4],) for i in range(len(run) - 3)})
-    elif kind == "thin":
-        said = tuple({p for p in zip(plain, plain[1:]) if p[0] not in _BY_WORD or p[1] not in _BY_WORD})
-    return size, words, n, function, kind, sum(map(len, urls)), len(urls), cjk, said
-
-
-_lines: dict[str, tuple] = {}
-
-
-def _line(line: str) -> tuple:
-    """The facts of a line's units, remembered in a bounded cache."""
-    found = _lines.get(line)
-    if found is None:
-        if len(_lines) >= LINE_CACHE:
-            _lines.clear()
-        found = _lines[line] = tuple(map(_unit_facts, _units_of(line)))
-    return found
-
-
-def _said_again(units: list[tuple]) -> set[int]:
-    """Which thin units repeat phrases of others, at any distance.
-
-    A unit does if phrases said often in the whole text hold half its words that are not
-    function words, or, if it is short, if most units around have a phrase of it. Sentences
-    of many function words never do: those made by a script or sung repeat whole patterns.
-    """
-    count = Counter(chain.from_iterable(u[8] for u in units))
-    twice = [{p for p in u[8] if count[p] > 1} for u in units]
-    near = [x if u[2] <= LONGEST_NEAR and not u[7] else () for u, x in zip(units, twice)]
-    found = set()
-    for i, (u, mine) in enumerate(zip(units, twice)):
-        if not mine:
-            continue
-        told = {w for p in mine if count[p] >= OFTEN for w in p if w not in _BY_WORD}
-        if (told and 2 * len(told) >= len({w for p in u[8] for w in p if w not in _BY_WORD})
-                or near[i] and sum(not near[i].isdisjoint(x) for x in near[max(0, i - NEAR):i + NEAR + 1]) > AGAIN):
-            found.add(i)
-    return found
-
-
-def measure(text: str | None, label: str | None = None) -> tuple[str, float, float, float, float, float, float]:
-    """(language, bare, links, entropy, repeated, function, bare chars) of a text."""
-    if not text or not text.strip():
-        return normal_label(label), 0.0, 0.0, 1.0, 0.0, 0.0, 0.0
-    lines = [_line(x) for x in text.split("\n")]
-    units = [u for line in lines for u in line]
-    again: set[int] = set()
-    if sum(u[4] == "thin" for u in units) > AGAIN:
-        spoken = [(i, u) for i, u in enumerate(units) if u[2]]
-        again = {spoken[i][0] for i in _said_again([u for _, u in spoken])}
-    bare, at, song = 0, 0, False
-    for line, raw in zip(lines, text.split("\n")):
-        if "<poem" in raw:
-            song = True
-        prose_chars = linked = 0
-        for size, _, n, _, kind, _, _, _, _ in line:
-            if kind == "prose" or kind == "thin" and (song or at not in again):
-                prose_chars += size
-            elif kind == "link":
-                linked += size
-            elif kind != "structure" and (n or size > 12):
-                bare += size
-            at += 1
-        if prose_chars < 0.3 * linked:
-            bare += linked
-        if "</poem" in raw:
-            song = False
-    words = [*chain.from_iterable(u[1] for u in units)]
-    seen = Counter(words)
-    n = len(words)
-    entropy = repeated = function = 0.0
-    votes = Counter({"ja": sum(u[7] for u in units) // 3})
-    if n:
-        for w, c in seen.items():
-            for x in _BY_WORD.get(w, ()):
-                votes[x] += c
-        phrases = Counter(zip(words, words[1:], words[2:]))
-        repeated = sum(c for c in phrases.values() if c >= 4) / max(1, n - 2)
-        function = sum(u[3] for u in units) / n
-        entropy = 1.0 if n == 1 else (math.log2(n) - sum(c * math.log2(c) for c in seen.values() if c > 1) / n) / math.log2(n)
-    links = sum(u[5] + 4 * u[6] for u in units) + 4 * text.count("[[")
-    if 0 < bare < LEAST_CHARS and not _shown(text, seen, sum(u[6] for u in units)):
-        bare = 0
-    best = max(votes, key=lambda x: (votes[x], x))
-    return (best if votes[best] else normal_label(label), bare / len(text), min(1.0, links / len(text)), entropy, repeated, function,
-            float(bare))
-
-
-def _shown(text: str, seen: Counter, links: int) -> bool:
-    """Whether a few bare characters are repeated words, links or tags, and no scrap of a text."""
-    again = [c for w, c in seen.items() if c > 1 and w not in _BY_WORD]
-    return links + len(_HASHTAG.findall(text)) + len(_PRICE.findall(text)) > 1 or len(again) > 1 or max(again, default=0) > 2
+        _VOCABULARY[_w] = _VOCABULARY.get(_w, 0) | 1 << _i
+_WORD_SET = pa.array(list(_VOCABULARY))
+_WORD_LANGUAGES = np.array(list(_VOCABULARY.values()))
+
+_INVISIBLE = "[​-‏⁠﻿­]"
+_NO_WORDS = (r"(?m)^#[^\s\[]+:?\s*\[\[[^\]\n]*\]\]", r"\[\[[^\]|:\n]{2,20}:[^\]\n]*\]\]", r"(?m)^=+[^=\n]+=+\s*$")  # redirects, categories, headings
+_SENTENCE_END = r"([.!?؟]) |(。)"
+_ADDRESS = r"https?://[^\s<>\[\]|\"{}]+"
+_WIKILINK = r"\[\[[^\[\]]*\]\]"
+_MARKUP = r"<[^<>]{0,300}>|\{\{+[^{}|\n]{0,60}|\|[^=|\n]{1,20}=|\{\{\{[^{}|\n]{0,40}|\[\[[^\]|:\n]{2,20}:"  # tags, names of templates and parameters
+_BETWEEN_WORDS = r"[^\p{L}\p{M}\p{N}@+$_]+"
+_NUMBER = r"[0-9][0-9.,]*"
+_TAG = r"[€$£¥]|\bsku\b|(?:^|\s)#[^\s\d]"
+_CJK, _HIRAGANA = "[぀-ヿ㐀-鿿]", "[ぁ-ゟ]"
 
 
 def normal_label(label: str | None) -> str:
@@ -296,90 +109,265 @@ def normal_label(label: str | None) -> str:
     return short if short in LANGUAGES else "other"
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(which list each item is of, items)."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _ints(a: pa.Array) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(text, piece, characters, segment) of the sentences and lines of texts; segments are numbered in order."""
+    line_text, lines = _flat(pc.split_pattern(texts, "\n"))
+    line, pieces = _flat(pc.split_pattern(pc.replace_substring_regex(lines, _SENTENCE_END, "\\1\\2\n"), "\n"))
+    chars = _ints(pc.utf8_length(pieces))
+    there = chars > 0
+    line, chars, pieces = line[there], chars[there], pieces.filter(pa.array(there))
+    text = line_text[line]
+    if not len(line):
+        return text, pieces, chars, line
+    long = np.bincount(line, weights=chars, minlength=len(lines))[line] >= LONG_LINE
+    new = np.ones(len(line), dtype=bool)  # whether a piece begins a long line or a run of short ones
+    new[1:] = ~((line[1:] == line[:-1]) | ~long[1:] & ~long[:-1] & (text[1:] == text[:-1]))
+    run = np.cumsum(new) - 1
+    before = np.cumsum(chars) - chars
+    window = (before - before[new][run]) // SEGMENT_CHARS
+    new[1:] |= window[1:] != window[:-1]
+    return text, pieces, chars, np.cumsum(new) - 1
+
+
+#: What is kept of a segment: the number of its language, its characters, words (addresses included), function words,
+#: numbers, words that are no function words, the sum of the logarithms of their counts, how many of them are distinct, characters of links and tags.
+FACTS = ("of", "chars", "words", "function", "numbers", "plain", "recurrence", "distinct", "linked")
+
+
+def segment_facts(texts: pa.Array, labels: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """(text of each segment, its FACTS, the number of each text's language); the last number is ``other``."""
+    low = pc.utf8_lower(pc.replace_substring_regex(texts.fill_null(""), _INVISIBLE, ""))
+    for pattern in _NO_WORDS:
+        low = pc.replace_substring_regex(low, pattern, " ")
+    text, pieces, chars, seg = _pieces(low)
+    size = int(seg[-1]) + 1 if len(seg) else 0
+    add = lambda w, at=seg: np.bincount(at, weights=w, minlength=size)
+    seg_text = np.zeros(size, dtype=np.int64)
+    seg_text[seg] = text
+    rest = pc.replace_substring_regex(pieces, _ADDRESS, "")
+    left = _ints(pc.utf8_length(pc.replace_substring_regex(rest, _WIKILINK, "")))
+    addresses = _ints(pc.count_substring_regex(pieces, "https?://"))
+    clean = pc.replace_substring_regex(rest, _MARKUP, "  ")
+    piece, words = _flat(pc.split_pattern_regex(clean, _BETWEEN_WORDS))
+    spoken = pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    piece, words = piece[spoken], words.filter(pa.array(spoken))
+    at, of_text = seg[piece], text[piece]
+    enc = words.dictionary_encode()
+    code, most = enc.indices.to_numpy(), max(1, len(enc.dictionary))
+    known = pc.index_in(enc.dictionary, value_set=_WORD_SET)
+    is_function = known.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+    spoken_in = np.where(is_function, _WORD_LANGUAGES[known.fill_null(0).to_numpy(zero_copy_only=False)], 0)[code]
+    function = is_function[code]
+    plain = ~function
+    _, cell, count = np.unique(of_text[plain] * most + code[plain], return_inverse=True, return_counts=True)
+    distinct = np.unique(at[plain] * most + code[plain]) // most
+    cjk, hiragana = (add(_ints(pc.count_substring_regex(pieces, p))) for p in (_CJK, _HIRAGANA))
+    all_chars = add(chars)
+    japanese = cjk >= 0.3 * np.maximum(all_chars, 1)
+    votes = np.stack([*[add((spoken_in >> i) & 1, at) for i in range(len(FUNCTION_WORDS))], cjk / 3], axis=1)
+    of_texts = np.stack([np.bincount(seg_text, weights=v, minlength=len(texts)) for v in votes.T], axis=1)
+    other = len(LANGUAGES)
+    place = {x: i for i, x in enumerate(LANGUAGES)}
+    labelled = np.array([place.get(normal_label(x), other) for x in labels.to_pylist()], dtype=np.int64)
+    text_language = np.where(of_texts.max(axis=1, initial=0) > 0, of_texts.argmax(axis=1), labelled) if len(texts) else labelled
+    language = seg_text
+    if size:
+        own = text_language[seg_text]
+        weighed = votes * (1 + (np.arange(other) == own[:, None]))  # a word of the text's own language counts twice
+        language = np.where(votes.max(axis=1) > 0, weighed.argmax(axis=1), own)
+    facts = {
+        "of": language, "chars": all_chars, "words": np.where(japanese, cjk, np.bincount(at, minlength=size)) + LINK_WORDS * add(addresses),
+        "function": np.where(japanese, hiragana, add(function, at)), "numbers": add(_ints(pc.count_substring_regex(clean, _NUMBER))),
+        "plain": np.bincount(at[plain], minlength=size), "recurrence": add(np.log2(count[cell]), at[plain]), "distinct": np.bincount(distinct, minlength=size),
+        "linked": add(chars - left + TAG_CHARS * _ints(pc.count_substring_regex(pieces, _TAG))),
+    }
+    return seg_text, facts, text_language
+
+
+def _slices(b: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch cut where SLICE_BYTES of text are together; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for x, y in zip(cuts, cuts[1:]):
+        if x < y:
+            yield b.slice(x, y - x)
+
+
 def _measurer(id_col: str, text_col: str, lang_col: str):
+    """mapInArrow body: documents -> their language and lists of their segments' facts."""
+    names = pa.array([*LANGUAGES, "other"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [measure(t.as_py(), x.as_py()) for t, x in zip(b.column(text_col), b.column(lang_col))]
-            cols = list(zip(*rows)) if rows else [[] for _ in range(1 + len(MEASURES))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:]]],
-                [id_col, "language", *MEASURES])
+        for whole in batches:
+            for b in _slices(whole, text_col):
+                seg_text, facts, language = segment_facts(b.column(text_col), b.column(lang_col))
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(seg_text, minlength=b.num_rows))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(facts[f].astype(np.float32))) for f in FACTS]
+                yield pa.RecordBatch.from_arrays([b.column(id_col), names.take(pa.array(language)), *lists], [id_col, "language", *FACTS])
 
     return run
 
 
-def page_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, language, five features, bare chars) of every document; no exchange."""
+def page_segments(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, language, a list for each of FACTS) of every document; no exchange."""
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, language string, " + ", ".join(f"`{f}` double" for f in MEASURES)
+    schema = f"`{id_col}` {kind}, language string, " + ", ".join(f"{f} array<float>" for f in FACTS)
     return documents.select(id_col, text_col, lang_col).mapInArrow(_measurer(id_col, text_col, lang_col), schema)
 
 
-#: Least scale of each feature, so that a language of very uniform texts has a scatter.
-_FLOOR = 0.02
-_CLIP = 3.0
+@dataclass(frozen=True)
+class Scatter:
+    """Of a language: location and scale of the features, inverse of the scatter of clipped standard values."""
+
+    location: np.ndarray
+    scale: np.ndarray
+    inverse: np.ndarray
+
 
+def _facts_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {f: b.column(f).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for f in FACTS}
 
-Scatter = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+def _raw(x: dict[str, np.ndarray]) -> np.ndarray:
+    """The features of segments as they are, a row each."""
+    plain = np.maximum(x["plain"], 1)
+    return np.stack([1 - x["function"] / np.maximum(x["words"], 1), x["recurrence"] / plain, 1 - x["distinct"] / plain - (x["plain"] == 0),
+                     np.minimum(1, x["linked"] / np.maximum(x["chars"], 1))], axis=1)
 
-def _with_parameters(rows: DataFrame, key: str, table: dict[str, list[float]], names: list[str]) -> DataFrame:
-    """Columns of numbers by language; the closed set of languages bounds what is broadcast."""
-    schema = f"`{key}` string, " + ", ".join(f"{n} double" for n in names)
-    small = rows.sparkSession.createDataFrame([(g, *map(float, v)) for g, v in table.items()], schema)
-    return rows.join(F.broadcast(small), key)
 
+def _standard(x: dict[str, np.ndarray], places: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Standard values of the features, drawn towards 0 by how little a segment holds."""
+    raw = _raw(x)
+    usual = USUAL_WORDS * np.ones(len(raw))
+    weight = np.stack([x["words"] / (x["words"] + usual + x["numbers"]), *[x["plain"] / (x["plain"] + usual)] * 2, np.ones(len(raw))], axis=1)
+    location, scale = (np.array([places[i][k] for i in range(len(LANGUAGES) + 1)]) for k in (0, 1))
+    of = x["of"].astype(np.int64)
+    return weight * (raw - location[of]) / scale[of]
 
-def robust_scatter(features: DataFrame) -> Scatter:
-    """language -> (medians, scales, inverse of the scatter of clipped standard values), over all documents.
 
-    Languages are a closed set, so what comes to the driver is of fixed size. Each language's
-    numbers are drawn towards those of all documents, the more the fewer documents it has.
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (language, feature, bin, segments)."""
+    for b in batches:
+        x = _facts_of(b)
+        enough = x["words"] >= LEAST_WORDS
+        raw, of = _raw(x)[enough], x["of"][enough].astype(np.int64)
+        for k, per in enumerate(_BINS):
+            cell, n = np.unique((of << 32) + np.rint(raw[:, k] * per).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell >> 32), pa.array(np.full(len(cell), k)), pa.array(cell & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["g", "k", "bin", "n"])
+
+
+def _middle(values: np.ndarray, weights: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(upto, upto[-1] / 2)])
+
+
+def _places(segments: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """number of a language -> (medians, scales): exact to a bin, from counts of bins; ``other`` has those of all.
+
+    Languages and bins are closed sets, which bounds what comes to the driver.
     """
-    k = len(FEATURES)
-    both = features.select(F.explode(F.array("language", F.lit("all"))).alias("g"), *FEATURES)
-    middle = both.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()
-    if not middle:
+    counted = segments.mapInArrow(_histograms, "g bigint, k bigint, bin bigint, n bigint").groupBy("g", "k", "bin").agg(F.sum("n")).collect()
+    if not counted:
         return {}
-    size = {r.g: r.n for r in middle}
-    med = {r.g: [r[f] for f in FEATURES] for r in middle}
-    at = [f"m{i}" for i in range(k)]
-    spread = _with_parameters(both, "g", med, at).groupBy("g").agg(
-        *[F.percentile_approx(F.abs(F.col(f) - F.col(m)), 0.5, 10_000).alias(f) for f, m in zip(FEATURES, at)]).collect()
-    scale = {r.g: [max(1.4826 * r[f], _FLOOR) for f in FEATURES] for r in spread}
-    by = [f"s{i}" for i in range(k)]
-    placed = _with_parameters(both, "g", {g: med[g] + scale[g] for g in med}, at + by)
-    z = placed.select("g", *[F.greatest(F.lit(-_CLIP), F.least(F.lit(_CLIP), (F.col(f) - F.col(m)) / F.col(s))).alias(f"z{i}")
-                             for i, (f, m, s) in enumerate(zip(FEATURES, at, by))])
-    products = [F.avg(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    g, k, at, n = (np.array(c, dtype=np.float64) for c in zip(*counted))
     out = {}
-    for r in z.groupBy("g").agg(*products).collect():
-        c = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                c[i, j] = c[j, i] = r[f"c{i}_{j}"]
-        out[r.g] = (np.array(med[r.g]), np.array(scale[r.g]), c + 0.05 * np.eye(k))
-    own = {g: size[g] / (size[g] + COMMON_WEIGHT) for g in out}
-    drawn = {g: [own[g] * x + (1 - own[g]) * y for x, y in zip(out[g], out["all"])] for g in out}
-    return {g: (m, s, np.linalg.inv(c)) for g, (m, s, c) in drawn.items()}
-
-
-def suspicious(features: DataFrame, scatter: Scatter) -> DataFrame:
-    """The features with ``distance`` (squared, robust) and ``towards_spam``."""
+    for i in range(len(LANGUAGES) + 1):
+        location, scale = np.zeros(len(FEATURES)), np.zeros(len(FEATURES))
+        for j, per in enumerate(_BINS):
+            mine = k == j
+            weight = n[mine] * ((g[mine] == i) + COMMON_WEIGHT / n[mine].sum())
+            location[j] = _middle(at[mine] / per, weight)
+            scale[j] = max(1.4826 * _middle(np.abs(at[mine] / per - location[j]), weight), _FLOOR[j])
+        out[i] = location, scale
+    return out
+
+
+def _products(places: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """mapInArrow body: (language, segments, sums of products of clipped standard values)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _facts_of(b)
+            enough = x["words"] >= LEAST_WORDS
+            z = np.clip(_standard(x, places), -_CLIP, _CLIP)[enough]
+            of = x["of"][enough].astype(np.int64)
+            for i in np.unique(of).tolist():
+                mine = z[of == i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i]), pa.array([len(mine)]), *[pa.array([v]) for v in (mine.T @ mine).ravel()]], ["g", "n", *_CELLS])
+
+    return run
+
+
+_CELLS = [f"c{i}_{j}" for i in range(len(FEATURES)) for j in range(len(FEATURES))]
+
+
+def robust_scatter(segments: DataFrame) -> dict[int, Scatter]:
+    """number of a language -> its Scatter, over the segments of all documents that hold enough words.
+
+    Each language's numbers are drawn towards those of all, the more the fewer segments it has.
+    """
+    places = _places(segments)
+    if not places:
+        return {}
+    schema = "g bigint, n bigint, " + ", ".join(f"{c} double" for c in _CELLS)
+    sums = segments.mapInArrow(_products(places), schema).groupBy("g").agg(F.sum("n"), *[F.sum(c) for c in _CELLS]).collect()
     k = len(FEATURES)
-    at, by = [f"__m{i}" for i in range(k)], [f"__s{i}" for i in range(k)]
-    inverse = [f"__c{i}_{j}" for i in range(k) for j in range(k)]
-    table = {g: [*m, *s, *c.ravel()] for g, (m, s, c) in scatter.items() if g != "all"}
-    placed = _with_parameters(features, "language", table, at + by + inverse)
-    z = placed.withColumns({f"__z{i}": (F.col(f) - F.col(m)) / F.col(s) for i, (f, m, s) in enumerate(zip(FEATURES, at, by))})
-    distance = sum((F.col(f"__c{i}_{j}") * F.col(f"__z{i}") * F.col(f"__z{j}") for i in range(k) for j in range(k)), F.lit(0.0))
-    towards = sum((F.col(f"__z{i}") * d for i, d in enumerate(SPAM_DIRECTION)), F.lit(0.0))
-    return z.withColumns({"distance": distance, "towards_spam": towards}).select(*features.columns, "distance", "towards_spam")
+    n = {r[0]: r[1] for r in sums}
+    total = {r[0]: np.array(r[2:], dtype=np.float64).reshape(k, k) for r in sums}
+    common = sum(total.values()) / sum(n.values())
+    out = {}
+    for i, (location, scale) in places.items():
+        scatter = (total.get(i, 0) + COMMON_WEIGHT * common) / (n.get(i, 0) + COMMON_WEIGHT)
+        out[i] = Scatter(location, scale, np.linalg.inv(scatter + 0.05 * np.eye(k)))
+    return out
+
+
+def _judge(id_col: str, scatter: dict[int, Scatter], limit: float, least_lack: float):
+    """mapInArrow body: documents -> the share of their characters in spam segments, and the mean distance of those."""
+    places = {i: (s.location, s.scale) for i, s in scatter.items()}
+    inverse = np.array([scatter[i].inverse for i in range(len(LANGUAGES) + 1)]) if scatter else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _facts_of(b)
+            doc = np.repeat(np.arange(b.num_rows), b.column("chars").value_lengths().to_numpy(zero_copy_only=False))
+            z = _standard(x, places)
+            way = np.maximum(z, 0)
+            distance = np.einsum("ij,ijk,ik->i", way, inverse[x["of"].astype(np.int64)], way)
+            spam = x["chars"] * ((distance > limit) & (z[:, 0] > least_lack))
+            add = lambda w: np.bincount(doc, weights=w, minlength=b.num_rows)
+            bare = add(spam)
+            share = bare / np.maximum(add(x["chars"]), 1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(id_col), b.column("language"), pa.array(share), pa.array(add(spam * distance) / np.maximum(bare, 1))], [id_col, "language", "share", "distance"])
+
+    return run
+
+
+def judged_pages(segments: DataFrame, scatter: dict[int, Scatter], id_col: str = "doc_id", limit: float = CHI2_LIMIT, least_lack: float = LEAST_LACK) -> DataFrame:
+    """(id, language, share of characters in spam segments, their mean squared distance) of every document."""
+    kind = segments.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, language string, share double, distance double"
+    if not scatter:  # no segment holds enough words to estimate anything from
+        return segments.select(id_col, "language", F.lit(0.0).alias("share"), F.lit(0.0).alias("distance"))
+    return segments.mapInArrow(_judge(id_col, scatter, limit, least_lack), schema)
 
 
 def spam_pages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                limit: float = CHI2_LIMIT, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(id, language, features, distance, towards_spam) of the spam pages."""
-    features = materialize(page_features(documents, id_col, text_col, lang_col), "page-features")
-    flagged = suspicious(features, robust_scatter(features))
-    return flagged.filter((F.col("distance") > limit) & (F.col("towards_spam") > 0) & (F.col("bare") > least_share))
+    """(id, language, share, distance) of the spam pages."""
+    segments = materialize(page_segments(documents, id_col, text_col, lang_col), "page-segments")
+    return judged_pages(segments, robust_scatter(segments), id_col, limit).filter(F.col("share") > least_share)
