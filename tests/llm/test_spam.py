@@ -102,7 +102,7 @@ def corpus(seed=7):
     rows, bad = [], set()
     for lang in PROSE:
         for kind in OTHER:
-            for _ in range(24 if kind in ("prose", "short") else 8):
+            for _ in range({"prose": 100, "short": 24}.get(kind, 8)):
                 rows.append((len(rows), fine(rng, lang, kind), rng.choice([lang, lang.upper(), None])))
         for kind in KINDS:
             for share in (0, 1, 2):

@@ -69,19 +69,19 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = (*FUNCTION_WORDS, "ja")
 FEATURES = ("sparse", "repeated", "uniform", "dense")
-CHI2_LIMIT = 13.28  # 0.99 quantile for four features
+CHI2_LIMIT = 18.47  # 0.999 quantile for four features
 LEAST_LACK = 1.5  # scales by which a spam segment's function words are fewer than usual
 LEAST_SHARE = 0.5
 SEGMENT_CHARS = 300
 LONG_LINE = 200  # characters from which a line is cut alone; shorter ones are joined
 USUAL_WORDS = 4  # words of the usual kind that every segment is taken to have besides its own
-LINK_WORDS = 4  # words that an address counts as
+LINK_WORDS = 3  # words that an address counts as
 TAG_CHARS = 8  # characters that a tag or price counts as
 LEAST_WORDS = 8  # of a segment that location and scatter are estimated from
 COMMON_WEIGHT = 200  # segments that those of all languages count as, beside a language's own
 SLICE_BYTES = 4_000_000  # of text worked on at a time
 _BINS = (1000, 100, 1000, 1000)  # bins for each unit of a feature
-_FLOOR = np.array([0.05, 0.5, 0.1, 0.1])  # least scales, so that very uniform texts have a scatter
+_FLOOR = np.array([0.07, 0.5, 0.1, 0.1])  # least scales, so that very uniform texts have a scatter
 _CLIP = 3.0
 
 _VOCABULARY: dict[str, int] = {}
@@ -274,11 +274,12 @@ def _middle(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def _places(segments: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """number of a language -> (medians, scales): exact to a bin, from counts of bins; ``other`` has those of all.
+    """number of a language -> (medians, scales): exact to a bin, from counts of bins; ``other`` has those of all languages.
 
-    Languages and bins are closed sets, which bounds what comes to the driver.
+    What has no language tells nothing of how texts usually are, and is left out. Languages and bins are closed sets, which bounds what comes to the driver.
     """
-    counted = segments.mapInArrow(_histograms, "g bigint, k bigint, bin bigint, n bigint").groupBy("g", "k", "bin").agg(F.sum("n")).collect()
+    counted = (segments.mapInArrow(_histograms, "g bigint, k bigint, bin bigint, n bigint").filter(F.col("g") < len(LANGUAGES))
+               .groupBy("g", "k", "bin").agg(F.sum("n")).collect())
     if not counted:
         return {}
     g, k, at, n = (np.array(c, dtype=np.float64) for c in zip(*counted))
@@ -288,21 +289,25 @@ def _places(segments: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         for j, per in enumerate(_BINS):
             mine = k == j
             weight = n[mine] * ((g[mine] == i) + COMMON_WEIGHT / n[mine].sum())
-            location[j] = _middle(at[mine] / per, weight)
-            scale[j] = max(1.4826 * _middle(np.abs(at[mine] / per - location[j]), weight), _FLOOR[j])
+            value = at[mine] / per
+            location[j] = _middle(value, weight)
+            away = value <= location[j]  # the side that spam is not on, so spam does not widen the scale
+            scale[j] = max(1.4826 * _middle(location[j] - value[away], weight[away]), _FLOOR[j])
         out[i] = location, scale
     return out
 
 
 def _products(places: dict[int, tuple[np.ndarray, np.ndarray]]):
-    """mapInArrow body: (language, segments, sums of products of clipped standard values)."""
+    """mapInArrow body: (language, segments, sums of products of clipped standard values), of segments that are no outliers by scales alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _facts_of(b)
             enough = x["words"] >= LEAST_WORDS
-            z = np.clip(_standard(x, places), -_CLIP, _CLIP)[enough]
-            of = x["of"][enough].astype(np.int64)
+            z = _standard(x, places)
+            enough &= x["of"] < len(LANGUAGES)
+            enough &= (np.maximum(z, 0) ** 2).sum(axis=1) <= CHI2_LIMIT  # outliers do not widen the scatter
+            z, of = np.clip(z[enough], -_CLIP, _CLIP), x["of"][enough].astype(np.int64)
             for i in np.unique(of).tolist():
                 mine = z[of == i]
                 yield pa.RecordBatch.from_arrays(
@@ -325,6 +330,8 @@ def robust_scatter(segments: DataFrame) -> dict[int, Scatter]:
     schema = "g bigint, n bigint, " + ", ".join(f"{c} double" for c in _CELLS)
     sums = segments.mapInArrow(_products(places), schema).groupBy("g").agg(F.sum("n"), *[F.sum(c) for c in _CELLS]).collect()
     k = len(FEATURES)
+    if not sums:
+        return {}
     n = {r[0]: r[1] for r in sums}
     total = {r[0]: np.array(r[2:], dtype=np.float64).reshape(k, k) for r in sums}
     common = sum(total.values()) / sum(n.values())
