@@ -26,12 +26,19 @@ LOADS = ([(1, str(i % 50 + 30), "A" if i % 2 else "B", None, 1) for i in range(1
          + [(None, None, None, None, None)] * 3)
 
 
+IDS = ["load", "column_name"]
+
+
+def kept(df, **kw):
+    return P.maintain(None, P.load_deltas(df, "load", COLS, **kw), "load")
+
+
 def counted(df):
     return {(r[0], r.column_name): dict(zip(r.vals, r.counts)) for r in df.collect()}
 
 
 def test_deltas_are_value_counts(spark):
-    got = counted(P.load_deltas(rows(spark, LOADS).repartition(7), "load", COLS))
+    got = counted(kept(rows(spark, LOADS).repartition(7)))
     for load in (1, 2, 3, None):
         for i, c in enumerate(COLS):
             assert got[load, c] == Counter((r[1 + i] or "") for r in LOADS if r[0] == load)
@@ -39,12 +46,12 @@ def test_deltas_are_value_counts(spark):
 
 def test_a_big_load_is_cut_by_value_and_measures_the_same(spark, report):
     df = rows(spark, LOADS).repartition(3)
-    whole = P.profiles(P.load_deltas(df, "load", COLS), ["load", "column_name", "part"], report)
-    cut = P.load_deltas(df, "load", COLS, big_group=20)
+    whole = P.profiles(kept(df), IDS, report)
+    cut = kept(df, big_group=20)
     assert cut.filter("part > 0").count() > 0
     key = lambda r: str((r["load"], r["column_name"]))
     rounded = lambda d: sorted([{**r.asDict(), "entropy": r.entropy and round(r.entropy, 9)} for r in d.collect()], key=key)
-    assert rounded(P.profiles(cut, ["load", "column_name", "part"], report)) == rounded(whole)
+    assert rounded(P.profiles(cut, IDS, report)) == rounded(whole)
 
 
 def test_metrics(spark, report):
@@ -59,18 +66,42 @@ def test_metrics(spark, report):
     assert none.pct_nonempty == 0 and none.entropy is None and none.departs == ["filled"] and none.distinct_share is None
 
 
-def test_taking_a_load_back(spark):
-    one = rows(spark, [r for r in LOADS if r[0] == 1])
+@pytest.mark.parametrize("big", [P.BIG_GROUP, 30])
+def test_taking_a_load_back(spark, report, big):
+    one = rows(spark, [r for r in LOADS if r[0] in (1, None)])
     two = rows(spark, [r for r in LOADS if r[0] == 2])
-    kept = P.maintain(None, P.load_deltas(one, "load", COLS), parts=4)
-    both = P.maintain(kept, P.load_deltas(two, "load", COLS), parts=4)
-    back = P.maintain(both, P.load_deltas(two, "load", COLS, sign=-1), parts=4)
+    first = kept(one, big_group=big)
+    both = P.maintain(first, P.load_deltas(two, "load", COLS, kept=first, big_group=big), "load")
+    # The parts of the load are those it is kept in, whatever the size of what is taken back.
+    half = P.maintain(both, P.load_deltas(two.filter("x = ''"), "load", COLS, sign=-1, kept=both), "load")
+    back = P.maintain(half, P.load_deltas(two.filter("x <> ''"), "load", COLS, sign=-1, kept=half), "load")
 
     def flat(df):
-        return {(r.column_name, v): n for r in df.collect() for v, n in zip(r.vals, r.counts)}
+        return {(r.load, r.column_name, v): n for r in df.collect() for v, n in zip(r.vals, r.counts)}
+
+    assert flat(back) == flat(first) and flat(both)[2, "y", "A"] == 50
+    assert back.filter("load = 2").count() == 0
+
+
+def test_all_loads_together(spark, report, monkeypatch):
+    df = rows(spark, LOADS)
+    table = kept(df)
+    whole = P.profiles(P.over_all_loads(table), ["column_name"], report).collect()
+    x = next(r for r in whole if r.column_name == "x")
+    assert x.n_seen == len(LOADS) and x.n_distinct == len({r[1] for r in LOADS if r[1]}) and x.departs
+    monkeypatch.setattr(P, "CELLS_PER_PART", 7)
+    cut = P.over_all_loads(table)
+    assert cut.filter("part > 0").count() > 0
+    key = lambda r: r["column_name"]
+    same = lambda rs: [{**r.asDict(), "entropy": round(r.entropy, 9)} for r in sorted(rs, key=key)]
+    assert same(P.profiles(cut, ["column_name"], report).collect()) == same(whole)
+
 
-    assert flat(back) == flat(kept)
-    assert flat(both)["y", "A"] == 50 + 50
+def test_many_listed_values(spark):
+    names = [f"v{i}" for i in range(33)]
+    wide = spark.createDataFrame([("x", 33, 100.0, {"OTHER": 33}, names, {v: 1 for v in names}, 1.0, None, None, None)], REPORT)
+    got = P.load_profiles(rows(spark, [(1, v, None, None, 1) for v in names]), "load", ["x"], wide).collect()
+    assert got[0].distance == 0 and got[0].departs == []
 
 
 def test_empty_and_long(spark, report):

@@ -1,10 +1,11 @@
 """Column-level data quality profiles from maintained value-count tables.
 
-Each load of a table is one signed delta: of every column, its values and how often
-the load has them (negative when a load is taken back). Deltas are built per input
-split before anything is exchanged and are kept as a table; every metric (filled
-share, type counts, distinct values, range and median of numbers, entropy, distance
-to an accepted profile) is derived from counts alone, exactly.
+A table of value counts is kept for every load and column. Each delivery is a signed
+delta: of every column, its values and how often the load has them (negative when a
+load is taken back). Deltas are counted per input split before anything is exchanged and
+applied to the kept table by ``maintain``; every metric (filled share, type counts,
+distinct values, range and median of numbers, entropy, distance to an accepted profile)
+is derived from kept counts alone, exactly, of a load or of all loads together.
 
 Defined cases: NULL and '' are EMPTY; without non-empty values all shares but the
 filled one are NULL; a NULL group (load) is a group of its own; repeated rows count as
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.arrow_groups import whole_groups
@@ -37,11 +38,11 @@ TYPE_PATTERNS = {
 TYPES = (*TYPE_PATTERNS, "OTHER")
 CHUNK_ROWS = 120_000  # rows of a split counted at a time
 BIG_GROUP = 1_000_000  # a group of more rows is cut by value, a part for each so many rows
-MOST_LISTED = 20
+CELLS_PER_PART = 200_000  # values of a column, over all loads, that a part of it holds, about
 
 
 def _delta_counter(group: str, columns: Sequence[str], sign: int, parts: Mapping[int | None, int], sub: int):
-    """mapInArrow body: rows -> (group, column, part, values, counts), one for each in a chunk."""
+    """mapInArrow body: rows -> (group, column, parts, part, values, counts), one for each in a chunk."""
 
     def count(t: pa.Table) -> Iterator[pa.RecordBatch]:
         enc = pa.chunked_array(t.column(group).chunks).combine_chunks().dictionary_encode()
@@ -50,7 +51,7 @@ def _delta_counter(group: str, columns: Sequence[str], sign: int, parts: Mapping
         gcode = enc.indices.fill_null(none).to_numpy(zero_copy_only=False).astype(np.int64)
         ids = pa.concat_arrays([groups, pa.nulls(1, groups.type)])
         part_count = np.array([parts.get(x, 1) for x in ids.to_pylist()], dtype=np.int64)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for name in columns:
             col = t.column(name).combine_chunks()
             enc = (col if pa.types.is_string(col.type) else col.cast(pa.string())).fill_null("").dictionary_encode()
@@ -59,18 +60,18 @@ def _delta_counter(group: str, columns: Sequence[str], sign: int, parts: Mapping
             g, code = cell // size, cell % size
             part = np.zeros(len(cell), dtype=np.int64)
             if part_count.max() > 1:
-                hashed = pd.util.hash_array(enc.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-                part = (hashed[code] % part_count[g].astype(np.uint64)).astype(np.int64)
+                part = (_hashed(enc.dictionary)[code] % part_count[g].astype(np.uint64)).astype(np.int64)
                 order = np.lexsort((part, g))
                 g, code, n, part = g[order], code[order], n[order], part[order]
             starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
             offsets = pa.array(np.append(starts, len(g)).astype(np.int32))
             out[0].append(ids.take(pa.array(g[starts])))
             out[1].append(pa.array([name] * len(starts)))
-            out[2].append(pa.array(part[starts]))
-            out[3].append(pa.ListArray.from_arrays(offsets, enc.dictionary.take(pa.array(code))))
-            out[4].append(pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64) * sign)))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], [group, "column_name", "part", "vals", "counts"])
+            out[2].append(pa.array(part_count[g[starts]]))
+            out[3].append(pa.array(part[starts]))
+            out[4].append(pa.ListArray.from_arrays(offsets, enc.dictionary.take(pa.array(code))))
+            out[5].append(pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64) * sign)))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], [group, "column_name", *_CELLS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -86,6 +87,14 @@ def _delta_counter(group: str, columns: Sequence[str], sign: int, parts: Mapping
     return run
 
 
+_CELLS = ("parts", "part", "vals", "counts")
+_CELL_TYPES = "parts bigint, part bigint, vals array<string>, counts array<bigint>"
+
+
+def _hashed(values: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+
+
 def _flat(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(row of each value, values, counts) of a table of nested counts."""
     vals = t.column("vals").combine_chunks()
@@ -125,20 +134,21 @@ def _kind(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
 
-def load_deltas(rows: DataFrame, group: str, columns: Sequence[str], sign: int = 1,
+def load_deltas(rows: DataFrame, group: str, columns: Sequence[str], sign: int = 1, kept: DataFrame | None = None,
                 big_group: int = BIG_GROUP, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(group, column_name, part, vals, counts): what each load adds to the value-count tables.
+    """(group, column_name, parts, part, vals, counts): what each load adds to the kept table, counted split by split.
 
-    Splits count their own rows first, so an exchange carries each value of a load
-    once per split. A load of more than ``big_group`` rows is cut into parts by a hash
-    of the value, so no task gets a whole big load; only the ids of such loads come
+    An exchange carries each value of a load once per split. A load of more than ``big_group`` rows is cut into parts by a hash
+    of the value, so no task gets a whole big load; a load that ``kept`` has keeps its parts there. Only the ids of such loads come
     to the driver, at most one for every ``big_group`` rows.
     """
     sizes = rows.groupBy(group).count().filter(F.col("count") > big_group).collect()
     parts = {r[0]: -(-r[1] // big_group) for r in sizes}
-    schema = f"`{group}` {_kind(rows, group)}, column_name string, part bigint, vals array<string>, counts array<bigint>"
-    partial = rows.select(group, *columns).mapInArrow(_delta_counter(group, columns, sign, parts, chunk_rows), schema)
-    return merge_counts(partial, [group, "column_name", "part"])
+    if kept is not None:
+        cut = {r[0]: r[1] for r in kept.filter("parts > 1").select(group, "parts").distinct().collect()}
+        parts = {g: n for g, n in parts.items() if kept.filter(F.col(group).eqNullSafe(F.lit(g))).isEmpty()} | cut
+    schema = f"`{group}` {_kind(rows, group)}, column_name string, {_CELL_TYPES}"
+    return rows.select(group, *columns).mapInArrow(_delta_counter(group, columns, sign, parts, chunk_rows), schema)
 
 
 def merge_counts(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,35 +158,45 @@ def merge_counts(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
     return laid.mapInArrow(_merger(keys), schema)
 
 
-def maintain(counts: DataFrame | None, deltas: DataFrame, parts: int = 64) -> DataFrame:
-    """The value-count tables of the columns over all loads, after applying ``deltas``.
+def maintain(kept: DataFrame | None, deltas: DataFrame, group: str) -> DataFrame:
+    """The kept value counts of loads and columns after ``deltas``, written as a table.
 
-    (column_name, part, vals, counts): a column is cut into ``parts`` by a hash of the
-    value, so its table may be larger than a task. Pass the result (written as a table)
-    with the next load's deltas; taking a load back is applying its negative deltas.
+    (group, column_name, parts, part, vals, counts). Pass the result with the next deltas;
+    taking a load back is applying its negative deltas, after which nothing of it is left.
     """
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = deltas if kept is None else kept.select(*deltas.columns).unionByName(deltas)
+    return materialize(merge_counts(both, [group, "column_name", "parts", "part"]).filter(F.size("vals") > 0), "value-counts")
+
+
+def _cutter(parts: int):
+    """mapInArrow body: kept counts -> the same of columns, in parts by a hash of the value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             row, vals, n = _flat(pa.Table.from_batches([b]))
             enc = vals.dictionary_encode()
-            hashed = pd.util.hash_array(enc.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-            part = (hashed % np.uint64(parts)).astype(np.int64)[enc.indices.to_numpy()] if len(vals) else np.zeros(0, np.int64)
+            part = (_hashed(enc.dictionary) % np.uint64(parts)).astype(np.int64)[enc.indices.to_numpy()] if len(vals) else np.zeros(0, np.int64)
             cell = row * parts + part
             order = np.argsort(cell, kind="stable")
             starts = np.flatnonzero(np.r_[len(order) > 0, np.diff(cell[order]) != 0]) if len(order) else np.zeros(0, np.int64)
             offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
             at = cell[order][starts] if len(order) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("column_name").take(pa.array(at // parts)), pa.array(at % parts),
+                [b.column("column_name").take(pa.array(at // parts)), pa.array(np.full(len(at), parts)), pa.array(at % parts),
                  pa.ListArray.from_arrays(offsets, vals.take(pa.array(order))),
-                 pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["column_name", "part", "vals", "counts"])
+                 pa.ListArray.from_arrays(offsets, pa.array(n[order]))], ["column_name", *_CELLS])
+
+    return run
 
-    new = deltas.select("column_name", "vals", "counts").mapInArrow(
-        cut, "column_name string, part bigint, vals array<string>, counts array<bigint>")
-    both = new if counts is None else counts.select("column_name", "part", "vals", "counts").unionByName(new)
-    return merge_counts(both, ["column_name", "part"])
+
+def over_all_loads(kept: DataFrame) -> DataFrame:
+    """(column_name, parts, part, vals, counts): the kept counts of every column, summed over the loads."""
+    most = kept.groupBy("column_name").agg(F.sum(F.size("vals")).alias("n")).agg(F.max("n")).first()[0]
+    parts = max(1, -(-(most or 0) // CELLS_PER_PART))
+    cut = kept.select("column_name", "vals", "counts").mapInArrow(_cutter(parts), f"column_name string, {_CELL_TYPES}")
+    return materialize(merge_counts(cut, ["column_name", "parts", "part"]).filter(F.size("vals") > 0), "column-counts")
 
 
 def _classes(vals: pa.Array) -> np.ndarray:
@@ -188,8 +208,21 @@ def _classes(vals: pa.Array) -> np.ndarray:
     return out
 
 
-def _measurer(keys: Sequence[str], listed: Mapping[str, Sequence[str]], ranges: Mapping[str, tuple[float, float]]):
-    """mapInArrow body: nested counts -> sums that add up over the parts of a column."""
+def _numbers(b: pa.RecordBatch, ranges: Mapping[str, tuple[float, float]]):
+    """(row, number, count, whether beyond the accepted range) of the plain numbers of columns that have a range."""
+    row, vals, n = _flat(pa.Table.from_batches([b]))
+    names = b.column("column_name").to_pylist()
+    at = np.flatnonzero(np.isin(row, [i for i, c in enumerate(names) if c in ranges]))
+    if len(at):
+        kind = _classes(vals.take(pa.array(at)))
+        at = at[(kind == TYPES.index("INT")) | (kind == TYPES.index("FLOAT"))]
+    number = vals.take(pa.array(at)).cast(pa.float64()).to_numpy()
+    low, high = (np.array([ranges.get(c, (0, 0))[i] for c in names], dtype=np.float64)[row[at]] for i in (0, 1))
+    return row[at], number, n[at], (number < low) | (number > high)
+
+
+def _measurer(ids: Sequence[str], listed: Mapping[str, Sequence[str]], most_listed: int, ranges: Mapping[str, tuple[float, float]]):
+    """mapInArrow body: kept counts -> sums that add up over the parts of a column, ends, and the median of a column in one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,31 +237,35 @@ def _measurer(keys: Sequence[str], listed: Mapping[str, Sequence[str]], ranges:
             filled = kind >= 0
             out = [total(n), total(n * filled), total(filled)]
             out += [total(n * (kind == i)) for i in range(len(TYPES))]
-            out.append(total(np.where(filled, n * np.log2(np.maximum(n, 1)), 0.0)))
+            n_log_n = total(np.where(filled, n * np.log2(np.maximum(n, 1)), 0.0))
             names = b.column("column_name").to_pylist()
-            known = np.zeros((rows, MOST_LISTED))
-            numeric = np.isin(row, [i for i, c in enumerate(names) if c in ranges])
+            known = np.zeros((rows, most_listed))
             for c in {*names} & {*listed}:
                 mine = np.isin(row, [i for i, x in enumerate(names) if x == c])
                 slot = pc.index_in(enc.dictionary, value_set=pa.array(listed[c], pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)[code]
                 hit = mine & (slot >= 0)
                 np.add.at(known, (row[hit], slot[hit]), n[hit])
-            plain = numeric & ((kind == TYPES.index("INT")) | (kind == TYPES.index("FLOAT")))
-            at = np.flatnonzero(plain)
-            number = vals.take(pa.array(at)).cast(pa.float64()).to_numpy()
-            offsets = pa.array(np.searchsorted(row[at], np.arange(rows + 1)).astype(np.int32))
-            low = np.array([ranges.get(c, (0, 0))[0] for c in names])[row[at]] if len(at) else number
-            high = np.array([ranges.get(c, (0, 0))[1] for c in names])[row[at]] if len(at) else number
-            beyond = np.bincount(row[at], weights=n[at] * ((number < low) | (number > high)), minlength=rows)
-            arrays = [pa.array(x.astype(np.int64)) for x in out[:-1]] + [pa.array(out[-1]), pa.array(beyond.astype(np.int64))]
-            arrays += [pa.array(known[:, i].astype(np.int64)) for i in range(MOST_LISTED)]
-            arrays += [pa.ListArray.from_arrays(offsets, pa.array(number)), pa.ListArray.from_arrays(offsets, pa.array(n[at]))]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *arrays], [*keys, *_SUMS, "numbers", "number_counts"])
+            at, number, times, beyond = _numbers(b, ranges)
+            out.append(np.bincount(at, weights=times * beyond, minlength=rows))
+            out += [known[:, i] for i in range(most_listed)]
+            ends: list[list] = [[None] * rows for _ in range(3)]
+            whole = b.column("parts").to_numpy() == 1
+            for i in np.unique(at).tolist():
+                mine = at == i
+                ends[0][i], ends[1][i] = float(number[mine].min()), float(number[mine].max())
+                if whole[i]:
+                    ends[2][i] = _median(number[mine], times[mine])
+            arrays = [pa.array(x.astype(np.int64)) for x in out] + [pa.array(n_log_n)] + [pa.array(x, pa.float64()) for x in ends]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in ids], *arrays], [*ids, *_sums(most_listed), "n_log_n", *_ENDS])
 
     return run
 
 
-_SUMS = ("n_seen", "n_nonempty", "n_distinct", *[f"n_{t.lower()}" for t in TYPES], "n_log_n", "n_beyond", *[f"k{i}" for i in range(MOST_LISTED)])
+def _sums(most_listed: int) -> list[str]:
+    return ["n_seen", "n_nonempty", "n_distinct", *[f"n_{t.lower()}" for t in TYPES], "n_beyond", *[f"k{i}" for i in range(most_listed)]]
+
+
+_ENDS = ("min_number", "max_number", "median_number")
 
 
 def _median(values: np.ndarray, counts: np.ndarray) -> float:
@@ -240,19 +277,33 @@ def _median(values: np.ndarray, counts: np.ndarray) -> float:
     return float(values[order][at].mean())
 
 
-def _medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        low, mid, high = [], [], []
-        for values, counts in zip(b.column("numbers"), b.column("number_counts")):
-            v, c = values.values.to_numpy(), counts.values.to_numpy()
-            low.append(float(v.min()) if len(v) else None)
-            high.append(float(v.max()) if len(v) else None)
-            mid.append(_median(v, c) if len(v) else None)
-        drop = {"numbers", "number_counts"}
-        names = [x for x in b.schema.names if x not in drop]
-        yield pa.RecordBatch.from_arrays(
-            [*[b.column(x) for x in names], *[pa.array(x, pa.float64()) for x in (low, mid, high)]],
-            [*names, "min_number", "median_number", "max_number"])
+def _ranged_medians(counts: DataFrame, ids: Sequence[str], ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """(ids..., median_number) of columns in several parts: numbers are cut into ranges whose totals are carried along.
+
+    No task gets the numbers of a column; a window runs over a range, or over one row for each range.
+    """
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, number, times, _ = _numbers(b, ranges)
+            i = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(i) for k in ids], pa.array(number), pa.array(times.astype(np.int64))], [*ids, "__v", "__n"])
+
+    schema = ", ".join(f"`{k}` {_kind(counts, k)}" for k in ids) + ", __v double, __n bigint"
+    per = counts.mapInArrow(numbers, schema).groupBy(*ids, "__v").agg(F.sum("__n").alias("__n"))
+    ranged = materialize(per.repartitionByRange(*ids, "__v").withColumn("__p", F.spark_partition_id()), "ranged-numbers")
+    carried = Window.partitionBy(*ids).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*ids, "__p").agg(F.sum("__n").alias("__pn")).select(
+        *[F.col(k).alias(f"__id{i}") for i, k in enumerate(ids)], F.col("__p").alias("__q"),
+        F.coalesce(F.sum("__pn").over(carried), F.lit(0)).alias("__base"), F.sum("__pn").over(Window.partitionBy(*ids)).alias("__all"))
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(ids):
+        same = same & F.col(k).eqNullSafe(F.col(f"__id{i}"))
+    upto = F.sum("__n").over(Window.partitionBy(*ids, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("__upto", upto).join(parts, same).withColumn("__upto", F.col("__upto") + F.col("__base"))
+    holds = lambda at: F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at), F.col("__v")))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    return placed.groupBy(*ids).agg(((holds(low) + holds(high)) / 2).alias("median_number"))
 
 
 #: How far a column may depart from the accepted profile before it counts as changed.
@@ -261,8 +312,8 @@ LIMITS = {"filled_points": 10.0, "type_points": 8.0, "distinct_factor": 2.0, "un
 _EXACT = 1e-9  # shares at a limit to the last digit do not exceed it
 
 
-def profiles(counts: DataFrame, keys: Sequence[str], report: DataFrame) -> DataFrame:
-    """One row for each key (load and column): its profile, and ``departs``: where from the accepted one.
+def profiles(counts: DataFrame, ids: Sequence[str], report: DataFrame) -> DataFrame:
+    """One row for each of ``ids`` (load and column, or column): its profile, and ``departs``: where from the accepted one.
 
     ``report`` is the accepted profile, one row per column; it has as many rows as the
     table has columns, which bounds what comes to the driver. ``distance`` is the
@@ -272,16 +323,16 @@ def profiles(counts: DataFrame, keys: Sequence[str], report: DataFrame) -> DataF
                              "value_counts", "distinct_share", "min_number", "median_number", "max_number").collect()
     listed = {r.column_name: list(r.distinct_values) for r in accepted if r.distinct_values is not None}
     ranges = {r.column_name: (r.min_number, r.max_number) for r in accepted if r.median_number is not None}
-    ids = [k for k in keys if k != "part"]
+    most_listed = max(map(len, listed.values()), default=0)
     kinds = ", ".join(f"`{k}` {_kind(counts, k)}" for k in ids)
-    sums = ", ".join(f"{c} {'double' if c == 'n_log_n' else 'bigint'}" for c in _SUMS)
-    lists = "numbers array<double>, number_counts array<bigint>"
-    measured = counts.mapInArrow(_measurer(ids, listed, ranges), f"{kinds}, {sums}, {lists}")
-    whole = measured.groupBy(*ids).agg(
-        *[F.sum(c).alias(c) for c in _SUMS], F.flatten(F.collect_list("numbers")).alias("numbers"),
-        F.flatten(F.collect_list("number_counts")).alias("number_counts"))
-    ends = "min_number double, median_number double, max_number double"
-    p = whole.mapInArrow(_medians, f"{kinds}, {sums}, {ends}")
+    sums = _sums(most_listed)
+    schema = ", ".join([kinds, *[f"{c} bigint" for c in sums], "n_log_n double", *[f"{c} double" for c in _ENDS]])
+    measured = counts.mapInArrow(_measurer(ids, listed, most_listed, ranges), schema)
+    cut = counts.filter("parts > 1")
+    if not cut.isEmpty():
+        measured = measured.unionByName(_ranged_medians(cut, ids, ranges), allowMissingColumns=True)
+    p = measured.groupBy(*ids).agg(*[F.sum(c).alias(c) for c in (*sums, "n_log_n")], F.min("min_number").alias("min_number"),
+                                   F.max("max_number").alias("max_number"), F.max("median_number").alias("median_number"))
     filled = F.col("n_nonempty")
     some = filled > 0
     p = (p.withColumn("pct_nonempty", 100.0 * filled / F.col("n_seen"))
@@ -335,6 +386,5 @@ def profiles(counts: DataFrame, keys: Sequence[str], report: DataFrame) -> DataF
 
 
 def load_profiles(rows: DataFrame, group: str, columns: Sequence[str], report: DataFrame) -> DataFrame:
-    """The profile of every load and column, from the table of the loads' deltas."""
-    deltas = materialize(load_deltas(rows, group, columns), "value-counts")
-    return profiles(deltas, [group, "column_name", "part"], report)
+    """The profile of every load and column, from the kept table that the loads' deltas make."""
+    return profiles(maintain(None, load_deltas(rows, group, columns), group), [group, "column_name"], report)

@@ -141,6 +141,18 @@ def p4_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(spark, sf_dir).drop("departs", "unlisted_share", "distance", "beyond_share").withColumn("entropy", F.round("entropy", 6))
 
 
+def p4_after_takeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every column over all loads, after the last load, applied by its delta, was taken back by its negative one."""
+    rows = table(spark, sf_dir, "staged_rows")
+    last = rows.agg(F.max("load_id")).first()[0]
+    newest = rows.filter(F.col("load_id") == F.lit(last))
+    kept = profile.maintain(None, profile.load_deltas(rows.filter(~F.col("load_id").eqNullSafe(F.lit(last))), "load_id", records.NAMES), "load_id")
+    kept = profile.maintain(kept, profile.load_deltas(newest, "load_id", records.NAMES, kept=kept), "load_id")
+    kept = profile.maintain(kept, profile.load_deltas(newest, "load_id", records.NAMES, sign=-1, kept=kept), "load_id")
+    p = profile.profiles(profile.over_all_loads(kept), ["column_name"], table(spark, sf_dir, "schema_audit_report"))
+    return p.drop("departs", "unlisted_share", "distance", "beyond_share").withColumn("entropy", F.round("entropy", 6))
+
+
 def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held(spark, sf_dir, "source_phone", "destination_phone", "transaction_amount", "transaction_fees")
     return heavy_keys.per_key_totals(held, ("source_phone", "destination_phone"), ("transaction_amount", "transaction_fees"))
@@ -228,9 +240,11 @@ def _loaded(p: int) -> str:
     return f"{value} AS {records.NAMES[p]}"
 
 
-_TYPE_SQL = " ".join(f"WHEN regexp_full_match(v, '{x[1:-2]}') THEN '{t}'" for t, x in profile.TYPE_PATTERNS.items())
+# The audit's patterns, written out: the first that fits the whole value.
+_TYPE_SQL = """WHEN regexp_full_match(v, '[0-9]{2}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') THEN 'DATE' WHEN regexp_full_match(v, 'TEL[0-9]+') THEN 'TEL'
+    WHEN regexp_full_match(v, 'SERVICE_[0-9]+') THEN 'SERVICE' WHEN regexp_full_match(v, '[0-9]+') THEN 'INT' WHEN regexp_full_match(v, '[0-9]+[.][0-9]+') THEN 'FLOAT'"""
 _NAMES_SQL = ", ".join(records.NAMES)
-_PROFILE_SQL = f"""cells AS (UNPIVOT (SELECT load_id, {', '.join(f"coalesce({c}, '') AS {c}" for c in records.NAMES)} FROM staged_rows)
+_PROFILE = f"""cells AS (UNPIVOT (SELECT load_id, {', '.join(f"coalesce({c}, '') AS {c}" for c in records.NAMES)} FROM staged_rows /*rows*/)
     ON {_NAMES_SQL} INTO NAME column_name VALUE v),
 typed AS (SELECT c.*, CASE WHEN v = '' THEN 'EMPTY' {_TYPE_SQL} ELSE 'OTHER' END AS t, r.* EXCLUDE (column_name, n_nonempty, pct_nonempty, distinct_share),
     r.n_nonempty AS r_n, r.pct_nonempty AS r_pct, r.distinct_share AS r_distinct
@@ -253,6 +267,9 @@ known AS (SELECT column_name, e.key AS v, e.value / sum(e.value) OVER (PARTITION
 gap AS (SELECT p.load_id, p.column_name, sum(abs(coalesce(n.n, 0) / p.n_nonempty - k.q)) / 2 AS g, sum(coalesce(n.n, 0)) AS n_known
   FROM prof p JOIN known k USING (column_name) LEFT JOIN n ON n.load_id = p.load_id AND n.column_name = p.column_name AND n.v = k.v
   WHERE p.n_nonempty > 0 GROUP BY ALL)"""
+_PROFILE_SQL = _PROFILE
+_TAKEBACK_SQL = _PROFILE.replace("SELECT load_id, coalesce", "SELECT 0 AS load_id, coalesce", 1).replace(
+    "/*rows*/", "WHERE load_id IS DISTINCT FROM (SELECT max(load_id) FROM staged_rows)")
 
 SQL = {
     "p2_found": f"WITH {_LOADS_SQL} SELECT line_id FROM checked WHERE reason IS NOT NULL",
@@ -268,6 +285,10 @@ WHERE abs(p.pct_nonempty - r.pct_nonempty) > 10 + 1e-9 OR p.n_nonempty > 0 AND (
   OR r.value_counts IS NOT NULL AND g + (p.n_nonempty - n_known)::DOUBLE / p.n_nonempty / 2 > 0.2 + 1e-9
   OR r.median_number IS NOT NULL AND (mid < r.median_number / 2 - 1e-9 OR mid > 2 * r.median_number + 1e-9
     OR n_int + n_float > 0 AND n_beyond::DOUBLE / (n_int + n_float) > 0.05 + 1e-9))""",
+    "p4_after_takeback": f"""WITH {_TAKEBACK_SQL}
+SELECT column_name, n_seen, n_nonempty, pct_nonempty, {', '.join(f'n_{t.lower()}' for t in profile.TYPES)}, n_distinct,
+  distinct_share, lo AS min_number, mid AS median_number, hi AS max_number, round(entropy, 6) AS entropy
+FROM prof LEFT JOIN ent USING (load_id, column_name)""",
     "p4_profiles": f"""WITH {_PROFILE_SQL}
 SELECT load_id, column_name, n_seen, n_nonempty, pct_nonempty, {', '.join(f'n_{t.lower()}' for t in profile.TYPES)}, n_distinct,
   distinct_share, lo AS min_number, mid AS median_number, hi AS max_number, round(entropy, 6) AS entropy
@@ -314,4 +335,4 @@ SELECT side, key, count(*) AS n, CAST(coalesce(sum({_UNITS.format('transaction_a
 }
 
 QUERIES = {f.__name__: f for f in (
-    p1_totals, p1_latest, p1_corrected, p2_found, p2_loaded, p2_rejected, p3_features, p3_cells, p4_found, p4_profiles, p6_totals)}
+    p1_totals, p1_latest, p1_corrected, p2_found, p2_loaded, p2_rejected, p3_features, p3_cells, p4_found, p4_profiles, p4_after_takeback, p6_totals)}
