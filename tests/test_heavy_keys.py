@@ -34,3 +34,14 @@ def test_empty(spark):
 
 def test_all_keys_null_in_every_row(spark):
     assert got(spark.createDataFrame([(None, None, 1.0)] * 10, "a string, b string, v double")) == {("a", None): (10, 10.0), ("b", None): (10, 10.0)}
+
+
+def test_partial_sums_are_added_batch_by_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidemill.operators import heavy_keys as H
+
+    monkeypatch.setattr(H, "SUM_ROWS", 3)
+    batches = [pa.RecordBatch.from_pydict({"side": ["s"], "block": [0], "keys": [["a", None, f"k{i % 4}"]], "n": [[1, 2, 3]], "u": [[10, -20, 30]]}) for i in range(12)]
+    (out,) = H._block_sum(["u"])(iter(batches))
+    assert {r["key"]: (r["n"], r["u"]) for r in out.to_pylist()} == {"a": (12, 120), None: (24, -240), **{f"k{i}": (9, 90) for i in range(4)}}

@@ -129,3 +129,16 @@ def test_late_and_redelivered_rows_reach_the_query_as_corrections(spark, tmp_pat
     every = {(r.source_phone, r.service_code, r.day): r.sum_30d for r in tr.p1_totals(spark, str(tmp_path)).collect()}
     assert got == {k: v for k, v in every.items() if k[2] >= D(2021, 3, 25)} and len(got) == 16
     assert got["a", "x", D(2021, 3, 28)] == 12.0 and calls and calls[0] > 0
+
+
+def test_dates_after_the_last_delivery_are_not_usable(spark):
+    df = spark.createDataFrame([("a", "s", dt.datetime(2021, 1, 2), 1.0), ("a", "s", dt.datetime(2099, 1, 1), 2.0)], "k string, s string, at timestamp_ntz, amount double")
+    got = {r.day: r.units for r in rolling.daily_amounts(df, ["k", "s"], "at", "amount", last="2021-01-02").collect()}
+    assert got == {dt.date(2021, 1, 2): 100, None: 200}
+
+
+def test_corrections_read_touched_states_only(spark):
+    states = rolling.state_on(spark.createDataFrame([("a", dt.date(2021, 1, 1), 5, 1), (None, dt.date(2021, 1, 1), 7, 1)], "k string, day date, units bigint, n bigint"), ["k"], "2021-01-01")
+    deltas = spark.createDataFrame([(None, dt.date(2021, 1, 1), -7, -1)], "k string, day date, units bigint, n bigint")
+    got = rolling.correct(states, deltas, ["k"], "2021-01-01", 1).collect()
+    assert [(r.k, r.s7, r.n30, r.version) for r in got] == [(None, 0, 0, 1)]

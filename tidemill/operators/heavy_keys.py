@@ -2,8 +2,9 @@
 
 Every input split is encoded by a dictionary of its own and reduced into dense
 accumulator arrays (numpy bincount), so a key costs a split one slot however many
-rows it has. Slots are cut into blocks by a hash of the key; the blocks of all
-splits are summed block by block. No task ever holds the rows of a key.
+rows it has. Slots are cut into blocks by a hash of the key, as many as the keys'
+approximate number asks for; the blocks of all splits are summed block by block, into a
+sum that holds each key of the block once. No task ever holds the rows of a key.
 
 Defined cases: NULL is a key of its own; NULL, NaN and infinite values add nothing to
 their total, the row still counts; an empty table gives an empty result; only the
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemill.operators.redelivery import fixed_point
 
 CHUNK_ROWS = 400_000  # rows that one round of encoding holds in memory
+BLOCK_KEYS = 50_000  # keys of a block, about
+SUM_ROWS = 500_000  # partial entries gathered before they are added to a block's sum
 _LOW = 1 << 24
 
 
@@ -83,36 +86,42 @@ def _split_accumulator(sides: Sequence[str], totals: Sequence[str], blocks: int)
 
 
 def _block_sum(totals: Sequence[str]):
+    names = ["keys", "n", *totals]
+
+    def reduced(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        codes, words = _encode(t.column("keys"))
+        sums = [_scatter_sum(codes, t.column(c).to_numpy(), len(words)) for c in names[1:]]
+        there = np.flatnonzero(sums[0] > 0)
+        return pa.RecordBatch.from_arrays([words.take(pa.array(there)), *[pa.array(x[there]) for x in sums]], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         side = None
         for b in batches:
             if b.num_rows:
                 side = side or b.column("side")[0].as_py()
-                held.append(pa.RecordBatch.from_arrays(
-                    [b.column(c).flatten() for c in ("keys", "n", *totals)], ["keys", "n", *totals]))
-        t = pa.Table.from_batches(held)
-        codes, words = _encode(t.column("keys"))
-        n = _scatter_sum(codes, t.column("n").to_numpy(), len(words))
-        sums = [_scatter_sum(codes, t.column(c).to_numpy(), len(words)) for c in totals]
-        there = np.flatnonzero(n > 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([side] * len(there)), words.take(pa.array(there)), pa.array(n[there]), *[pa.array(s[there]) for s in sums]],
-            ["side", "key", "n", *totals])
+                held.append(pa.RecordBatch.from_arrays([b.column(c).flatten() for c in names], names))
+            if sum(x.num_rows for x in held) >= SUM_ROWS + (held[0].num_rows if len(held) > 1 else 0):
+                held = [reduced(held)]
+        total = reduced(held)
+        yield pa.RecordBatch.from_arrays([pa.array([side] * total.num_rows), *total.columns], ["side", "key", "n", *totals])
 
     return run
 
 
 def per_key_totals(rows: DataFrame, sides: Sequence[str], amounts: Sequence[str],
-                   decimals: int = 2, blocks: int | None = None) -> DataFrame:
+                   decimals: int = 2, blocks: int | None = None, keys: DataFrame | None = None) -> DataFrame:
     """(side, key, n, total_<amount>...) for every key of each of the columns ``sides``.
 
-    ``blocks``: into how many blocks a split's arrays are cut; a block of all splits
-    is summed by one task, so it should hold some 100,000 keys at most. Default: four
-    for each shuffle partition of the session.
+    ``blocks``: into how many blocks a split's arrays are cut; a block of all splits is summed by
+    one task. Default: by the approximate number of distinct keys, counted on ``keys`` if that has
+    the same keys as ``rows`` and is cheaper to read.
     """
     spark = rows.sparkSession
-    blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if blocks is None:
+        found = (rows if keys is None else keys).agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in sides]).first()
+        blocks = max(spark.sparkContext.defaultParallelism, -(-max(found) // BLOCK_KEYS))
     slim = rows.select(*sides, *[fixed_point(c, decimals).alias(f"__u_{c}") for c in amounts])
     units = [f"__u_{c}" for c in amounts]
     arrays = "side string, block bigint, keys array<string>, n array<bigint>" + "".join(f", `{u}` array<bigint>" for u in units)

@@ -11,14 +11,15 @@ only the days that late or corrected rows touch, as a higher version.
 
 Defined cases: an entity key that is NULL is an entity of its own; a NULL, NaN or
 infinite amount adds nothing to sum or count; a day without amounts has sum 0 and
-average NULL; rows without a usable date count for no day, their entity still comes
-out; an empty table gives an empty result. Sums are kept in whole units (cents) and
+average NULL; rows without a usable date (missing, implausibly old, or after the last
+delivery) count for no day, their entity still comes out; an empty table gives an empty result. Sums are kept in whole units (cents) and
 are exact. Extra columns are never read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,24 @@ PERIODS = (7, 30)
 FIRST_YEAR = 2020  # older dates are implausible for this system
 
 
-def usable_day(ts: str, first_year: int = FIRST_YEAR) -> Column:
-    """The calendar day of ``ts``, NULL if it is missing or implausibly old."""
-    return F.when(F.year(ts) >= first_year, F.to_date(ts))
+def usable_day(ts: str, first_year: int = FIRST_YEAR, last: str | None = None) -> Column:
+    """The calendar day of ``ts``, NULL if it is missing, implausibly old or after ``last``."""
+    usable = F.year(ts) >= first_year
+    if last is not None:
+        usable = usable & (F.to_date(ts) <= F.lit(last).cast("date"))
+    return F.when(usable, F.to_date(ts))
 
 
 def daily_amounts(rows: DataFrame, entity: Sequence[str], ts: str, amount: str,
-                  decimals: int = 2, first_year: int = FIRST_YEAR) -> DataFrame:
+                  decimals: int = 2, first_year: int = FIRST_YEAR, last: str | None = None) -> DataFrame:
     """(entity..., day, units, n): exact sum and count of amounts per entity and day.
 
-    ``day`` is NULL for rows without a usable date. Partial aggregation runs before
+    ``last``: the latest day that a row can be of, such as that of the last delivery; one mistyped
+    date beyond it would stretch the calendar of every entity. ``day`` is NULL for rows without a usable date. Partial aggregation runs before
     the exchange, so a hot entity sends one row per day and split.
     """
     units = fixed_point(amount, decimals)
-    return (rows.select(*entity, usable_day(ts, first_year).alias("day"), units.alias("units"))
+    return (rows.select(*entity, usable_day(ts, first_year, last).alias("day"), units.alias("units"))
             .groupBy(*entity, "day")
             .agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.count("units").alias("n")))
 
@@ -64,7 +69,7 @@ def _recurrence(units: np.ndarray, period: int) -> np.ndarray:
     return state
 
 
-def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Sequence[int], block: int = 512):
+def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Sequence[int], cells: int = 60_000):
     """mapInArrow body: rows sorted by entity -> one row per entity with its states."""
     names = list(entity)
 
@@ -87,7 +92,7 @@ def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Seque
         return pa.RecordBatch.from_arrays(out, [*names, *[f"{x}{p}" for p in periods for x in ("s", "n")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, names, block):
+        for t, starts in whole_groups(batches, names, max(1, cells // max(1, days))):
             yield emit(t, starts)
 
     return run
@@ -169,7 +174,8 @@ def correct(states: DataFrame, deltas: DataFrame, entity: Sequence[str], last: s
 
     ``deltas`` are signed changes of daily amounts (entity..., day, units, n): a row
     taken back has negative units and n. A change on day d touches the days d to
-    d + P - 1, up to ``last``. Read the table of all versions with ``current``.
+    d + P - 1, up to ``last``. Only the states of those
+    entities and days are read. Read the table of all versions with ``current``.
     """
     span = max(periods)
     days = F.sequence(F.col("day"), F.least(F.date_add("day", span - 1), F.lit(last).cast("date")))
@@ -183,7 +189,9 @@ def correct(states: DataFrame, deltas: DataFrame, entity: Sequence[str], last: s
     touched = spread.groupBy(*entity, "day").agg(*aggs)
     names = [f"{x}{p}" for p in periods for x in ("s", "n")]
     keys = [*entity, "day"]
-    before = current(states, entity).select(*keys, *names, F.lit(0).alias("__t"))
+    which = touched.select(*[F.col(c).alias(f"__{c}") for c in keys])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys])
+    before = current(states.join(which, same, "left_semi"), entity).select(*keys, *names, F.lit(0).alias("__t"))
     both = before.unionByName(touched.select(*keys, *names, F.lit(1).alias("__t")))
     return (both.groupBy(*keys).agg(F.max("__t").alias("__t"), *[F.sum(c).alias(c) for c in names])
             .filter("__t = 1").select(*keys, F.lit(version).cast("int").alias("version"), *names))

@@ -23,7 +23,13 @@ def _held(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held(spark, sf_dir, *PAIR, "transaction_date", "transaction_amount")
-    return rolling.daily_amounts(held, PAIR, "transaction_date", "transaction_amount")
+    return rolling.daily_amounts(held, PAIR, "transaction_date", "transaction_amount", last=_last_delivery(spark, sf_dir))
+
+
+def _last_delivery(spark: SparkSession, sf_dir: str) -> str | None:
+    """The day of the last delivery: nothing can have happened after it."""
+    last = table(spark, sf_dir, "transactions").agg(F.to_date(F.max("loaded_at"))).first()[0]
+    return None if last is None else str(last)
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +60,15 @@ def p1_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["loaded_at", *PAIR, "transaction_date", "transaction_amount"]
     rows = table(spark, sf_dir, "transactions")
     code = F.col("transaction_code")
-    last = latest_rows(rows, "transaction_code", "loaded_at", columns[1:]).agg(F.max(rolling.usable_day("transaction_date"))).first()[0]
+    bound = _last_delivery(spark, sf_dir)
+    last = latest_rows(rows, "transaction_code", "loaded_at", columns[1:]).agg(F.max(rolling.usable_day("transaction_date", last=bound))).first()[0]
     if last is None:
         return rolling.totals(rolling.state_on(_daily(spark, sf_dir), PAIR, "1970-01-01"), PAIR)
     days = [str(last - timedelta(i)) for i in range(DAYS_ADVANCED, -1, -1)]
     soon = F.coalesce(F.col("loaded_at") < F.lit(days[-1]).cast("timestamp_ntz"), F.lit(True))
 
     def daily(of: DataFrame) -> DataFrame:
-        return rolling.daily_amounts(latest_rows(of, "transaction_code", "loaded_at", columns[1:]), PAIR, "transaction_date", "transaction_amount")
+        return rolling.daily_amounts(latest_rows(of, "transaction_code", "loaded_at", columns[1:]), PAIR, "transaction_date", "transaction_amount", last=bound)
 
     early = rolling.materialize(daily(rows.filter(soon)), "daily-early")
     state = rolling.materialize(rolling.state_on(early, PAIR, days[0]), "state-0")
@@ -155,7 +162,8 @@ def p4_after_takeback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _held(spark, sf_dir, "source_phone", "destination_phone", "transaction_amount", "transaction_fees")
-    return heavy_keys.per_key_totals(held, ("source_phone", "destination_phone"), ("transaction_amount", "transaction_fees"))
+    sides = ("source_phone", "destination_phone")
+    return heavy_keys.per_key_totals(held, sides, ("transaction_amount", "transaction_fees"), keys=table(spark, sf_dir, "transactions").select(*sides))
 
 
 LATEST_SQL = """held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_code
@@ -164,7 +172,8 @@ LATEST_SQL = """held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
 _UNITS = "CAST(round({0} * 100) AS HUGEINT)"
 _DAILY_SQL = f"""{LATEST_SQL},
 daily AS (SELECT source_phone, service_code,
-    CASE WHEN year(transaction_date) >= 2020 THEN CAST(transaction_date AS DATE) END AS day,
+    CASE WHEN year(transaction_date) >= 2020 AND CAST(transaction_date AS DATE) <= coalesce((SELECT CAST(max(loaded_at) AS DATE) FROM transactions), DATE '9999-12-31')
+      THEN CAST(transaction_date AS DATE) END AS day,
     coalesce(sum({_UNITS.format('transaction_amount')}), 0) AS units, count(transaction_amount) AS n
   FROM held GROUP BY ALL)"""
 
