@@ -95,32 +95,29 @@ def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, na
 def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Column, windows: Mapping[str, int]) -> DataFrame:
     """``n_<w>`` and ``units_<w>`` over (t - w, t] for each window, later ties of t excluded.
 
-    ``windows`` maps names to microseconds. A window is the difference of two running
-    totals, at t and at t - w, so its width costs nothing: no frame slides over the rows of
-    a busy key. Each row asks for its totals by one event a window, among the rows' own
-    events, and gets them back by its content. ``units`` are whole numbers; a row
-    without a time has 0.
+    ``windows`` maps names to microseconds. A row arrives at t and leaves a window at t + w:
+    the state of a window at a row is what has arrived less what has left, running sums
+    over one stream of events, split by day like all history. So a window's width costs
+    nothing, each row gets its states where it arrives, and only slim events of departure are exchanged
+    besides the rows. ``units`` are whole numbers; a row without a time has 0.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns({k: key(c) for k, c in zip(ks, keys)} | {
-        "__us": micros(ts), "__u": F.coalesce(units, F.lit(0)).cast("bigint"), "__id": F.xxhash64(*rows.columns), "__tie": key(tie)})
-    ties = Window.partitionBy(*ks, "__us").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    slim = keyed.filter("__us is not null").select(*ks, "__us", "__u", "__id", "__tie", F.count(F.lit(1)).over(ties).alias("__tn"), F.sum("__u").over(ties).alias("__tu"))
-    asked = [F.struct(F.lit("").alias("w"), F.col("__us").alias("at"))] + [
-        F.struct(F.lit(w).alias("w"), (F.col("__us") - us + 1).alias("at")) for w, us in windows.items()]
-    events = slim.select(*ks, "__u", "__id", "__tie", "__tn", "__tu", F.explode(F.array(*asked)).alias("__e")).select(
-        "*", F.col("__e.w").alias("__w"), F.timestamp_micros("__e.at").alias("__at")).drop("__e")
-    mine = F.col("__w") == ""
-    got = before(events, ks, "__at", "__tie", {"__n": Carried(F.when(mine, 1).otherwise(0)), "__s": Carried(F.when(mine, F.col("__u")).otherwise(0))}, strictly_earlier=True)
-    back = got.groupBy("__id", "__tie").agg(
-        F.max(F.when(mine, F.col("__n") + F.col("__tn"))).alias("__n"), F.max(F.when(mine, F.col("__s") + F.col("__tu"))).alias("__s"),
-        *[F.max(F.when(F.col("__w") == w, F.col(c))).alias(f"{c}_{w}") for w in windows for c in ("__n", "__s")])
-    joined = keyed.join(back, ["__id", "__tie"], "left")
-    made = {}
+    keyed = rows.select(F.struct(*rows.columns).alias("__row"), *[key(c).alias(k) for k, c in zip(ks, keys)], micros(ts).alias("__us"),
+                        F.coalesce(units, F.lit(0)).cast("bigint").alias("__u"), F.col(tie).alias("__tie"))
+    none = F.lit(None)
+    here = F.struct(F.lit(1).alias("at"), F.col("__tie").alias("tie"))
+    arrive = keyed.select(*ks, "__us", "__u", F.lit("").alias("__w"), here.alias("__o"), "__row")
+    leave = keyed.filter("__us is not null").select(*ks, "__us", "__u", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(us).alias("us")) for w, us in windows.items()])).alias("__e"))
+    leave = leave.select(*ks, (F.col("__us") + F.col("__e.us")).alias("__us"), "__u", F.col("__e.w").alias("__w"),
+                         F.struct(F.lit(0).alias("at"), none.cast(rows.schema[tie].dataType).alias("tie")).alias("__o"))
+    slim = arrive.drop("__row").unionByName(leave)
+    events = arrive.unionByName(leave, allowMissingColumns=True)
+    values = {}
     for w in windows:
-        made[f"n_{w}"] = F.coalesce(F.col("__n") - F.col(f"__n_{w}"), F.lit(0))
-        made[f"units_{w}"] = F.coalesce(F.col("__s") - F.col(f"__s_{w}"), F.lit(0))
-    return joined.withColumns(made).select(*rows.columns, *made)
+        sign = F.when(F.col("__w") == "", 1).when(F.col("__w") == w, -1).otherwise(0)
+        values |= {f"n_{w}": Carried(sign), f"units_{w}": Carried(sign * F.col("__u"))}
+    got = before(events.withColumn("__at", F.timestamp_micros("__us")), ks, "__at", "__o", values, including=True, base=slim.withColumn("__at", F.timestamp_micros("__us")))
+    return got.filter("__w = ''").select("__row.*", *values)
 
 
 def _medians(keys: Sequence[str], value: str, name: str):

@@ -21,10 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.arrow_groups import whole_groups
+from tidemill.operators.ranged import group_quantiles
 from tidemill.session import materialize
 
 # The audit's type classes, the first that fits the whole value holds.
@@ -278,10 +279,7 @@ def _median(values: np.ndarray, counts: np.ndarray) -> float:
 
 
 def _ranged_medians(counts: DataFrame, ids: Sequence[str], ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """(ids..., median_number) of columns in several parts: numbers are cut into ranges whose totals are carried along.
-
-    No task gets the numbers of a column; a window runs over a range, or over one row for each range.
-    """
+    """(ids..., median_number) of columns in several parts; no task gets the numbers of a column."""
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,19 +289,7 @@ def _ranged_medians(counts: DataFrame, ids: Sequence[str], ranges: Mapping[str,
 
     schema = ", ".join(f"`{k}` {_kind(counts, k)}" for k in ids) + ", __v double, __n bigint"
     per = counts.mapInArrow(numbers, schema).groupBy(*ids, "__v").agg(F.sum("__n").alias("__n"))
-    ranged = materialize(per.repartitionByRange(*ids, "__v").withColumn("__p", F.spark_partition_id()), "ranged-numbers")
-    carried = Window.partitionBy(*ids).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy(*ids, "__p").agg(F.sum("__n").alias("__pn")).select(
-        *[F.col(k).alias(f"__id{i}") for i, k in enumerate(ids)], F.col("__p").alias("__q"),
-        F.coalesce(F.sum("__pn").over(carried), F.lit(0)).alias("__base"), F.sum("__pn").over(Window.partitionBy(*ids)).alias("__all"))
-    same = F.col("__p") == F.col("__q")
-    for i, k in enumerate(ids):
-        same = same & F.col(k).eqNullSafe(F.col(f"__id{i}"))
-    upto = F.sum("__n").over(Window.partitionBy(*ids, "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.withColumn("__upto", upto).join(parts, same).withColumn("__upto", F.col("__upto") + F.col("__base"))
-    holds = lambda at: F.max(F.when((F.col("__upto") > at) & (F.col("__upto") - F.col("__n") <= at), F.col("__v")))
-    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
-    return placed.groupBy(*ids).agg(((holds(low) + holds(high)) / 2).alias("median_number"))
+    return group_quantiles(per, ids, "__v", "__n", 0.5, "median_number")
 
 
 #: How far a column may depart from the accepted profile before it counts as changed.

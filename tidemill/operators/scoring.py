@@ -4,26 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import holds
-from tidemill.session import materialize
-
-
-def _ranged(per: DataFrame, value: str, count: str) -> DataFrame:
-    """(value, count, __before): counts of distinct values with how many rows have a lesser one.
-
-    The values are cut into ranges whose totals are carried along, so no task sorts all; the
-    cut is written down, as both uses must see the same one.
-    """
-    ranged = materialize(per.repartitionByRange(value).withColumn("__p", F.spark_partition_id()), "ranked")
-    parts = ranged.groupBy("__p").agg(F.sum(count).alias("__pn"))
-    first = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = parts.select("__p", F.coalesce(F.sum("__pn").over(first), F.lit(0)).alias("__base"))
-    w = Window.partitionBy("__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(count).over(w), F.lit(0))
-    return ranged.withColumn("__r", before).join(base, "__p").select(value, count, (F.col("__base") + F.col("__r")).alias("__before"))
+from tidemill.operators.ranged import counts_below, group_quantiles
 
 
 def percent_rank_min(rows: DataFrame, value: str, name: str, mask: Column | None = None, reverse: bool = False) -> DataFrame:
@@ -33,7 +18,7 @@ def percent_rank_min(rows: DataFrame, value: str, name: str, mask: Column | None
     """
     inside = F.lit(True) if mask is None else holds(mask)
     per = rows.filter(inside & F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    rank = _ranged(per, "__v", "__n").select("__v", (F.col("__before") + 1).alias("__rank"))
+    rank = counts_below(per, [], "__v", "__n").select("__v", (F.col("__below") + 1).alias("__rank"))
     total = rows.agg(F.count(F.when(inside & F.col(value).isNotNull(), 1)).alias("__total"))  # one row
     joined = rows.join(rank, F.col(value) == F.col("__v"), "left").crossJoin(total)
     share = F.col("__rank") / F.col("__total")
@@ -42,20 +27,10 @@ def percent_rank_min(rows: DataFrame, value: str, name: str, mask: Column | None
 
 
 def quantiles(rows: DataFrame, values: Sequence[str], q: float) -> DataFrame:
-    """One row: the exact ``q`` quantile of each column, linear between neighbours; NULL without values.
-
-    All columns' values are counted together and cut into ranges by column and value; of every
-    range only its total is carried on, so no task holds a column's values.
-    """
+    """One row: the exact ``q`` quantile of each column, linear between neighbours; NULL without values."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(values)]))
-    per = rows.select(cells.alias("x")).filter("x.v is not null").groupBy(F.struct("x.i", "x.v").alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    placed = _ranged(per, "__x", "__n").select(F.col("__x.i").alias("i"), F.col("__x.v").alias("v"), "__n", "__before")
-    ends = placed.groupBy("i").agg(F.min("__before").alias("__first"), F.sum("__n").alias("__all"))  # one row a column
-    joined = placed.join(ends, "i").withColumn("__at", F.col("__before") - F.col("__first"))
-    at = (F.col("__all") - 1) * F.lit(float(q))
-    covers = lambda k: F.when((F.col("__at") <= k) & (F.col("__at") + F.col("__n") > k), F.col("v"))
-    two = joined.groupBy("i").agg(F.max(covers(F.floor(at))).alias("lo"), F.max(covers(F.ceil(at))).alias("hi"), F.max(at - F.floor(at)).alias("f"))
-    found = two.withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
+    per = rows.select(cells.alias("x")).select("x.i", "x.v").filter("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = group_quantiles(per, ["i"], "v", "n", q, "x")
     return found.agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"__hi_{i}") for i in range(len(values))])
 
 

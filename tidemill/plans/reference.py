@@ -11,7 +11,7 @@ from tidemill.operators.history import Carried
 from tidemill.operators.redelivery import fixed_point, latest_rows
 from tidemill.plans.training import LATEST_SQL
 from tidemill.session import materialize, table
-from tidemill.sources import audit
+from tidemill.sources import audit, records
 
 HOUR_US = 3_600_000_000
 COLUMNS = ["service_code", "transaction_status", "transaction_date", "transaction_amount", "transaction_fees", "source_phone",
@@ -41,8 +41,8 @@ def clean(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def clean_table(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The same, written once, where several branches of a plan read it."""
-    return materialize(clean(spark, sf_dir, *columns), "clean")
+    """The same, written once, where several branches of a plan read it; ``row_id`` tells rows apart that have no code."""
+    return materialize(clean(spark, sf_dir, *columns).withColumn("row_id", F.monotonically_increasing_id()), "clean")
 
 
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,12 +145,12 @@ def new_beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _network(rows: DataFrame, base: DataFrame) -> DataFrame:
     """What each sender had sent and received, from and to how many, strictly before.
 
-    ``base`` is a table of the same rows; ``rows`` may have more columns.
+    ``base`` is a table of the same rows by ``row_id``; ``rows`` may have more columns.
     """
     u = F.coalesce(fixed_point("transaction_amount", 2), F.lit(0))
     there = F.coalesce(F.col("destination_phone"), F.lit("")) != ""
     known = materialize(history.first_occurrence(
-        base.select("transaction_code", "source_phone", "destination_phone", "transaction_date", "transaction_amount"),
+        base.select("row_id", "transaction_code", "source_phone", "destination_phone", "transaction_date", "transaction_amount"),
         ["source_phone", "destination_phone"], "transaction_date", "transaction_code", "is_new", there), "pairs")
     new = F.col("is_new").cast("int")
     sent = history.before(known, ["source_phone"], "transaction_date", "transaction_code", {"sent_units": Carried(u), "n_targets": Carried(new)})
@@ -159,15 +159,15 @@ def _network(rows: DataFrame, base: DataFrame) -> DataFrame:
     got = got.select("destination_phone", F.col("transaction_date").alias("received_at"), F.col("transaction_code").alias("received_code"), "received_units", "n_senders")
     got = materialize(got, "received")
     out = history.asof_backward(
-        sent.select("transaction_code", "source_phone", "transaction_date", "is_new", "sent_units", "n_targets"), got,
+        sent.select("row_id", "transaction_code", "source_phone", "transaction_date", "is_new", "sent_units", "n_targets"), got,
         ("source_phone", "destination_phone"), ("transaction_date", "received_at"), ("transaction_code", "received_code"),
         ["received_at", "received_units", "n_senders"], left_base=known)
     out = (out.withColumn("sent_before", F.col("sent_units") / 100.0).withColumn("received_before", F.coalesce(F.col("received_units"), F.lit(0)) / 100.0)
            .withColumn("n_senders", F.coalesce(F.col("n_senders"), F.lit(0)))
            .withColumn("received_to_sent", F.col("received_before") / null_if_zero(F.col("sent_before")))
            .withColumn("minutes_since_received", (micros("transaction_date") - micros("received_at")) / 60_000_000.0)
-           .select("transaction_code", "is_new", *NETWORK))
-    return rows.join(out, "transaction_code")
+           .select("row_id", "is_new", *NETWORK))
+    return rows.join(out, "row_id")
 
 
 NETWORK = ["sent_before", "received_before", "n_targets", "n_senders", "received_to_sent", "minutes_since_received"]
@@ -175,7 +175,7 @@ NETWORK = ["sent_before", "received_before", "n_targets", "n_senders", "received
 
 def network_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean_table(spark, sf_dir, "source_phone", "destination_phone")
-    out = _network(rows.select("transaction_code"), rows)
+    out = _network(rows.select("row_id", "transaction_code"), rows)
     return out.select("transaction_code", *NETWORK)
 
 
@@ -244,11 +244,11 @@ def fan_out_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean_table(spark, sf_dir, "source_phone", "destination_phone")
-    return graph.pass_through(_network(rows.select("transaction_code", "source_phone"), rows), "source_phone", "received_to_sent", "minutes_since_received")
+    return graph.pass_through(_network(rows.select("row_id", "source_phone"), rows), "source_phone", "received_to_sent", "minutes_since_received")
 
 
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passing(spark, sf_dir).select("node", "n_rows", "n_quick", "quick_rate", F.round("score", 6).alias("score"))
+    return _passing(spark, sf_dir).select("node", "n_rows", "n_quick", "quick_rate", "median_delay", F.round("score", 6).alias("score"))
 
 
 def closed_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,17 +263,19 @@ def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = materialize(_edges(spark, sf_dir), "edges")
-    centres = graph.top(graph.degree(e, "dst", "src", "fan_in"), "fan_in", "node", 8)
-    return graph.ego_sample(e, centres, 2)
+    return graph.ego_sample(e, _passing(spark, sf_dir).filter("node is not null"), graph.closed_circuits(e))
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per phone, senders and receivers alike: totals, distinct counterparties, services and days."""
     rows = clean_table(spark, sf_dir, "source_phone", "destination_phone", "service_code", "transaction_fees")
     u = lambda c: F.coalesce(F.sum(fixed_point(c, 2)), F.lit(0)) / 100.0
-    sent = rows.groupBy(F.col("source_phone").alias("phone")).agg(
-        F.count(F.lit(1)).alias("n_sent"), u("transaction_amount").alias("sent"), u("transaction_fees").alias("fees"),
-        F.count_distinct("service_code").alias("n_services"), F.count_distinct(F.to_date("transaction_date")).alias("n_days"))
+    # Counted by service and day first, so that no row is expanded for the distinct counts; sums of sums are exact.
+    cell = rows.groupBy(F.col("source_phone").alias("phone"), "service_code", F.to_date("transaction_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(fixed_point("transaction_amount", 2)).alias("a"), F.sum(fixed_point("transaction_fees", 2)).alias("f"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)) / 100.0
+    sent = cell.groupBy("phone").agg(F.sum("n").alias("n_sent"), total("a").alias("sent"), total("f").alias("fees"),
+                                     F.size(F.collect_set("service_code")).cast("bigint").alias("n_services"), F.size(F.collect_set("day")).cast("bigint").alias("n_days"))
     got = rows.filter(F.coalesce("destination_phone", F.lit("")) != "").groupBy(F.col("destination_phone").alias("phone")).agg(u("transaction_amount").alias("received"))
     targets = graph.degree(rows.filter(F.coalesce("destination_phone", F.lit("")) != "").select("source_phone", "destination_phone"), "source_phone", "destination_phone", "n_targets")
     both = sent.join(got, "phone", "full").join(targets.withColumnRenamed("node", "phone"), "phone", "left")
@@ -404,7 +406,27 @@ def low_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.low_cardinality(audit.position_counts(_lines(spark, sf_dir), "line")).select("position", F.array_join("values", "|").alias("vals"))
 
 
-CLEAN = f"""{LATEST_SQL}, clean AS (SELECT *, epoch_us(transaction_date) AS us, CAST(round(transaction_amount * 100) AS HUGEINT) AS u FROM held
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.samples(_lines(spark, sf_dir), "line", "line_id").select("position", F.array_join("values", "|").alias("vals"))
+
+
+def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audit.full_audit(_lines(spark, sf_dir), "line", "line_id")
+    return out.select("position", "n_seen", "n_nonempty", "pct_nonempty", "n_distinct", "many_distinct", "binary",
+                      F.array_join("sample_values", "|").alias("sample_values"), F.array_join("distinct_values", "|").alias("distinct_values"))
+
+
+def tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a typed row, whatever is wrong with it: short lines padded, long ones cut, what does not fit NULL."""
+    names = records.NAMES
+    raw = audit.padded(_lines(spark, sf_dir).select("line_id", "line"), "line", names)
+    dates = {n.removesuffix("__date_part"): (n, f"{n.removesuffix('__date_part')}__fraction_ns") for n in names if n.endswith("__date_part")}
+    typed = cleaning.cast_types(raw, dates, ["transaction_amount", "transaction_fees"], ["transaction_code"])
+    return typed.select("line_id", "transaction_code", "service_code", "transaction_status", *dates, "transaction_date__fraction_ns", "transaction_amount", "transaction_fees",
+                        "source_phone", "destination_phone", "partner_reference", "unclear_position_25")
+
+
+CLEAN = f"""{LATEST_SQL}, clean AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, epoch_us(transaction_date) AS us, CAST(round(transaction_amount * 100) AS HUGEINT) AS u FROM held
   WHERE year(transaction_date) >= 2020 AND transaction_amount <= 10000000),
 lim AS (SELECT upper(trim(service_code)) AS code, seuil_vigilance_unitaire_mru AS unit, seuil_cumul_journalier_mru AS daily FROM service_thresholds)"""
 _PDIV = "CASE WHEN {1} = 0 THEN CASE WHEN {0} > 0 THEN 'inf'::DOUBLE WHEN {0} < 0 THEN '-inf'::DOUBLE END ELSE {0} / {1} END"
@@ -434,13 +456,13 @@ sn AS (SELECT *, coalesce(sum(u) {_P}, 0) AS su, coalesce(sum(is_new::INT) {_P},
 net AS (SELECT sn.*, su::DOUBLE / 100.0::DOUBLE AS sent_before, coalesce(ru, 0)::DOUBLE / 100.0::DOUBLE AS received_before, coalesce(rs, 0) AS n_senders,
     (coalesce(ru, 0)::DOUBLE / 100.0::DOUBLE) / CASE WHEN su <> 0 THEN su::DOUBLE / 100.0::DOUBLE END AS received_to_sent, (us - rus) / 60000000.0::DOUBLE AS minutes_since_received
   FROM sn ASOF LEFT JOIN rc ON sn.source_phone = rc.phone AND sn.us > rc.rus)"""
-_RULES_SQL = f"""tr AS (SELECT transaction_code, ratio, {_PDIV.format('run', 'daily')} AS day_ratio, n_1h, n_24h FROM
+_RULES_SQL = f"""tr AS (SELECT rid, ratio, {_PDIV.format('run', 'daily')} AS day_ratio, n_1h, n_24h FROM
   (SELECT *, {_RUN} AS run, {_trail('count(*)', HOUR_US)} AS n_1h, {_trail('count(*)', 24 * HOUR_US)} AS n_24h FROM rat)),
 fl AS (SELECT net.transaction_code, coalesce(ratio > 1, FALSE) AS r1, coalesce(day_ratio > 1, FALSE) AS r2,
     coalesce(ratio BETWEEN 0.8::DOUBLE AND 1.0::DOUBLE AND n_24h >= 3, FALSE) AS r3, coalesce(n_1h > 80, FALSE) AS r4, coalesce(is_new AND max_ratio > 1.0, FALSE) AS r5,
     coalesce(hour(net.transaction_date) < 7 AND abs(zscore) > 3.0, FALSE) AS r6,
     coalesce(received_to_sent BETWEEN 0.9::DOUBLE AND 1.1::DOUBLE AND minutes_since_received BETWEEN 0 AND 30, FALSE) AS r7
-  FROM net JOIN tr USING (transaction_code) JOIN prior USING (transaction_code)),
+  FROM net JOIN tr USING (rid) JOIN prior USING (rid)),
 flags AS (SELECT *, r1::INT + r2::INT + r3::INT + r4::INT + r5::INT + r6::INT + r7::INT AS n_rules FROM fl)"""
 _USED = f"""dy AS (SELECT source_phone AS entity, service_code AS code, CAST(transaction_date AS DATE) AS day, coalesce(sum(u), 0) AS u FROM clean WHERE transaction_status = 'VALIDATED' GROUP BY ALL),
 mo AS (SELECT *, sum(u) OVER (PARTITION BY entity, code, date_trunc('month', day)) AS m FROM dy),
@@ -452,7 +474,7 @@ _ALERTS = f"""al AS (SELECT *, {_RANK.format('day_rate')} AS day_rank, {_RANK.fo
 alerts AS (SELECT *, greatest(day_rank, month_rank) AS worst_rank, ['none', '50%', '80%', '95%', '100%'][greatest(day_rank, month_rank) + 1] AS worst_level FROM al)"""
 _EDGES = """e AS (SELECT transaction_code AS code, source_phone AS src, destination_phone AS dst, transaction_date AS ts, transaction_amount AS amount, us FROM clean
   WHERE source_phone IS NOT NULL AND coalesce(destination_phone, '') <> '' AND transaction_status = 'VALIDATED')"""
-_PASS = """pt AS (SELECT source_phone AS node, count(*) AS n_rows, sum((coalesce(received_to_sent BETWEEN 0.7::DOUBLE AND 1.3::DOUBLE, FALSE) AND coalesce(minutes_since_received BETWEEN 0 AND 30, FALSE))::INT) AS n_quick FROM net GROUP BY 1),
+_PASS = """pt AS (SELECT source_phone AS node, count(*) AS n_rows, sum((coalesce(received_to_sent BETWEEN 0.7::DOUBLE AND 1.3::DOUBLE, FALSE) AND coalesce(minutes_since_received BETWEEN 0 AND 30, FALSE))::INT) AS n_quick, quantile_cont(minutes_since_received, 0.5) AS median_delay FROM net GROUP BY 1),
 passing AS (SELECT *, n_quick::DOUBLE / n_rows AS quick_rate, n_quick::DOUBLE / n_rows * ln(1 + n_quick::DOUBLE) AS score FROM pt)"""
 _CIRCUITS = """few AS (SELECT src, dst FROM e GROUP BY ALL HAVING count(*) <= 50),
 ec AS (SELECT e.*, least(src, dst) AS a, greatest(src, dst) AS b FROM e JOIN few USING (src, dst)),
@@ -476,7 +498,42 @@ _RANKED = """rk AS (SELECT phone, (rank() OVER (ORDER BY received))::DOUBLE / co
     CASE WHEN is_sender THEN (rank() OVER (PARTITION BY is_sender ORDER BY sent))::DOUBLE / count(*) OVER (PARTITION BY is_sender) ELSE 0 END AS rank_senders FROM metrics)"""
 _JUDGED = f"{CLEAN}, {_RATIO}, judged AS (SELECT transaction_code, transaction_status <> 'VALIDATED' AS label, greatest(0.0::DOUBLE, least(5.0::DOUBLE, coalesce(ratio, 0))) / 5.0::DOUBLE AS score FROM rat)"
 
+# Lines cut at quotes: commas of every second piece stand between quotes.
+_VALUES = """bd AS (SELECT * FROM raw_lines WHERE line_no IS DISTINCT FROM 1),
+vs AS (SELECT line_id, line, CASE WHEN line IS NULL THEN [] ELSE list_transform(string_split(array_to_string(list_transform(string_split(line, '"'),
+    lambda x, i: CASE WHEN i % 2 = 1 THEN replace(x, ',', chr(57344)) ELSE x END), '"'), chr(57344)),
+    lambda x: CASE WHEN length(x) > 1 AND x[1:1] = '"' AND x[-1:] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) END AS v FROM bd)"""
+_CELLS = f"""{_VALUES}, ce AS (SELECT line_id, unnest(range(len(v))) AS position, unnest(v) AS value FROM vs),
+ct AS (SELECT position, value, count(*) AS n FROM ce GROUP BY ALL), fi AS (SELECT * FROM ct WHERE value <> '')"""
+_CLASS = """CASE WHEN value = '' THEN 'EMPTY' WHEN regexp_full_match(value, '[0-9]{2}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}') THEN 'DATE' WHEN regexp_full_match(value, 'TEL[0-9]+') THEN 'TEL'
+    WHEN regexp_full_match(value, 'SERVICE_[0-9]+') THEN 'SERVICE' WHEN regexp_full_match(value, '[0-9]+') THEN 'INT' WHEN regexp_full_match(value, '[0-9]+[.][0-9]+') THEN 'FLOAT' ELSE 'OTHER' END"""
+_PROFILED = f"""pp AS (SELECT position, sum(n)::BIGINT AS n_seen, coalesce(sum(n) FILTER (value <> ''), 0)::BIGINT AS n_nonempty, {', '.join(
+    f"coalesce(sum(n) FILTER (t = '{t}'), 0)::BIGINT AS n_{t.lower()}" for t in ('DATE', 'TEL', 'SERVICE', 'INT', 'FLOAT', 'OTHER'))},
+    count(*) FILTER (value <> '') AS n_distinct, count(*) FILTER (value <> '') > 5000 AS many_distinct FROM (SELECT *, {_CLASS} AS t FROM ct) GROUP BY 1),
+sm AS (SELECT position, string_agg(value, '|' ORDER BY line_id) AS vals FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY line_id) AS rn FROM ce WHERE value <> '') WHERE rn <= 6 GROUP BY 1),
+lw AS (SELECT position, string_agg(value, '|' ORDER BY value) AS vals FROM fi GROUP BY 1 HAVING count(*) <= 20),
+bc AS (SELECT position, coalesce(sum(n) FILTER (value = '1'), 0)::BIGINT AS n_one, sum(n)::BIGINT AS n_filled FROM fi GROUP BY 1 HAVING count(*) FILTER (value NOT IN ('0', '1')) = 0)"""
+
+
+def _merged(p: int) -> str:
+    """A date and its fraction, in microseconds; the years 69 and up are of 1900."""
+    d, f = f"coalesce(v[{p + 1}], '')", f"v[{p + 2}]"
+    return (f"make_timestamp(epoch_us(CASE WHEN regexp_full_match({d}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{2}} ([01][0-9]|2[0-3]):[0-9]{{2}}:[0-9]{{2}}') THEN "
+            f"try_cast(concat(CASE WHEN {d}[7:8] >= '69' THEN '19' ELSE '20' END, {d}[7:8], '-', {d}[4:5], '-', {d}[1:2], {d}[9:]) AS TIMESTAMP) END) + CAST(floor(coalesce(try_cast({f} AS BIGINT), 0) / 1000) AS BIGINT))")
+
+
 SQL = {
+    "field_counts": f"WITH {_VALUES} SELECT len(v) AS n_fields, count(*) AS n_lines FROM vs GROUP BY 1",
+    "position_profile": f"WITH {_CELLS}, {_PROFILED} SELECT * FROM pp",
+    "binary_candidates": f"WITH {_CELLS}, {_PROFILED} SELECT * FROM bc",
+    "low_cardinality": f"WITH {_CELLS}, {_PROFILED} SELECT * FROM lw",
+    "samples": f"WITH {_CELLS}, {_PROFILED} SELECT * FROM sm",
+    "full_audit": f"""WITH {_CELLS}, {_PROFILED} SELECT position, n_seen, n_nonempty, round(100.0::DOUBLE * n_nonempty / n_seen, 4) AS pct_nonempty, n_distinct, many_distinct,
+    bc.position IS NOT NULL AS "binary", sm.vals AS sample_values, lw.vals AS distinct_values FROM pp LEFT JOIN sm USING (position) LEFT JOIN lw USING (position) LEFT JOIN bc USING (position)""",
+    "tolerant_load": f"""WITH {_VALUES} SELECT line_id, try_cast(v[1] AS BIGINT) AS transaction_code, coalesce(v[2], '') AS service_code, coalesce(v[3], '') AS transaction_status,
+    {_merged(3)} AS transaction_date, {_merged(7)} AS request_date, {_merged(9)} AS response_date, coalesce(v[5], '') AS transaction_date__fraction_ns,
+    try_cast(v[6] AS DOUBLE) AS transaction_amount, try_cast(v[14] AS DOUBLE) AS transaction_fees, coalesce(v[12], '') AS source_phone, coalesce(v[13], '') AS destination_phone,
+    coalesce(v[19], '') AS partner_reference, coalesce(v[26], '') AS unclear_position_25 FROM vs""",
     "typed_dates": """SELECT leg_id, loaded_at, make_timestamp(epoch_us(CASE WHEN regexp_full_match(posted_date__date_part, '[0-9]{2}/[0-9]{2}/[0-9]{2} ([01][0-9]|2[0-3]):[0-9]{2}:[0-9]{2}') THEN
   try_cast(concat(CASE WHEN posted_date__date_part[7:8] >= '69' THEN '19' ELSE '20' END, posted_date__date_part[7:8], '-', posted_date__date_part[4:5], '-', posted_date__date_part[1:2], posted_date__date_part[9:]) AS TIMESTAMP) END)
   + coalesce(posted_date__fraction_ns, 0) // 1000) AS posted_at FROM ledger_legs""",
@@ -511,14 +568,19 @@ SQL = {
     "graph_sizes": f"WITH {CLEAN}, {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, count(*) AS edges FROM e",
     "fan_in": f"WITH {CLEAN}, {_EDGES} SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY 1",
     "fan_out_top": f"WITH {CLEAN}, {_EDGES} SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
-    "pass_through": f"WITH {CLEAN}, {_NET}, {_PASS} SELECT node, n_rows, n_quick, quick_rate, round(score, 6) AS score FROM passing",
+    "pass_through": f"WITH {CLEAN}, {_NET}, {_PASS} SELECT node, n_rows, n_quick, quick_rate, median_delay, round(score, 6) AS score FROM passing",
     "closed_circuits": f"WITH {CLEAN}, {_EDGES}, {_CIRCUITS} SELECT * FROM circuits",
     "graph_features": f"""WITH {CLEAN}, {_NET}, {_EDGES}, {_PASS}, {_CIRCUITS}, fi AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY 1), fu AS (SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1),
   lo AS (SELECT node, count(*) AS n_circuits FROM (SELECT a AS node FROM circuits UNION ALL SELECT b FROM circuits) GROUP BY 1)
   SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(n_quick, 0) AS n_quick, round(coalesce(score, 0), 6) AS score, coalesce(n_circuits, 0) AS n_circuits, coalesce(n_circuits, 0) > 0 AS in_circuit
   FROM fi FULL JOIN fu USING (node) LEFT JOIN passing USING (node) LEFT JOIN lo USING (node)""",
-    "ego_edges": f"""WITH {CLEAN}, {_EDGES}, fi AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8), p AS (SELECT src, dst, count(*) AS n FROM e WHERE src <> dst GROUP BY ALL),
-  c AS (SELECT node, src, dst, n FROM p JOIN fi ON node = src UNION ALL SELECT node, src, dst, n FROM p JOIN fi ON node = dst) SELECT DISTINCT src, dst, n FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, src, dst) AS rn FROM c) WHERE rn <= 2""",
+    "ego_edges": f"""WITH {CLEAN}, {_NET}, {_EDGES}, {_PASS}, {_CIRCUITS},
+  ce AS MATERIALIZED (SELECT node FROM passing WHERE n_quick >= 3 AND node IS NOT NULL ORDER BY score DESC, node LIMIT 8),
+  cp AS (SELECT centre, node, count(*) AS n FROM (SELECT src AS centre, dst AS node FROM e WHERE src IN (SELECT node FROM ce) UNION ALL SELECT dst, src FROM e WHERE dst IN (SELECT node FROM ce)) GROUP BY ALL),
+  nb AS (SELECT node FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY n DESC, node) AS rn FROM cp) WHERE rn <= 2 AND node NOT IN (SELECT node FROM ce)),
+  lc AS MATERIALIZED (SELECT a, b FROM circuits JOIN e ON e.code = code_out ORDER BY amount DESC, code_out LIMIT 6),
+  seeds AS (SELECT node FROM ce UNION SELECT node FROM nb UNION SELECT a FROM lc UNION SELECT b FROM lc)
+  SELECT src, dst, count(*) AS n FROM e WHERE src <> dst AND src IN (FROM seeds) AND dst IN (FROM seeds) GROUP BY ALL ORDER BY src, dst LIMIT 300""",
     "customer_metrics": f"WITH {CLEAN}, {_METRICS} SELECT * FROM metrics",
     "norm_rank": f"WITH {CLEAN}, {_METRICS}, {_RANKED} SELECT phone, rank_all, rank_senders FROM rk",
     "norm_scaled": f"WITH {CLEAN}, {_METRICS}, {_STATS} SELECT phone, round({_scaled('sent')}, 6) AS scaled_sent, round({_scaled('n_targets')}, 6) AS scaled_targets FROM metrics, st",
@@ -550,4 +612,5 @@ QUERIES = {f.__name__: f for f in (
     velocity, behavioral_stats, prior_median, new_beneficiary, network_causal, rule_flags, suspicion_histogram, budget_consumption, budget_alerts,
     alert_history, budget_latest, edgelist, graph_sizes, fan_in, fan_out_top, pass_through, closed_circuits, graph_features, ego_edges, customer_metrics,
     norm_rank, norm_scaled, weighted_scores, service_hour_heatmap, monthly_trend, status_counts, kpis, largest, newest, temporal_split, baseline_score,
-    average_precision, precision_recall, lr_scores, gbt_scores, field_counts, position_profile, binary_candidates, low_cardinality)}
+    average_precision, precision_recall, lr_scores, gbt_scores, field_counts, position_profile, binary_candidates, low_cardinality,
+    samples, full_audit, tolerant_load)}
