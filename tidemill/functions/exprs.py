@@ -41,8 +41,8 @@ def within(c: Column, low: float, high: float) -> Column:
 
 
 def number(c: str) -> Column:
-    """A text as a number, written plainly or with an exponent; NULL if it is none (the suffixes that a cast would take included)."""
-    plain = F.col(c).rlike(r"^\s*[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z")
+    """A text as a number, written plainly or with an exponent, or infinity; NULL if it is none (the suffixes that a cast would take included)."""
+    plain = F.col(c).rlike(r"^\s*[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z|(?i)^\s*[+-]?inf(?:inity)?\s*\z")
     return F.when(plain, F.expr(f"try_cast(`{c}` AS double)"))
 
 
@@ -55,7 +55,7 @@ def merge_fraction(date_part: str, fraction_ns: str) -> Column:
     shaped = F.when(F.col(date_part).rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"), F.col(date_part))
     base = F.try_to_timestamp(shaped, F.lit("dd/MM/yy HH:mm:ss"))
     base = F.when(F.year(base) >= 2069, F.add_months(base, -1200).cast("timestamp") + (base - F.date_trunc("day", base))).otherwise(base)
-    fraction = F.coalesce(F.expr(f"try_cast(`{fraction_ns}` AS bigint)"), F.floor(number(fraction_ns)).cast("bigint"), F.lit(0))
+    fraction = F.coalesce(F.expr(f"try_cast(`{fraction_ns}` AS bigint)"), F.when(F.abs(number(fraction_ns)) < 1e18, F.floor(number(fraction_ns)).cast("bigint")), F.lit(0))
     return F.timestamp_micros(F.unix_micros(base) + F.floor(fraction / 1000).cast("bigint")).cast("timestamp_ntz")
 
 
