@@ -46,6 +46,12 @@ def number(c: str) -> Column:
     return F.when(plain, F.expr(f"try_cast(`{c}` AS double)"))
 
 
+def whole_number(c: str) -> Column:
+    """A text as a whole number, an exponent allowed; NULL if it is none or too large."""
+    x = number(c)
+    return F.coalesce(F.expr(f"try_cast(`{c}` AS bigint)"), F.when((F.abs(x) <= 9e15) & (x == F.floor(x)), x.cast("bigint")))
+
+
 def merge_fraction(date_part: str, fraction_ns: str) -> Column:
     """``dd/MM/yy HH:mm:ss`` plus nanoseconds as a timestamp without zone; the year 69 and up is of 1900.
 

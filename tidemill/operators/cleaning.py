@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.exprs import holds, key, merge_fraction, micros, number
+from tidemill.functions.exprs import holds, key, merge_fraction, micros, number, whole_number
 
 
 def cast_types(raw: DataFrame, dates: Mapping[str, tuple[str, str]], numbers: Sequence[str], whole: Sequence[str]) -> DataFrame:
     """Merge date and fraction columns, cast numbers; what does not fit is NULL. The raw date parts go, fractions stay."""
     out = raw.withColumns({name: merge_fraction(d, f) for name, (d, f) in dates.items()})
-    out = out.withColumns({c: number(c) for c in numbers} | {c: F.expr(f"try_cast(`{c}` AS bigint)") for c in whole})
+    out = out.withColumns({c: number(c) for c in numbers} | {c: whole_number(c) for c in whole})
     return out.drop(*[d for d, _ in dates.values()])
 
 
