@@ -63,6 +63,24 @@ def present(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
 
 
+def clean_transactions(rows: DataFrame, code: str, order: Sequence[str], categories: Sequence[str], status: str, valid: str, partner: str,
+                       same: Sequence[str], ts: str, minutes: float) -> DataFrame:
+    """First row of each code, plain categories, ``is_valid``, ``has_partner`` and ``is_duplicate``, in this order."""
+    out = normalize_categoricals(drop_technical_duplicates(rows, code, order), categories)
+    out = out.withColumn("is_valid", holds(F.col(status) == valid)).withColumn("has_partner", present(partner))
+    return flag_functional_duplicates(out, same, ts, code, minutes, "is_duplicate")
+
+
+def offending(rows: DataFrame, code: str, fails: Column, most: int = 200) -> DataFrame:
+    """The codes of rows that fail, the first ``most`` in order: a report."""
+    return rows.filter(holds(fails)).select(code).distinct().orderBy(F.col(code).asc_nulls_last()).limit(most)
+
+
+def unknown(rows: DataFrame, category: str, allowed: DataFrame) -> DataFrame:
+    """The categories of rows that are none of the allowed ones, sorted."""
+    return rows.filter(F.col(category).isNotNull()).select(category).distinct().join(allowed.select(category).distinct(), category, "left_anti").orderBy(category)
+
+
 def checks(rows: DataFrame, code: str, amount: str, most: float, category: str, allowed: DataFrame, critical: Sequence[str]) -> DataFrame:
     """One row per check: name, failures, passed. One pass over the rows and one over their categories."""
     one = rows.agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import micros
@@ -117,14 +117,71 @@ def fit_logistic(train: DataFrame, iterations: int = 50):
     return LogisticRegression(weightCol="weight", maxIter=iterations, standardization=True, regParam=0.001).fit(balanced(train))
 
 
-def fit_boosted(train: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42):
+def fit_boosted(train: DataFrame, stop: DataFrame | None = None, trees: int = 40, depth: int = 5, step: float = 0.1, seed: int = 42):
+    """Boosted trees; with ``stop``, rows not trained on, no further tree is added once their error no longer falls."""
     from pyspark.ml.classification import GBTClassifier
 
-    return GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed).fit(balanced(train))
+    model = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
+    rows = balanced(train)
+    if stop is not None:
+        rows = rows.withColumn("__stop", F.lit(False)).unionByName(balanced(stop).withColumn("__stop", F.lit(True)))
+        model = model.setValidationIndicatorCol("__stop")
+    return model.fit(rows.select("features", "label", "weight", *(["__stop"] if stop is not None else [])))
+
+
+def newest_apart(rows: DataFrame, ts: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """(the rest, the newest ``share``), parted at a quantile of time."""
+    cut = rows.select(micros(ts).alias("__us")).agg(F.percentile_approx("__us", 1 - share, 10_000)).first()[0]
+    newest = F.coalesce(micros(ts) > F.lit(cut), F.lit(False))
+    return rows.filter(~newest), rows.filter(newest)
 
 
 def scores(model, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep..., score): the probability of the positive class."""
+    """(keep..., score): the probability of the positive class. Order by an ordinal among ``keep`` to have the order of the input."""
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("score"))
+
+
+def with_spread(folds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The folds with ``mean`` and ``deviation`` (of the population) of their average precision."""
+    w = Window.partitionBy(*by)  # one row a fold
+    return folds.withColumn("mean", F.avg("average_precision").over(w)).withColumn("deviation", F.stddev_pop("average_precision").over(w))
+
+
+def cross_validate(matrix: DataFrame, folds: int, baseline: Column, seed: int = 42, trees: int = 20) -> DataFrame:
+    """(fold, model, n_train, n_valid, average_precision, mean, deviation) of a baseline score, a logistic and a boosted model.
+
+    Boosting stops by the rows that are judged, as many trees as help. Where the training rows are of one class
+    only, the models know nothing: their score is that of no row apart from another.
+    """
+    out = []
+    spark = matrix.sparkSession
+    for i in range(1, folds + 1):
+        train, valid = matrix.filter(f"train_{i}"), matrix.filter(f"valid_{i}")
+        n, positive = train.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        judged = valid.count()
+        some = valid.agg(F.sum("label")).first()[0] or 0
+        flat = valid.select("label", F.lit(0.0).alias("score"))
+        judge = {"baseline": valid.select("label", baseline.alias("score")), "logistic": flat, "boosted": flat}
+        if 0 < positive < n:
+            judge["logistic"] = scores(fit_logistic(train), valid, ["label"])
+            judge["boosted"] = scores(fit_boosted(train, valid if 0 < some < judged else None, trees, seed=seed), valid, ["label"])
+        for name, rows in judge.items():
+            found = average_precision(rows, "label", "score").first()
+            out.append((i, name, n, judged, found[0] if found else None))
+    rows = spark.createDataFrame(out, "fold int, model string, n_train bigint, n_valid bigint, average_precision double")
+    return with_spread(rows, ["model"])
+
+
+def leakage_folds(split: DataFrame, ts: str, code: str, folds: int, embargo_days: float) -> DataFrame:
+    """One row per fold: rows, the gap in days between training and judged rows, codes in both, whether that passes."""
+    us = micros(ts)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(f"train_{i}").alias("t"), F.col(f"valid_{i}").alias("v")) for i in range(1, folds + 1)]))
+    x = split.select(F.col(code).alias("code"), us.alias("us"), sides.alias("s")).select("code", "us", "s.*")
+    per = x.groupBy("fold").agg(F.count(F.when(F.col("t"), 1)).alias("n_train"), F.count(F.when(F.col("v"), 1)).alias("n_valid"),
+                                ((F.min(F.when(F.col("v"), F.col("us"))) - F.max(F.when(F.col("t"), F.col("us")))) / float(DAY_US)).alias("gap_days"))
+    both = x.filter(F.col("code").isNotNull()).groupBy("fold", "code").agg(F.max("t").alias("t"), F.max("v").alias("v")).filter("t and v")
+    shared = both.groupBy("fold").agg(F.count(F.lit(1)).alias("shared_codes"))
+    out = per.join(shared, "fold", "left").fillna(0, ["shared_codes"])
+    return out.withColumn("passed", F.coalesce(F.col("gap_days") >= embargo_days, F.lit(True)) & (F.col("shared_codes") == 0))

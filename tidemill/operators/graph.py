@@ -25,8 +25,9 @@ def sizes(e: DataFrame) -> DataFrame:
     return nodes.crossJoin(e.agg(F.count(F.lit(1)).alias("edges")))  # one row each
 
 
-def degree(e: DataFrame, of: str, other: str, name: str) -> DataFrame:
-    """Distinct neighbours on one side: pairs are made distinct first, so no task counts a hub's edges."""
+def degree(e: DataFrame, of: str, other: str, name: str, nulls: bool = True) -> DataFrame:
+    """Distinct neighbours on one side: pairs are made distinct first, so no task counts a hub's edges. ``nulls``: NULL is a neighbour."""
+    e = e if nulls else e.filter(F.col(other).isNotNull())
     return e.select(of, other).distinct().groupBy(F.col(of).alias("node")).agg(F.count(F.lit(1)).alias(name))
 
 

@@ -15,11 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import key, micros
-from tidemill.operators.arrow_groups import changes
+from tidemill.operators.arrow_groups import changes, whole_groups
+from tidemill.session import materialize
 
 DAY_US = 86_400_000_000
 _NO_DAY = -(1 << 40)
@@ -120,44 +122,115 @@ def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Col
     return got.filter("__w = ''").select("__row.*", *values)
 
 
-def _medians(keys: Sequence[str], value: str, name: str):
-    """mapInArrow body: sorted rows -> the same with the median of the key's earlier values.
+STRETCH_ROWS = 20_000  # rows of a key that one pass holds, besides as many earlier values on either side of their median
 
-    Holds one sorted list of the current key's values so far.
+
+def _windows(ks: Sequence[str]):
+    """mapInArrow body: (keys, stretch, bin, n) sorted -> for each later stretch what part of the earlier values it can need.
+
+    A stretch of r values moves a median by r ranks at most. Of the m earlier values it needs those of
+    the ranks ``lo`` to ``hi``, which lie in the bins ``from`` to ``to``; ``below`` are in lesser bins. Held
+    are the counts of one key's bins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = None, []
+        last, bins, counts = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t, starts in whole_groups(batches, [*ks, "__s"], 256):
+            out = []
+            at, n = t.column("__bin").to_numpy(), t.column("__n").to_numpy()
+            heads = t.select([*ks, "__s"]).take(pa.array(starts)).to_pylist()
+            for i, (begin, end) in enumerate(zip(starts, [*starts[1:], t.num_rows])):
+                who = tuple(heads[i][k] for k in ks)
+                if who != last:
+                    last, bins, counts = who, np.zeros(0, np.int64), np.zeros(0, np.int64)
+                m, r = int(counts.sum()), int(n[begin:end].sum())
+                if m:
+                    lo, hi = max(0, (m - 1) // 2 - r), min(m - 1, (m + r) // 2)
+                    upto = np.cumsum(counts)
+                    first, end_bin = np.searchsorted(upto, [lo, hi], side="right")
+                    out.append((*who, heads[i]["__s"], int(bins[first]), int(bins[end_bin]), int(upto[first] - counts[first]), m, lo, hi))
+                bins, inverse = np.unique(np.concatenate([bins, at[begin:end]]), return_inverse=True)
+                counts = np.bincount(inverse, weights=np.concatenate([counts, n[begin:end]]), minlength=len(bins)).astype(np.int64)
+            cols = [*zip(*out)] if out else [[] for _ in range(len(ks) + 7)]
+            types = [*[pa.string()] * len(ks), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], [*ks, "__s", "__from", "__to", "__below", "__m", "__lo", "__hi"])
+
+    return run
+
+
+def _medians(ks: Sequence[str], kept: Sequence[str], value: str, name: str):
+    """mapInArrow body: a stretch's earlier values, then its rows -> the rows with the median of all earlier values.
+
+    Earlier values come as (value, ``__n`` times) with the ranks that are needed, and are cut to those. Held is one sorted
+    list of a stretch. A value put in beyond an end of the list lies wrong only among ranks that no median of the stretch reaches.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, below, total, passed = None, [], 0, 0, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            new = changes([b.column(k) for k in keys])
-            head = tuple(b.column(k)[0].as_py() for k in keys)
+            new = changes([b.column(k) for k in [*ks, "__s"]])
+            head = tuple(b.column(k)[0].as_py() for k in [*ks, "__s"])
             new[0] = head != last
-            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in keys)
-            values = b.column(value).to_pylist()
-            out = [None] * len(values)
+            last = tuple(b.column(k)[b.num_rows - 1].as_py() for k in [*ks, "__s"])
+            values = b.column("__v").to_pylist()
+            times, m, lo, hi, under = (b.column(c).to_pylist() for c in ("__n", "__m", "__lo", "__hi", "__below"))
+            out: list[float | None] = []
             for i, v in enumerate(values):
                 if new[i]:
-                    seen = []
-                n = len(seen)
-                if n:
-                    out[i] = seen[n // 2] if n % 2 else (seen[n // 2 - 1] + seen[n // 2]) / 2
+                    seen, below, total, passed = [], 0, 0, -1
+                if times[i] is not None:  # an earlier value
+                    if passed < 0:
+                        below, total, passed = lo[i], m[i], under[i]
+                    n = min(passed + times[i], hi[i] + 1) - max(passed, lo[i])
+                    passed += times[i]
+                    if n > 0:
+                        seen.extend([v] * n)
+                    continue
+                if total:
+                    x, y = (total - 1) // 2 - below, total // 2 - below
+                    out.append(seen[x] if x == y else (seen[x] + seen[y]) / 2)
+                else:
+                    out.append(None)
                 if v is not None:
                     bisect.insort(seen, v)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
+                    total += 1
+            rows = b.filter(pc.is_null(b.column("__n")))
+            yield pa.RecordBatch.from_arrays([*[rows.column("__row").field(c) for c in kept], pa.array(out, pa.float64())], [*kept, name])
 
     return run
 
 
-def prior_median(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, name: str) -> DataFrame:
-    """The median of a key's earlier values, which no combination of parts gives: one ordered pass per key.
+def prior_median(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, name: str, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
+    """The exact median of a key's earlier values; NaN counts as none.
 
-    One task passes over a hot key's rows and holds its values (8 bytes each).
+    A key's rows are cut into stretches of ``stretch_rows`` values. While a stretch passes, the
+    median moves by few ranks, so of all earlier values it needs those around their median only,
+    which are found by counts per bin of the value and brought to the stretch: no task holds a key's rows.
     """
-    slim = rows.withColumn("__us", micros(ts)).repartition(*keys).sortWithinPartitions(*keys, "__us", tie).drop("__us")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.mapInArrow(_medians(keys, value, name), f"{kinds}, `{name}` double")
+    ks = [f"__k{i}" for i in range(len(keys))]
+    v = F.col(value).cast("double")
+    there = F.when(micros(ts).isNotNull() & ~F.isnan(v), v)
+    counted = before(rows.withColumn("__v", there), keys, ts, tie, {"__c": Carried(F.when(F.col("__v").isNotNull(), 1).otherwise(0))})
+    staged = materialize(counted.select(F.struct(*rows.columns).alias("__row"), *[key(c).alias(k) for k, c in zip(ks, keys)], micros(ts).alias("__us"), F.col(tie).alias("__tie"), "__v",
+                                        F.floor(F.col("__c") / stretch_rows).cast("bigint").alias("__s")), "stretches")
+    place = [*ks, "__s"]
+    types = ", ".join(f"{k} string" for k in ks)
+    # Keys of several stretches: counts of their values, and of bins that order as the values do.
+    long = staged.filter("__s > 0").select(*ks).distinct()
+    per = staged.filter("__v is not null").join(long, ks, "left_semi").groupBy(*place, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    per = materialize(per.withColumn("__bin", (F.signum("__v") * F.floor(F.log2(1 + F.abs("__v")) * 256)).cast("bigint")), "values")
+    bins = per.groupBy(*place, "__bin").agg(F.sum("__n").alias("__n"))
+    windows = (bins.repartition(*ks).sortWithinPartitions(*place)
+               .mapInArrow(_windows(ks), f"{types}, __s bigint, __from bigint, __to bigint, __below bigint, __m bigint, __lo bigint, __hi bigint"))
+    wanted = windows.withColumn("__bin", F.explode(F.sequence("__from", "__to"))).withColumnRenamed("__s", "__at")
+    needed = (per.join(wanted, [*ks, "__bin"]).filter(F.col("__s") < F.col("__at"))
+              .groupBy(*ks, F.col("__at").alias("__s"), "__v", "__below", "__m", "__lo", "__hi").agg(F.sum("__n").alias("__n")))
+    whole = staged.unionByName(needed, allowMissingColumns=True)
+    laid = whole.repartition(*place).sortWithinPartitions(*place, F.col("__n").isNull(), F.when(F.col("__n").isNotNull(), F.col("__v")), "__us", "__tie")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return laid.mapInArrow(_medians(ks, rows.columns, value, name), f"{kinds}, `{name}` double")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: tuple[str, str], ts: tuple[str, str], tie: tuple[str, str],

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.exprs import merge_fraction, micros, null_if_zero, pdiv
+from tidemill.config import DEFAULTS
+from tidemill.functions.exprs import holds, interval_label, merge_fraction, micros, null_if_zero, pdiv
 from tidemill.operators import budget, cleaning, evaluation, graph, history, scoring
 from tidemill.operators.history import Carried
 from tidemill.operators.redelivery import fixed_point, latest_rows
@@ -17,15 +18,11 @@ HOUR_US = 3_600_000_000
 COLUMNS = ["service_code", "transaction_status", "transaction_date", "transaction_amount", "transaction_fees", "source_phone",
            "destination_phone", "partner_reference", "channel_type"]
 WINDOWS = {"1h": HOUR_US, "24h": 24 * HOUR_US, "7d": 168 * HOUR_US}
-RULES = {
-    "r1": "ratio > 1",
-    "r2": "day_ratio > 1",
-    "r3": "ratio between 0.8 and 1.0 and n_24h >= 3",
-    "r4": "n_1h > 80",
-    "r5": "is_new and max_ratio > 1.0",
-    "r6": "hour(transaction_date) < 7 and abs(zscore) > 3.0",
-    "r7": "received_to_sent between 0.9 and 1.1 and minutes_since_received between 0 and 30",
-}
+RULES = DEFAULTS.rules()
+MODEL_FEATURES = (
+    "ratio", "above", "distance", "day_total", "day_ratio", "n_prior", "median_ratio", "max_ratio", "zscore", "days_since", "is_new",
+    "n_1h", "n_24h", "n_7d", "sum_1h", "sum_24h", "sum_7d", "sent_before", "received_before", "received_to_sent", "minutes_since_received", "has_partner",
+)
 
 
 def held(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -136,6 +133,25 @@ def prior_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transaction_code", "median_prior", pdiv(F.col("transaction_amount"), F.col("median_prior")).alias("median_ratio"))
 
 
+def clean_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cleaning in one frame: first delivery of each code, plain categories, validity, partner, functional duplicates."""
+    raw = table(spark, sf_dir, "transactions").select("transaction_code", "loaded_at", *COLUMNS)
+    dated, _ = cleaning.quarantine(raw, cleaning.usable_date("transaction_date", DEFAULTS.first_year))
+    kept, _ = cleaning.quarantine(dated, cleaning.bounded("transaction_amount", DEFAULTS.most_amount))
+    out = cleaning.clean_transactions(kept, "transaction_code", ["loaded_at", "transaction_status", "transaction_fees"], ["service_code", "transaction_status"], "transaction_status",
+                                      "VALIDATED", "partner_reference", ["source_phone", "destination_phone", "transaction_amount"], "transaction_date", DEFAULTS.duplicate_minutes)
+    return out.select("transaction_code", "service_code", "transaction_status", "is_valid", "has_partner", "is_duplicate")
+
+
+def offending_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the first codes whose amount is beyond the bound."""
+    return cleaning.offending(table(spark, sf_dir, "transactions"), "transaction_code", F.col("transaction_amount") > DEFAULTS.most_amount)
+
+
+def unknown_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.unknown(table(spark, sf_dir, "staged_rows").filter("service_code <> ''"), "service_code", table(spark, sf_dir, "service_thresholds"))
+
+
 def new_beneficiary(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = F.coalesce(F.col("destination_phone"), F.lit("")) != ""
     return history.first_occurrence(clean(spark, sf_dir, "source_phone", "destination_phone"), ["source_phone", "destination_phone"], "transaction_date",
@@ -179,8 +195,8 @@ def network_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("transaction_code", *NETWORK)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of each transaction: one table of clean rows, to which each step adds columns."""
+def features(spark: SparkSession, sf_dir: str, medians: bool = False) -> DataFrame:
+    """All features of each transaction: one table of clean rows, to which each step adds columns. ``medians``: those that need them too."""
     base = clean_table(spark, sf_dir)
     d = dims(spark, sf_dir)
     x = history.trailing(base, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
@@ -188,12 +204,27 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = budget.running_day_total(x, ["source_phone", "service_code"], "transaction_date", "transaction_code", "transaction_amount", valid(), "day_total")
     x = x.join(d.select("__code", F.col("seuil_cumul_journalier_mru").alias("__limit")), F.col("service_code") == F.col("__code"), "left").withColumn(
         "day_ratio", pdiv(F.col("day_total"), F.col("__limit"))).drop("__code", "__limit")
-    return _network(_prior(x, base), base)
+    out = _network(_prior(x, base), base).withColumns({f"sum_{w}": F.col(f"units_{w}") / 100.0 for w in WINDOWS})
+    if not medians:
+        return out
+    slim = base.select("row_id", "source_phone", "transaction_date", "transaction_code", "transaction_amount")
+    median = history.prior_median(slim, ["source_phone"], "transaction_date", "transaction_code", "transaction_amount", "median_prior").select("row_id", "median_prior")
+    return out.join(median, "row_id").withColumn("median_ratio", pdiv(F.col("transaction_amount"), F.col("median_prior")))
 
 
 def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.flag_rules(features(spark, sf_dir), RULES, "n_rules", 2, "is_suspect")
-    return out.select("transaction_code", *RULES, "n_rules", "is_suspect")
+    return _flagged(spark, sf_dir).select("transaction_code", *RULES, "n_rules", "is_suspect")
+
+
+def _flagged(spark: SparkSession, sf_dir: str, medians: bool = False) -> DataFrame:
+    return scoring.flag_rules(features(spark, sf_dir, medians), RULES, "n_rules", DEFAULTS.least_rules, "is_suspect")
+
+
+def flagged_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many transactions at least three rules hold for, and their amount: the flags joined back by code."""
+    flags = rule_flags(spark, sf_dir).filter("n_rules >= 3").select("transaction_code")
+    rows = clean(spark, sf_dir, "transaction_amount").join(flags, "transaction_code")
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(fixed_point("transaction_amount", 2)), F.lit(0)) / 100.0).alias("amount"))
 
 
 def suspicion_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +244,19 @@ def budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.alerts(_consumption(spark, sf_dir)).select("entity", "code", "day", "day_rank", "month_rank", "worst_level")
 
 
+def worst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the severest alerts, the latest first."""
+    out = budget.alerts(_consumption(spark, sf_dir)).filter("worst_rank > 0")
+    return out.orderBy(F.desc("worst_rank"), F.desc("day"), "entity", "code").limit(50).select("entity", "code", "day", "worst_level")
+
+
+def report_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 phones that sent most, and those of the severest alerts that are not among them."""
+    most = graph.top(_metrics(spark, sf_dir).filter("phone is not null").select("phone", "sent"), "sent", "phone", 100).select("phone")
+    alerted = worst_alerts(spark, sf_dir).filter("entity is not null").select(F.col("entity").alias("phone")).distinct()
+    return most.withColumn("why", F.lit("amount")).unionByName(alerted.join(most, "phone", "left_anti").withColumn("why", F.lit("alert")))
+
+
 def alert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.alert_history(budget.alerts(_consumption(spark, sf_dir)))
 
@@ -287,6 +331,24 @@ def customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir)
 
 
+def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phone of the phone map with all its metrics: sent, received, habits, closeness to limits, rules, alerts; 0 where there is nothing."""
+    phones = table(spark, sf_dir, "customer_phone_map").select("phone", "tenure_days")
+    flagged = _flagged(spark, sf_dir).groupBy(F.col("source_phone").alias("phone")).agg(
+        F.avg(F.abs("zscore")).alias("mean_abs_z"), F.avg(holds(F.col("ratio").between(*DEFAULTS.near_limit)).cast("int")).alias("near_share"),
+        F.avg(cleaning.present("partner_reference").cast("int")).alias("partner_share"), *[F.avg(F.col(r).cast("int")).alias(f"{r}_share") for r in RULES if r != "r5"])
+    there = clean(spark, sf_dir, "source_phone", "destination_phone").filter(F.coalesce("destination_phone", F.lit("")) != "")
+    senders = graph.degree(there, "destination_phone", "source_phone", "n_senders", nulls=False).withColumnRenamed("node", "phone")
+    alerts = alert_history(spark, sf_dir).select(F.col("entity").alias("phone"), "n_alerts", "n_recent", "worst_rank")
+    x = phones
+    for part in (_metrics(spark, sf_dir).drop("is_sender"), senders, flagged, alerts):
+        x = x.join(part, "phone", "left")
+    rates = ["mean_abs_z", "near_share", "partner_share", *[f"{r}_share" for r in RULES if r != "r5"]]
+    x = x.fillna(0, [c for c in x.columns if c not in ("phone", "tenure_days")])
+    return (x.withColumn("circulated", F.round(F.col("sent") + F.col("received"), 2)).withColumn("is_sender", F.col("n_sent") > 0)
+            .withColumn("active_share", F.col("n_days") / F.greatest("tenure_days", F.lit(1))).withColumns({c: F.round(c, 9) for c in rates}))
+
+
 def norm_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _metrics(spark, sf_dir).select("phone", "sent", "received", "is_sender")
     m = scoring.percent_rank_min(m, "received", "rank_all")
@@ -296,7 +358,8 @@ def norm_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def norm_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scoring.scale_min_max(_metrics(spark, sf_dir), {"scaled_sent": "sent", "scaled_targets": "n_targets"}, F.col("is_sender"))
-    return m.select("phone", F.round("scaled_sent", 6).alias("scaled_sent"), F.round("scaled_targets", 6).alias("scaled_targets"))
+    m = scoring.scale_min_max(m, {"scaled_received": "received"}, reverse=True)
+    return m.select("phone", *[F.round(c, 6).alias(c) for c in ("scaled_sent", "scaled_targets", "scaled_received")])
 
 
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +367,6 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = scoring.scale_min_max(_metrics(spark, sf_dir), {"scaled_fees": "fees", "scaled_targets": "n_targets"}, F.col("is_sender"))
     m = scoring.percent_rank_min(m, "sent", "rank_sent", F.col("is_sender"))
     m = scoring.weighted_score(m, {"rank_sent": 500.0, "scaled_fees": 300.0, "scaled_targets": 200.0}, "score")
-    from tidemill.functions.exprs import interval_label
-
     m = m.withColumn("band", interval_label(F.col("score"), {"low": (0, 299), "middle": (300, 599), "high": (600, 1000)}, "none"))
     return scoring.ordered_phrases(m, [("rank_sent", F.lit("volume")), ("scaled_fees", F.lit("fees")), ("scaled_targets", F.lit("reach"))], "because").select(
         "phone", "score", "band", "because")
@@ -345,7 +406,7 @@ def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.walk_forward(clean(spark, sf_dir), "transaction_date")
+    out = evaluation.walk_forward(clean(spark, sf_dir), "transaction_date", embargo_days=DEFAULTS.embargo_days)
     return out.groupBy("is_holdout", *[f"{k}_{i}" for i in (1, 2, 3) for k in ("train", "valid")]).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -367,22 +428,48 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.precision_recall(_judged(spark, sf_dir), "label", "score")
 
 
-def _model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    names = ["transaction_amount", "ratio", "n_1h", "n_24h", "zscore", "max_ratio", "days_since", "is_new"]
-    rows = scoring.flag_rules(features(spark, sf_dir), RULES, "n_rules", 2, "is_suspect")
-    split = materialize(evaluation.walk_forward(rows, "transaction_date").select("transaction_code", *names, "is_suspect", "is_holdout"), "matrix")
-    m = evaluation.model_matrix(split, names, "is_suspect")
-    return m.filter("not is_holdout"), m.filter("is_holdout")
+def baseline_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's average precision on every fold, with mean and deviation over the folds."""
+    rows = clean(spark, sf_dir, "service_code", "transaction_status")
+    x = budget.ratio_to_limit(rows, dims(spark, sf_dir), "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
+    x = x.select("transaction_date", (~valid()).alias("label"), evaluation.clipped_share("ratio").alias("score"))
+    split = materialize(evaluation.walk_forward(x, "transaction_date", embargo_days=DEFAULTS.embargo_days), "folds")
+    folds = [evaluation.average_precision(split.filter(f"valid_{i}"), "label", "score").select(F.lit(i).alias("fold"), F.round("average_precision", 9).alias("average_precision"))
+             for i in range(1, DEFAULTS.folds + 1)]
+    every = evaluation.with_spread(folds[0].unionByName(folds[1]).unionByName(folds[2]), [])
+    return every.select("fold", "average_precision", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+def leakage_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = evaluation.walk_forward(clean(spark, sf_dir), "transaction_date", embargo_days=DEFAULTS.embargo_days)
+    return evaluation.leakage_folds(materialize(split.select("transaction_code", "transaction_date", *[f"{k}_{i}" for i in range(1, DEFAULTS.folds + 1) for k in ("train", "valid")]), "folds"),
+                                    "transaction_date", "transaction_code", DEFAULTS.folds, DEFAULTS.embargo_days)
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's features of each transaction, its label, and which fold trains on it or is judged by it; written once."""
+    x = _flagged(spark, sf_dir, medians=True).withColumn("has_partner", cleaning.present("partner_reference"))
+    split = evaluation.walk_forward(x, "transaction_date", DEFAULTS.folds, DEFAULTS.embargo_days, DEFAULTS.holdout_share)
+    keep = ["row_id", "transaction_code", "transaction_date", *MODEL_FEATURES, "is_suspect", "is_holdout", *[f"{k}_{i}" for i in range(1, DEFAULTS.folds + 1) for k in ("train", "valid")]]
+    return evaluation.model_matrix(materialize(split.select(*keep), "matrix"), MODEL_FEATURES, "is_suspect")
 
 
 def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, judged = _model_rows(spark, sf_dir)
-    return evaluation.scores(evaluation.fit_logistic(train), judged, ["transaction_code", "label"])
+    m = _matrix(spark, sf_dir)
+    return evaluation.scores(evaluation.fit_logistic(m.filter("not is_holdout")), m.filter("is_holdout"), ["row_id", "transaction_code", "label"])
 
 
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, judged = _model_rows(spark, sf_dir)
-    return evaluation.scores(evaluation.fit_boosted(train, trees=5), judged, ["transaction_code", "label"])
+    """The final fit: all before the holdout, of which the newest tenth says when to stop; each row of the holdout with its score."""
+    m = _matrix(spark, sf_dir)
+    before, judged = m.filter("not is_holdout"), m.filter("is_holdout")
+    train, newest = evaluation.newest_apart(before, "transaction_date", 0.1)
+    return evaluation.scores(evaluation.fit_boosted(train, newest, seed=DEFAULTS.seed), judged, ["row_id", "transaction_code", "label"])
+
+
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of three models on every fold, with mean and deviation of each model over the folds."""
+    return evaluation.cross_validate(_matrix(spark, sf_dir), DEFAULTS.folds, evaluation.clipped_share("ratio"), DEFAULTS.seed)
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,7 +545,7 @@ net AS (SELECT sn.*, su::DOUBLE / 100.0::DOUBLE AS sent_before, coalesce(ru, 0):
   FROM sn ASOF LEFT JOIN rc ON sn.source_phone = rc.phone AND sn.us > rc.rus)"""
 _RULES_SQL = f"""tr AS (SELECT rid, ratio, {_PDIV.format('run', 'daily')} AS day_ratio, n_1h, n_24h FROM
   (SELECT *, {_RUN} AS run, {_trail('count(*)', HOUR_US)} AS n_1h, {_trail('count(*)', 24 * HOUR_US)} AS n_24h FROM rat)),
-fl AS (SELECT net.transaction_code, coalesce(ratio > 1, FALSE) AS r1, coalesce(day_ratio > 1, FALSE) AS r2,
+fl AS (SELECT rid, net.transaction_code, net.source_phone, net.partner_reference, ratio, zscore, coalesce(ratio > 1, FALSE) AS r1, coalesce(day_ratio > 1, FALSE) AS r2,
     coalesce(ratio BETWEEN 0.8::DOUBLE AND 1.0::DOUBLE AND n_24h >= 3, FALSE) AS r3, coalesce(n_1h > 80, FALSE) AS r4, coalesce(is_new AND max_ratio > 1.0, FALSE) AS r5,
     coalesce(hour(net.transaction_date) < 7 AND abs(zscore) > 3.0, FALSE) AS r6,
     coalesce(received_to_sent BETWEEN 0.9::DOUBLE AND 1.1::DOUBLE AND minutes_since_received BETWEEN 0 AND 30, FALSE) AS r7
@@ -557,7 +644,33 @@ SQL = {
     "prior_median": f"WITH {CLEAN}, m AS (SELECT transaction_code, transaction_amount, quantile_cont(transaction_amount, 0.5) {_P} AS median_prior FROM clean) SELECT transaction_code, median_prior, {_PDIV.format('transaction_amount', 'median_prior')} AS median_ratio FROM m",
     "new_beneficiary": f"WITH {CLEAN} SELECT transaction_code, {_FIRST} AS is_new FROM clean",
     "network_causal": f"WITH {CLEAN}, {_NET} SELECT transaction_code, sent_before, received_before, n_targets, n_senders, received_to_sent, minutes_since_received FROM net",
-    "rule_flags": f"WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL} SELECT *, n_rules >= 2 AS is_suspect FROM flags",
+    "rule_flags": f"WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL} SELECT transaction_code, r1, r2, r3, r4, r5, r6, r7, n_rules, n_rules >= 2 AS is_suspect FROM flags",
+    "flagged_amount": f"WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL} SELECT count(*) AS n, coalesce(sum(u), 0)::DOUBLE / 100.0::DOUBLE AS amount FROM flags JOIN clean USING (rid) WHERE n_rules >= 3",
+    "clean_transactions": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY transaction_code ORDER BY loaded_at NULLS LAST, transaction_status NULLS LAST, transaction_fees NULLS LAST) AS rn,
+    epoch_us(transaction_date) AS us FROM transactions WHERE year(transaction_date) >= 2020 AND transaction_amount <= 10000000)
+  SELECT transaction_code, upper(trim(service_code)) AS service_code, upper(trim(transaction_status)) AS transaction_status, coalesce(upper(trim(transaction_status)) = 'VALIDATED', FALSE) AS is_valid,
+    trim(coalesce(partner_reference, '')) <> '' AS has_partner,
+    coalesce(us - lag(us) OVER (PARTITION BY source_phone, destination_phone, transaction_amount ORDER BY us, transaction_code) <= 600000000, FALSE) AS is_duplicate FROM k WHERE rn = 1""",
+    "offending_amounts": "SELECT transaction_code FROM (SELECT DISTINCT transaction_code FROM transactions WHERE transaction_amount > 10000000) ORDER BY 1 LIMIT 200",
+    "unknown_categories": "SELECT DISTINCT service_code FROM staged_rows WHERE service_code <> '' AND service_code NOT IN (SELECT service_code FROM service_thresholds)",
+    "worst_alerts": f"WITH {CLEAN}, {_USED}, {_ALERTS} SELECT entity, code, day, worst_level FROM alerts WHERE worst_rank > 0 ORDER BY worst_rank DESC, day DESC, entity NULLS FIRST, code NULLS FIRST LIMIT 50",
+    "report_customers": f"""WITH {CLEAN}, {_USED}, {_ALERTS}, {_METRICS}, most AS (SELECT phone FROM metrics WHERE phone IS NOT NULL ORDER BY sent DESC, phone LIMIT 100),
+  wa AS (SELECT entity FROM (SELECT * FROM alerts WHERE worst_rank > 0 ORDER BY worst_rank DESC, day DESC, entity NULLS FIRST, code NULLS FIRST LIMIT 50) WHERE entity IS NOT NULL)
+  SELECT phone, 'amount' AS why FROM most UNION ALL SELECT DISTINCT entity, 'alert' FROM wa WHERE entity NOT IN (SELECT phone FROM most)""",
+    "customer_profile": f"""WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL}, {_USED}, {_ALERTS}, {_METRICS},
+  fg AS (SELECT source_phone AS phone, avg(abs(zscore)) AS mean_abs_z, avg(coalesce(ratio BETWEEN 0.8::DOUBLE AND 1.0::DOUBLE, FALSE)::INT) AS near_share, avg((trim(coalesce(partner_reference, '')) <> '')::INT) AS partner_share,
+    {', '.join(f'avg({r}::INT) AS {r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))} FROM flags GROUP BY 1),
+  se AS (SELECT destination_phone AS phone, count(DISTINCT source_phone) AS n_senders FROM clean WHERE coalesce(destination_phone, '') <> '' GROUP BY 1),
+  h AS (SELECT entity AS phone, count(*) FILTER (worst_rank > 0) AS n_alerts, count(*) FILTER (worst_rank > 0 AND day >= (SELECT max(day) FROM alerts) - 30) AS n_recent, max(worst_rank) AS worst_rank FROM alerts GROUP BY 1)
+  SELECT phone, tenure_days, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_sent', 'sent', 'fees', 'n_services', 'n_days', 'received', 'n_targets', 'n_senders', 'n_alerts', 'n_recent', 'worst_rank'))},
+    {', '.join(f'round(coalesce({c}, 0), 9) AS {c}' for c in ('mean_abs_z', 'near_share', 'partner_share', *(f'{r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))))},
+    round(coalesce(sent, 0) + coalesce(received, 0), 2) AS circulated, coalesce(n_sent, 0) > 0 AS is_sender, coalesce(n_days, 0) / greatest(tenure_days, 1) AS active_share
+  FROM customer_phone_map LEFT JOIN metrics USING (phone) LEFT JOIN se USING (phone) LEFT JOIN fg USING (phone) LEFT JOIN h USING (phone)""",
+    "leakage_folds": f"""WITH {CLEAN}, b AS (SELECT min(us) AS lo, max(us) AS hi, max(us) - CAST(floor((max(us) - min(us)) * 0.05::DOUBLE) AS BIGINT) AS hold FROM clean),
+  s AS (SELECT transaction_code, us, lo, hold, (hold - lo) // 4 AS step, fold FROM clean, b, (SELECT unnest([1, 2, 3]) AS fold)),
+  f AS (SELECT *, us < lo + step * fold - 604800000000 AS train, us >= lo + step * fold AND us < CASE WHEN fold < 3 THEN lo + step * (fold + 1) ELSE hold END AS valid FROM s)
+  SELECT fold, count(*) FILTER (train) AS n_train, count(*) FILTER (valid) AS n_valid, (min(us) FILTER (valid) - max(us) FILTER (train)) / 86400000000.0::DOUBLE AS gap_days, 0 AS shared_codes,
+    coalesce((min(us) FILTER (valid) - max(us) FILTER (train)) / 86400000000.0::DOUBLE >= 7, TRUE) AS passed FROM f GROUP BY 1""",
     "suspicion_histogram": f"WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL} SELECT n_rules, count(*) AS n FROM flags GROUP BY 1",
     "budget_consumption": f"WITH {CLEAN}, {_USED} SELECT * FROM used",
     "budget_alerts": f"WITH {CLEAN}, {_USED}, {_ALERTS} SELECT entity, code, day, day_rank, month_rank, worst_level FROM alerts",
@@ -583,7 +696,8 @@ SQL = {
   SELECT src, dst, count(*) AS n FROM e WHERE src <> dst AND src IN (FROM seeds) AND dst IN (FROM seeds) GROUP BY ALL ORDER BY src, dst LIMIT 300""",
     "customer_metrics": f"WITH {CLEAN}, {_METRICS} SELECT * FROM metrics",
     "norm_rank": f"WITH {CLEAN}, {_METRICS}, {_RANKED} SELECT phone, rank_all, rank_senders FROM rk",
-    "norm_scaled": f"WITH {CLEAN}, {_METRICS}, {_STATS} SELECT phone, round({_scaled('sent')}, 6) AS scaled_sent, round({_scaled('n_targets')}, 6) AS scaled_targets FROM metrics, st",
+    "norm_scaled": f"""WITH {CLEAN}, {_METRICS}, {_STATS} SELECT phone, round({_scaled('sent')}, 6) AS scaled_sent, round({_scaled('n_targets')}, 6) AS scaled_targets,
+    round(CASE WHEN hi > lo THEN 1 - greatest(0.0::DOUBLE, least(1.0::DOUBLE, (received - lo) / (hi - lo))) ELSE 1 END, 6) AS scaled_received FROM metrics, st, (SELECT min(received) AS lo, quantile_cont(received, 0.99) AS hi FROM metrics)""",
     "weighted_scores": f"""WITH {CLEAN}, {_METRICS}, {_STATS}, {_RANKED}, x AS (SELECT phone, rank_senders AS a, {_scaled('fees')} AS b, {_scaled('n_targets')} AS c FROM metrics JOIN rk USING (phone), st),
   y AS (SELECT *, CAST(round_even(a * 500 + b * 300 + c * 200, 0) AS INT) AS score FROM x)
   SELECT phone, score, CASE WHEN score BETWEEN 0 AND 299 THEN 'low' WHEN score BETWEEN 300 AND 599 THEN 'middle' WHEN score BETWEEN 600 AND 1000 THEN 'high' ELSE 'none' END AS band,
@@ -597,11 +711,17 @@ SQL = {
     "temporal_split": f"""WITH {CLEAN}, b AS (SELECT min(us) AS lo, max(us) AS hi, max(us) - CAST(floor((max(us) - min(us)) * 0.05::DOUBLE) AS BIGINT) AS hold FROM clean),
   s AS (SELECT us, lo, hold, (hold - lo) // 4 AS step FROM clean, b),
   f AS (SELECT us >= hold AS is_holdout, """ + ", ".join(
-        f"us < lo + step * {i} - 86400000000 AS train_{i}, us >= lo + step * {i} AND us < {f'lo + step * {i + 1}' if i < 3 else 'hold'} AS valid_{i}" for i in (1, 2, 3)) + """ FROM s)
+        f"us < lo + step * {i} - 604800000000 AS train_{i}, us >= lo + step * {i} AND us < {f'lo + step * {i + 1}' if i < 3 else 'hold'} AS valid_{i}" for i in (1, 2, 3)) + """ FROM s)
   SELECT *, count(*) AS n FROM f GROUP BY ALL""",
     "baseline_score": f"WITH {_JUDGED} SELECT * FROM judged",
     "average_precision": f"""WITH {_JUDGED}, g AS (SELECT score, sum(label::INT) AS p, count(*) AS n FROM judged GROUP BY 1), c AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
   SELECT round(sum(p * cp::DOUBLE / cn) / sum(p), 9) AS average_precision FROM c""",
+    "baseline_folds": f"""WITH {_JUDGED.replace("SELECT transaction_code, transaction_status <>", "SELECT us, transaction_status <>")}, b AS (SELECT min(us) AS lo, max(us) AS hi, max(us) - CAST(floor((max(us) - min(us)) * 0.05::DOUBLE) AS BIGINT) AS hold FROM judged),
+  s AS (SELECT judged.*, lo, hold, (hold - lo) // 4 AS step, fold FROM judged, b, (SELECT unnest([1, 2, 3]) AS fold)),
+  g AS (SELECT fold, score, sum(label::INT) AS p, count(*) AS n FROM s WHERE us >= lo + step * fold AND us < CASE WHEN fold < 3 THEN lo + step * (fold + 1) ELSE hold END GROUP BY 1, 2),
+  c AS (SELECT fold, p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY fold ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+  a AS (SELECT fold, round(sum(p * cp::DOUBLE / cn) / sum(p), 9) AS average_precision FROM c GROUP BY 1)
+  SELECT fold, average_precision, round(avg(average_precision) OVER (), 6) AS mean, round(stddev_pop(average_precision) OVER (), 6) AS deviation FROM a""",
     "precision_recall": f"""WITH {_JUDGED}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), x AS (SELECT threshold, count(*) FILTER (score >= threshold) AS alerts, coalesce(sum(label::INT) FILTER (score >= threshold), 0) AS true_positives, sum(label::INT) AS positives FROM judged, t GROUP BY 1),
   y AS (SELECT *, CASE WHEN alerts > 0 THEN true_positives::DOUBLE / alerts ELSE 0 END AS precision, CASE WHEN positives > 0 THEN true_positives::DOUBLE / positives ELSE 0 END AS recall FROM x)
   SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM y""",
@@ -613,4 +733,5 @@ QUERIES = {f.__name__: f for f in (
     alert_history, budget_latest, edgelist, graph_sizes, fan_in, fan_out_top, pass_through, closed_circuits, graph_features, ego_edges, customer_metrics,
     norm_rank, norm_scaled, weighted_scores, service_hour_heatmap, monthly_trend, status_counts, kpis, largest, newest, temporal_split, baseline_score,
     average_precision, precision_recall, lr_scores, gbt_scores, field_counts, position_profile, binary_candidates, low_cardinality,
-    samples, full_audit, tolerant_load)}
+    samples, full_audit, tolerant_load, clean_transactions, offending_amounts, unknown_categories, flagged_amount, worst_alerts, report_customers,
+    customer_profile, baseline_folds, leakage_folds, fold_metrics)}
