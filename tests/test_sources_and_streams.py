@@ -12,9 +12,10 @@ def test_ragged_rows_do_not_shift(spark, tmp_path):
     names = [f"c{i}" for i in range(26)]
     path = tmp_path / "x.csv"
     path.write_bytes((",".join(names) + "\n" + ",".join(str(i) for i in range(26)) + "\n" + ",".join(str(i) for i in range(26)) + ",,,,\n" + '1,"a,b\nc",3\n').encode() + b"\xff,2\n")
-    rows = files.read_ragged(spark, str(path), names).collect()
+    rows = files.read_ragged(spark, str(path), names, line_breaks=True).collect()
     assert [r.c25 for r in rows] == ["25", "25", "", ""] and rows[2].c1 == "a,b\nc" and rows[2].c2 == "3" and rows[3].c0 == "�"
     assert files.read_ragged(spark, str(path), names, most_rows=2).count() == 2
+    assert [r.c0 for r in files.read_ragged(spark, str(path), names).collect()] == ["0", "0", "1", 'c"', "�"]
 
 
 def test_schema_map(tmp_path):
@@ -81,3 +82,21 @@ def test_lines_without_a_number_are_counted(spark, tmp_path):
     spark.createDataFrame(rows, "line_id bigint, line_no int, line string").write.parquet(str(tmp_path / "raw_lines.parquet"))
     got = {r.n_fields: r.n_lines for r in reference.QUERIES["field_counts"](spark, str(tmp_path)).collect()}
     assert got == {2: 1, 3: 1}
+
+
+def test_audit_of_any_line(spark):
+    long = '"' + 'x""' * 20_000 + '",b'
+    lines = spark.createDataFrame([(1, long), (2, 'a,"b,c'), (3, '"say ""hi""",2'), (4, None)], "i int, line string")
+    values = {r.i: r.v for r in lines.select("i", audit.values_of("line").alias("v")).collect()}
+    assert values[1] == ['x"' * 20_000, "b"] and values[2] == ["a", '"b,c'] and values[3] == ['say "hi"', "2"] and values[4] is None
+    wide = {r.i: (r.a, r.b, r.c) for r in audit.padded(lines.filter("i > 1"), "line", ["a", "b", "c"]).collect()}
+    assert wide == {2: ("a", '"b,c', ""), 3: ('say "hi"', "2", ""), 4: ("", "", "")}
+
+
+def test_audit_report_is_json(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "a,1,x"), (2, "b,0"), (3, "a,,")], "i int, line string")
+    report = audit.audit_report(lines, "line", "i", "here")
+    assert report["lines"] == 3 and report["field_counts"] == {2: 1, 3: 2} and report["binary_candidates"] == [1]
+    assert report["positions"][0]["sample_values"] == ["a", "b", "a"] and report["positions"][0]["distinct_values"] == ["a", "b"]
+    files.write_report(report, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text())["source"] == "here"

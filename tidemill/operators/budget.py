@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.exprs import label, level, micros, pdiv
+from tidemill.operators.history import DAY_US, Carried, before
 from tidemill.operators.redelivery import fixed_point
 
 LEVELS = (0.5, 0.8, 0.95, 1.0)
@@ -28,9 +29,16 @@ def ratio_to_limit(rows: DataFrame, dims: DataFrame, code: str, amount: str, lim
             .withColumn("distance", F.col("__limit") - F.col(amount)).drop("__code", "__limit"))
 
 
-def running_day_total(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, amount: str, counts: Column, name: str, decimals: int = 2) -> DataFrame:
-    """``name``: the running total of the keys' amounts on the day, this row included; rows not counted add 0."""
+def running_day_total(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, amount: str, counts: Column, name: str, decimals: int = 2, stretch_us: int = DAY_US) -> DataFrame:
+    """``name``: the running total of the keys' amounts on the day, this row included; rows not counted add 0.
+
+    One task orders a day of the keys, or with a shorter ``stretch_us`` so much of it.
+    """
     units = F.when(counts, F.coalesce(fixed_point(amount, decimals), F.lit(0))).otherwise(0)
+    if stretch_us < DAY_US:
+        dated = rows.withColumn("__date", F.to_date(ts))
+        got = before(dated, [*keys, "__date"], ts, tie, {name: Carried(units)}, including=True, stretch_us=stretch_us)
+        return got.withColumn(name, F.col(name) / float(10**decimals)).drop("__date")
     day = Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(name, F.sum(units).over(day) / float(10**decimals))
 

@@ -43,14 +43,27 @@ class Carried:
         return (F.greatest if self.how == "max" else F.least)(a, b)
 
 
+def stretch_of(rows: DataFrame, ts: str, most_rows: int = 2_000_000, share: float = 1 / 3) -> int:
+    """Microseconds of a stretch of which a key holding ``share`` of all rows has about ``most_rows`` at most: a day, or a day halved some times.
+
+    One aggregated row says it; time is taken as evenly used.
+    """
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(micros(ts)), F.max(micros(ts))).first()
+    stretch = DAY_US
+    while low is not None and n * share * min(1.0, stretch / max(1, high - low)) > most_rows and stretch > 1_000_000:
+        stretch //= 2
+    return stretch
+
+
 def before(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Mapping[str, Carried],
-           strictly_earlier: bool = False, including: bool = False, base: DataFrame | None = None) -> DataFrame:
+           strictly_earlier: bool = False, including: bool = False, base: DataFrame | None = None, stretch_us: int = DAY_US) -> DataFrame:
     """The rows with each value over the rows of the same keys that came before.
 
     Before means an earlier (time, tie); with ``strictly_earlier`` an earlier time, ties
     excluded; with ``including`` the row itself counts too. Sums of nothing are 0. ``base``
     gives the totals of days if they come cheaper from it than from ``rows``: a table of the
-    same rows without what was added to them.
+    same rows without what was added to them. ``stretch_us``: a key's rows are cut into stretches
+    of so much time, of which one task orders the rows; see ``stretch_of``.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     names = list(values)
@@ -58,7 +71,7 @@ def before(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, values: Mapp
 
     def key_rows(df: DataFrame) -> DataFrame:
         keyed = df.withColumns({k: key(c) for k, c in zip(ks, keys)} | {"__us": us} | {f"__v_{n}": F.when(us.isNotNull(), v.of) for n, v in values.items()})
-        return keyed.withColumn("__day", F.coalesce(F.floor(F.col("__us") / DAY_US), F.lit(_NO_DAY)))
+        return keyed.withColumn("__day", F.coalesce(F.floor(F.col("__us") / stretch_us), F.lit(_NO_DAY)))
 
     keyed = key_rows(rows)
     inside = Window.partitionBy(*ks, "__day")
@@ -94,7 +107,7 @@ def first_occurrence(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, na
     return keyed.join(first, ks).withColumn(name, is_first).select(*rows.columns, name)
 
 
-def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Column, windows: Mapping[str, int]) -> DataFrame:
+def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Column, windows: Mapping[str, int], stretch_us: int = DAY_US) -> DataFrame:
     """``n_<w>`` and ``units_<w>`` over (t - w, t] for each window, later ties of t excluded.
 
     ``windows`` maps names to microseconds. A row arrives at t and leaves a window at t + w:
@@ -118,7 +131,7 @@ def trailing(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, units: Col
     for w in windows:
         sign = F.when(F.col("__w") == "", 1).when(F.col("__w") == w, -1).otherwise(0)
         values |= {f"n_{w}": Carried(sign), f"units_{w}": Carried(sign * F.col("__u"))}
-    got = before(events.withColumn("__at", F.timestamp_micros("__us")), ks, "__at", "__o", values, including=True, base=slim.withColumn("__at", F.timestamp_micros("__us")))
+    got = before(events.withColumn("__at", F.timestamp_micros("__us")), ks, "__at", "__o", values, including=True, base=slim.withColumn("__at", F.timestamp_micros("__us")), stretch_us=stretch_us)
     return got.filter("__w = ''").select("__row.*", *values)
 
 
@@ -234,7 +247,7 @@ def prior_median(rows: DataFrame, keys: Sequence[str], ts: str, tie: str, value:
 
 
 def asof_backward(left: DataFrame, right: DataFrame, by: tuple[str, str], ts: tuple[str, str], tie: tuple[str, str],
-                  take: Sequence[str], left_base: DataFrame | None = None) -> DataFrame:
+                  take: Sequence[str], left_base: DataFrame | None = None, stretch_us: int = DAY_US) -> DataFrame:
     """The left rows with ``take`` of the last right row strictly earlier, NULL if there is none.
 
     ``by``, ``ts`` and ``tie`` name the left and the right column. Both sides are one
@@ -251,7 +264,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: tuple[str, str], ts: tu
     base = None
     if left_base is not None:
         base = left_base.select(*key_of, *empty, F.lit(True).alias("__left")).unionByName(r.drop("__row"))
-    got = before(l.unionByName(r), ["__by"], "__ts", "__tie", {"__got": Carried(F.when(~F.col("__left"), found), "max")}, strictly_earlier=True, base=base)
+    got = before(l.unionByName(r), ["__by"], "__ts", "__tie", {"__got": Carried(F.when(~F.col("__left"), found), "max")}, strictly_earlier=True, base=base, stretch_us=stretch_us)
     return got.filter("__left").select("__row.*", *[F.col(f"__got.{c}").alias(c) for c in take])
 
 

@@ -102,16 +102,21 @@ def daily_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = history.trailing(clean_table(spark, sf_dir, "source_phone"), ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
+    rows = clean_table(spark, sf_dir, "source_phone")
+    out = history.trailing(rows, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS, _stretch(rows))
     return out.select("transaction_code", *[f"n_{w}" for w in WINDOWS], *[(F.col(f"units_{w}") / 100.0).alias(f"sum_{w}") for w in WINDOWS])
 
 
-def _prior(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def _stretch(rows: DataFrame) -> int:
+    return history.stretch_of(rows, "transaction_date")
+
+
+def _prior(rows: DataFrame, base: DataFrame) -> DataFrame:
     """Strictly prior statistics of the sender's amounts, exact until the last step."""
     u = fixed_point("transaction_amount", 2)
     got = history.before(rows, ["source_phone"], "transaction_date", "transaction_code", {
         "n_prior": Carried(F.lit(1)), "__m": Carried(F.when(u.isNotNull(), 1).otherwise(0)), "__s": Carried(u.cast("decimal(20,0)")),
-        "__q": Carried(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")), "__x": Carried(u, "max"), "__l": Carried(micros("transaction_date"), "max")}, base=base)
+        "__q": Carried(u.cast("decimal(19,0)") * u.cast("decimal(19,0)")), "__x": Carried(u, "max"), "__l": Carried(micros("transaction_date"), "max")}, base=base, stretch_us=_stretch(base))
     m, s, q = F.col("__m"), F.col("__s"), F.col("__q")
     spread = (m * q - s * s).cast("double")
     mean = F.when(m > 0, s.cast("double") / m / 100.0)
@@ -123,7 +128,8 @@ def _prior(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 
 def behavioral_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prior(clean_table(spark, sf_dir, "source_phone")).select(
+    rows = clean_table(spark, sf_dir, "source_phone")
+    return _prior(rows, rows).select(
         "transaction_code", "n_prior", "max_prior", "mean_prior", "std_prior", "zscore", "max_ratio", "days_since")
 
 
@@ -169,15 +175,16 @@ def _network(rows: DataFrame, base: DataFrame) -> DataFrame:
         base.select("row_id", "transaction_code", "source_phone", "destination_phone", "transaction_date", "transaction_amount"),
         ["source_phone", "destination_phone"], "transaction_date", "transaction_code", "is_new", there), "pairs")
     new = F.col("is_new").cast("int")
-    sent = history.before(known, ["source_phone"], "transaction_date", "transaction_code", {"sent_units": Carried(u), "n_targets": Carried(new)})
+    stretch = _stretch(base)
+    sent = history.before(known, ["source_phone"], "transaction_date", "transaction_code", {"sent_units": Carried(u), "n_targets": Carried(new)}, stretch_us=stretch)
     got = history.before(known.filter(there), ["destination_phone"], "transaction_date", "transaction_code",
-                         {"received_units": Carried(u), "n_senders": Carried(new)}, including=True)
+                         {"received_units": Carried(u), "n_senders": Carried(new)}, including=True, stretch_us=stretch)
     got = got.select("destination_phone", F.col("transaction_date").alias("received_at"), F.col("transaction_code").alias("received_code"), "received_units", "n_senders")
     got = materialize(got, "received")
     out = history.asof_backward(
         sent.select("row_id", "transaction_code", "source_phone", "transaction_date", "is_new", "sent_units", "n_targets"), got,
         ("source_phone", "destination_phone"), ("transaction_date", "received_at"), ("transaction_code", "received_code"),
-        ["received_at", "received_units", "n_senders"], left_base=known)
+        ["received_at", "received_units", "n_senders"], left_base=known, stretch_us=stretch)
     out = (out.withColumn("sent_before", F.col("sent_units") / 100.0).withColumn("received_before", F.coalesce(F.col("received_units"), F.lit(0)) / 100.0)
            .withColumn("n_senders", F.coalesce(F.col("n_senders"), F.lit(0)))
            .withColumn("received_to_sent", F.col("received_before") / null_if_zero(F.col("sent_before")))
@@ -198,10 +205,10 @@ def network_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str, medians: bool = False) -> DataFrame:
     """All features of each transaction: one table of clean rows, to which each step adds columns. ``medians``: those that need them too."""
     base = clean_table(spark, sf_dir)
-    d = dims(spark, sf_dir)
-    x = history.trailing(base, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS)
+    d, stretch = dims(spark, sf_dir), _stretch(base)
+    x = history.trailing(base, ["source_phone"], "transaction_date", "transaction_code", fixed_point("transaction_amount", 2), WINDOWS, stretch)
     x = budget.ratio_to_limit(x, d, "service_code", "transaction_amount", "seuil_vigilance_unitaire_mru")
-    x = budget.running_day_total(x, ["source_phone", "service_code"], "transaction_date", "transaction_code", "transaction_amount", valid(), "day_total")
+    x = budget.running_day_total(x, ["source_phone", "service_code"], "transaction_date", "transaction_code", "transaction_amount", valid(), "day_total", stretch_us=stretch)
     x = x.join(d.select("__code", F.col("seuil_cumul_journalier_mru").alias("__limit")), F.col("service_code") == F.col("__code"), "left").withColumn(
         "day_ratio", pdiv(F.col("day_total"), F.col("__limit"))).drop("__code", "__limit")
     out = _network(_prior(x, base), base).withColumns({f"sum_{w}": F.col(f"units_{w}") / 100.0 for w in WINDOWS})

@@ -32,10 +32,14 @@ def load_schema_map(path: str) -> dict[int, str]:
     return {int(c["position"]): c["name"] for c in columns}
 
 
-def read_ragged(spark: SparkSession, path: str, names: Sequence[str], most_rows: int | None = None) -> DataFrame:
-    """A delimited export with a header: short rows are padded with '', long ones cut; undecodable bytes are replaced."""
+def read_ragged(spark: SparkSession, path: str, names: Sequence[str], most_rows: int | None = None, line_breaks: bool = False) -> DataFrame:
+    """A delimited export with a header: short rows are padded with '', long ones cut; undecodable bytes are replaced.
+
+    A file is read in splits, a line a row. With ``line_breaks`` values may hold line breaks, and each
+    file is one task.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True,
+    df = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, quote='"', escape='"', multiLine=line_breaks,
                         mode="PERMISSIVE", encoding="UTF-8", nullValue="\x00", emptyValue="")
     df = df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
     return df.limit(most_rows) if most_rows is not None else df
