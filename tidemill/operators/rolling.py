@@ -31,6 +31,7 @@ from tidemill.operators.redelivery import fixed_point
 from tidemill.session import materialize
 
 PERIODS = (7, 30)
+TASK_ROWS = 100_000  # daily amounts of a task: what comes out is larger by the days of the calendar
 FIRST_YEAR = 2020  # older dates are implausible for this system
 
 
@@ -108,7 +109,8 @@ def backfill(daily: DataFrame, entity: Sequence[str], periods: Sequence[int] = P
     memory is bounded by the calendar, not by its rows.
     """
     daily = materialize(daily, "daily-amounts")
-    low, high = daily.agg(F.min("day"), F.max("day")).first()
+    low, high, rows = daily.agg(F.min("day"), F.max("day"), F.count(F.lit(1))).first()
+    parts = max(daily.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
     epoch = np.datetime64("1970-01-01")
     low = np.datetime64(first or low) if first or low else None
     high = np.datetime64(last or high) if last or high else None
@@ -117,7 +119,7 @@ def backfill(daily: DataFrame, entity: Sequence[str], periods: Sequence[int] = P
     fields = [daily.schema[c] for c in entity]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
                        + [f"{x}{p} array<bigint>" for p in periods for x in ("s", "n")])
-    states = (daily.repartition(*entity).sortWithinPartitions(*entity)
+    states = (daily.repartition(parts, *entity).sortWithinPartitions(*entity)
               .mapInArrow(backfill_runner(entity, start, max(days, 0), periods), schema))
     p0 = periods[0]
     flat = states.select(*entity, F.posexplode(f"s{p0}").alias("__i", "__s"), *[f"{x}{p}" for p in periods for x in ("s", "n")])
