@@ -164,9 +164,17 @@ def maintain(kept: DataFrame | None, deltas: DataFrame, group: str) -> DataFrame
 
     (group, column_name, parts, part, vals, counts). Pass the result with the next deltas;
     taking a load back is applying its negative deltas, after which nothing of it is left.
+    Only what is kept of the deltas' loads is merged with them; the rest is passed on as it is, without an exchange.
     """
-    both = deltas if kept is None else kept.select(*deltas.columns).unionByName(deltas)
-    return materialize(merge_counts(both, [group, "column_name", "parts", "part"]).filter(F.size("vals") > 0), "value-counts")
+    keys = [group, "column_name", "parts", "part"]
+    if kept is None:
+        return materialize(merge_counts(deltas, keys).filter(F.size("vals") > 0), "value-counts")
+    deltas = materialize(deltas, "deltas")
+    touched = deltas.select(F.col(group).alias("__g")).distinct()
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    before = kept.select(*deltas.columns)
+    merged = merge_counts(before.join(touched, same, "left_semi").unionByName(deltas), keys).filter(F.size("vals") > 0)
+    return materialize(before.join(touched, same, "left_anti").unionByName(merged), "value-counts")
 
 
 def _cutter(parts: int):
