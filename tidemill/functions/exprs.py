@@ -80,3 +80,13 @@ def interval_label(score: Column, intervals: Mapping[str, tuple[int, int]], defa
     for name, (low, high) in intervals.items():
         found = (F.when if found is None else found.when)(score.between(low, high), name)
     return F.lit(default) if found is None else found.otherwise(default)
+
+
+def rounded_text(c: Column) -> Column:
+    """A number as text without decimals, thousands parted by commas, ties to even; NULL stays NULL."""
+    return F.format_number(F.bround(c), 0)
+
+
+def percent_text(c: Column) -> Column:
+    """A share as text in whole percent, ties to even."""
+    return F.concat(rounded_text(c * 100), F.lit(" %"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.config import DEFAULTS
-from tidemill.functions.exprs import holds, interval_label, merge_fraction, micros, null_if_zero, pdiv
+from tidemill.functions.exprs import holds, interval_label, merge_fraction, micros, null_if_zero, pdiv, percent_text, rounded_text
 from tidemill.operators import budget, cleaning, evaluation, graph, history, scoring
 from tidemill.operators.history import Carried
 from tidemill.operators.redelivery import fixed_point, latest_rows
@@ -379,6 +379,14 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "phone", "score", "band", "because")
 
 
+def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sender what it sent and received, in words and numbers, the larger share of the ranks first."""
+    m = _metrics(spark, sf_dir).filter("is_sender").select("phone", "sent", "received")
+    m = scoring.percent_rank_min(scoring.percent_rank_min(m, "sent", "rank_sent"), "received", "rank_received")
+    say = lambda what, rank, amount: F.concat(F.lit(f"{what} "), rounded_text(F.col(amount)), F.lit(" (above "), percent_text(F.col(rank)), F.lit(")"))
+    return scoring.ordered_phrases(m, [("rank_sent", say("sent", "rank_sent", "sent")), ("rank_received", say("received", "rank_received", "received"))], "because").select("phone", "because")
+
+
 def service_hour_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean(spark, sf_dir, "service_code", "transaction_status")
     return rows.groupBy("service_code", F.hour("transaction_date").alias("hour")).agg(
@@ -709,6 +717,10 @@ SQL = {
   y AS (SELECT *, CAST(round_even(a * 500 + b * 300 + c * 200, 0) AS INT) AS score FROM x)
   SELECT phone, score, CASE WHEN score BETWEEN 0 AND 299 THEN 'low' WHEN score BETWEEN 300 AND 599 THEN 'middle' WHEN score BETWEEN 600 AND 1000 THEN 'high' ELSE 'none' END AS band,
   array_to_string(list_transform(list_sort([{{'k': -a, 'i': 0, 't': 'volume'}}, {{'k': -b, 'i': 1, 't': 'fees'}}, {{'k': -c, 'i': 2, 't': 'reach'}}]), lambda s: s.t), ' ; ') AS because FROM y""",
+    "score_reasons": f"""WITH {CLEAN}, {_METRICS}, sd AS (SELECT phone, sent, received, rank() OVER (ORDER BY sent)::DOUBLE / count(*) OVER () AS a, rank() OVER (ORDER BY received)::DOUBLE / count(*) OVER () AS b FROM metrics WHERE is_sender)
+  SELECT phone, array_to_string(list_transform(list_sort([
+    {{'k': -a, 'i': 0, 't': concat('sent ', format('{{:,}}', round_even(sent, 0)::BIGINT), ' (above ', round_even(a * 100, 0)::INT, ' %)')}},
+    {{'k': -b, 'i': 1, 't': concat('received ', format('{{:,}}', round_even(received, 0)::BIGINT), ' (above ', round_even(b * 100, 0)::INT, ' %)')}}]), lambda s: s.t), ' ; ') AS because FROM sd""",
     "service_hour_heatmap": f"WITH {CLEAN} SELECT service_code, hour(transaction_date) AS hour, count(*) AS n, count(*) FILTER (transaction_status <> 'VALIDATED') AS n_failed, round(count(*) FILTER (transaction_status <> 'VALIDATED')::DOUBLE / count(*), 4) AS failed_share FROM clean GROUP BY 1, 2",
     "monthly_trend": f"WITH {CLEAN} SELECT strftime(transaction_date, '%Y-%m') AS month, count(*) AS n, sum(u)::DOUBLE / 100.0::DOUBLE AS total FROM clean GROUP BY 1",
     "status_counts": f"WITH {LATEST_SQL} SELECT transaction_status, count(*) AS n FROM held GROUP BY 1",
@@ -741,4 +753,4 @@ QUERIES = {f.__name__: f for f in (
     norm_rank, norm_scaled, weighted_scores, service_hour_heatmap, monthly_trend, status_counts, kpis, largest, newest, temporal_split, baseline_score,
     average_precision, precision_recall, lr_scores, gbt_scores, field_counts, position_profile, binary_candidates, low_cardinality,
     samples, full_audit, tolerant_load, clean_transactions, offending_amounts, unknown_categories, flagged_amount, worst_alerts, report_customers,
-    customer_profile, baseline_folds, leakage_folds, fold_metrics)}
+    customer_profile, score_reasons, baseline_folds, leakage_folds, fold_metrics)}
