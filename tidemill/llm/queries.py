@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import nearest_time as nt
 from tidemill.llm import packing, spam, tokenize
+from tidemill.operators.history import stretch_of
 from tidemill.operators.redelivery import latest_rows
+from tidemill.operators.rolling import FIRST_YEAR
 from tidemill.session import table
 
 TOLERANCE_NS = 90 * 10**9
@@ -33,8 +35,14 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.filter(F.col("ns").isNotNull()).select("ns", "id", F.explode(F.array("d", "c")).alias("entity"))
 
 
+def _stretch_ns(spark: SparkSession, sf_dir: str) -> int:
+    """Stretches of six hours, or shorter ones where a wallet of a third of all rows would crowd them."""
+    dated = table(spark, sf_dir, "transactions").select("transaction_date").filter(F.year("transaction_date") >= FIRST_YEAR)
+    return max(4 * TOLERANCE_NS, min(nt.STRETCH_NS, 1_000 * stretch_of(dated, "transaction_date")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = nt.nearest(_legs(spark, sf_dir), _sides(spark, sf_dir), TOLERANCE_NS)
+    pairs = nt.nearest(_legs(spark, sf_dir), _sides(spark, sf_dir), TOLERANCE_NS, _stretch_ns(spark, sf_dir))
     return (pairs.filter(F.col("right_id").isNotNull())
             .select(F.col("left_id").alias("leg_id"), F.col("right_id").alias("transaction_code")))
 
@@ -42,7 +50,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leg with the transaction nearest in time, or with none."""
     legs = _legs(spark, sf_dir)
-    pairs = nt.nearest(legs, _sides(spark, sf_dir), TOLERANCE_NS)
+    pairs = nt.nearest(legs, _sides(spark, sf_dir), TOLERANCE_NS, _stretch_ns(spark, sf_dir))
     unusable = legs.filter(F.col("entity").isNull() | F.col("ns").isNull() | F.col("id").isNull())
     none = F.lit(None).cast("bigint")
     return (pairs.select(F.col("left_id").alias("leg_id"), F.col("right_id").alias("transaction_code"), "gap_ns")
