@@ -18,3 +18,9 @@ def test_scales_of_nothing(spark):
     assert scoring.scale_min_max(df, {"x": "a"}).count() == 0
     one = spark.createDataFrame([(None, 1), (3.0, 2)], "a double, k int")
     assert [r.x for r in scoring.scale_min_max(one, {"x": "a"}).collect()] == [0.0, 0.0]
+
+
+def test_composites(spark):
+    df = spark.createDataFrame([(1, 0.2, 0.9, None), (2, 1.0, 1.0, 1.0), (3, None, None, None)], "k int, a double, b double, c double")
+    out = {r.k: (r.g, r.m) for r in scoring.composite(df, {"g": ("greatest", {"a": 1, "b": 1}), "m": ("mean", {"a": 1, "b": 1.5, "c": 1})}).collect()}
+    assert out[1] == (0.9, pytest.approx((0.2 + 1.35) / 3)) and out[2] == (1.0, 1.0) and out[3] == (0.0, 0.0)

@@ -34,6 +34,11 @@ class Settings:
     embargo_days: float = 7
     holdout_share: float = 0.05
     seed: int = 42
+    conduct_weight: float = 300
+    evasion_weight: float = 250
+    network_weight: float = 200
+    alerts_weight: float = 150
+    newness_weight: float = 100
 
     @classmethod
     def read(cls, path: str) -> Settings:
@@ -51,6 +56,16 @@ class Settings:
             raise ValueError(f"no such settings: {sorted(unknown)}")
         return replace(cls(), **{k: tuple(v) if isinstance(v, list) else v for k, v in said.items()})
 
+    def composites(self) -> dict[str, tuple[str, dict[str, float]]]:
+        """Which scaled metrics of a customer make which component of its score."""
+        return {
+            "conduct": ("greatest", {"rank_z": 1, "x_r4_share": 1, "x_r6_share": 1}),
+            "evasion": ("greatest", {"x_near_share": 1, "x_r3_share": 1, "x_r1_share": 1, "x_r2_share": 1, "x_partner_share": 1}),
+            "network": ("greatest", {"x_n_targets": 1, "x_r7_share": 1, "y_n_senders": 1}),
+            "alerts": ("mean", {"x_n_alerts": 1, "x_n_recent": 1.5, "x_worst_rank": 1}),
+            "newness": ("greatest", {"rank_new": 1}),
+        }
+
     def rules(self) -> dict[str, str]:
         """The rules over the features of a transaction, as predicates."""
         begin, end = self.night

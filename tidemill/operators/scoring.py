@@ -47,6 +47,19 @@ def scale_min_max(rows: DataFrame, values: Mapping[str, str], mask: Column | Non
     return rows.crossJoin(stats).withColumns(out).select(*rows.columns, *values)
 
 
+def composite(rows: DataFrame, parts: Mapping[str, tuple[str, Mapping[str, float]]]) -> DataFrame:
+    """A column from 0 to 1 for each name: the ``greatest`` of components, or the ``mean`` of weighted ones, 1 at most; NULL counts as 0.
+
+    ``parts`` maps a name to how and to components with their weights.
+    """
+    made = {}
+    for name, (how, components) in parts.items():
+        terms = [F.coalesce(F.col(c), F.lit(0.0)) * float(w) for c, w in components.items()]
+        one = sum(terms[1:], terms[0]) / len(terms) if how == "mean" else F.greatest(F.lit(0.0), *terms)
+        made[name] = F.least(F.lit(1.0), one)
+    return rows.withColumns(made)
+
+
 def weighted_score(rows: DataFrame, weights: Mapping[str, float], name: str) -> DataFrame:
     """``name``: the half-even rounded sum of components times weights."""
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))

@@ -379,6 +379,22 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "phone", "score", "band", "because")
 
 
+SCALED = ("r4_share", "r6_share", "near_share", "r3_share", "r1_share", "r2_share", "partner_share", "n_targets", "r7_share", "n_alerts", "n_recent", "worst_rank")
+
+
+def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of five components, each out of ranks and scales of a customer's metrics; what a sender does is scaled among senders."""
+    m = materialize(customer_profile(spark, sf_dir).select("phone", "tenure_days", "is_sender", "mean_abs_z", "n_senders", *SCALED), "profiles")
+    m = scoring.percent_rank_min(m, "mean_abs_z", "rank_z", F.col("is_sender"))
+    m = scoring.percent_rank_min(m, "tenure_days", "rank_new", reverse=True)
+    m = scoring.scale_min_max(m, {f"x_{c}": c for c in SCALED}, F.col("is_sender"))
+    m = scoring.scale_min_max(m, {"y_n_senders": "n_senders"})
+    parts = DEFAULTS.composites()
+    m = scoring.composite(m, parts)
+    m = scoring.weighted_score(m, {n: getattr(DEFAULTS, f"{n}_weight") for n in parts}, "score")
+    return m.select("phone", *[F.round(n, 6).alias(n) for n in parts], "score")
+
+
 def score_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sender what it sent and received, in words and numbers, the larger share of the ranks first."""
     m = _metrics(spark, sf_dir).filter("is_sender").select("phone", "sent", "received")
@@ -624,6 +640,32 @@ def _merged(p: int) -> str:
             f"try_cast(concat(CASE WHEN {d}[7:8] >= '69' THEN '19' ELSE '20' END, {d}[7:8], '-', {d}[4:5], '-', {d}[1:2], {d}[9:]) AS TIMESTAMP) END) + CAST(floor(coalesce(try_cast({f} AS BIGINT), 0) / 1000) AS BIGINT))")
 
 
+_PROFILE = f"""WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL}, {_USED}, {_ALERTS}, {_METRICS},
+  fg AS (SELECT source_phone AS phone, avg(abs(zscore)) AS mean_abs_z, avg(coalesce(ratio BETWEEN 0.8::DOUBLE AND 1.0::DOUBLE, FALSE)::INT) AS near_share, avg((trim(coalesce(partner_reference, '')) <> '')::INT) AS partner_share,
+    {', '.join(f'avg({r}::INT) AS {r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))} FROM flags GROUP BY 1),
+  se AS (SELECT destination_phone AS phone, count(DISTINCT source_phone) AS n_senders FROM clean WHERE coalesce(destination_phone, '') <> '' GROUP BY 1),
+  h AS (SELECT entity AS phone, count(*) FILTER (worst_rank > 0) AS n_alerts, count(*) FILTER (worst_rank > 0 AND day >= (SELECT max(day) FROM alerts) - 30) AS n_recent, max(worst_rank) AS worst_rank FROM alerts GROUP BY 1)
+  SELECT phone, tenure_days, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_sent', 'sent', 'fees', 'n_services', 'n_days', 'received', 'n_targets', 'n_senders', 'n_alerts', 'n_recent', 'worst_rank'))},
+    {', '.join(f'round(coalesce({c}, 0), 9) AS {c}' for c in ('mean_abs_z', 'near_share', 'partner_share', *(f'{r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))))},
+    round(coalesce(sent, 0) + coalesce(received, 0), 2) AS circulated, coalesce(n_sent, 0) > 0 AS is_sender, coalesce(n_days, 0) / greatest(tenure_days, 1) AS active_share
+  FROM customer_phone_map LEFT JOIN metrics USING (phone) LEFT JOIN se USING (phone) LEFT JOIN fg USING (phone) LEFT JOIN h USING (phone)"""
+
+
+def _among(c: str, mask: str) -> str:
+    """A metric between its least and its 0.99 quantile among the rows of the mask."""
+    lo, hi = f"(min({c}::DOUBLE) FILTER ({mask}) OVER ())", f"(quantile_cont({c}::DOUBLE, 0.99) FILTER ({mask}) OVER ())"
+    return f"CASE WHEN {mask} AND {hi} > {lo} THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({c} - {lo}) / ({hi} - {lo}))) ELSE 0.0::DOUBLE END"
+
+
+_COMPOSITE = f"""WITH cpf AS MATERIALIZED ({_PROFILE}),
+xs AS (SELECT phone, {', '.join(f"{_among(c, 'is_sender')} AS x_{c}" for c in SCALED)}, {_among('n_senders', 'TRUE')} AS y_n_senders,
+    CASE WHEN is_sender THEN (rank() OVER (PARTITION BY is_sender ORDER BY mean_abs_z))::DOUBLE / count(*) OVER (PARTITION BY is_sender) ELSE 0 END AS rank_z,
+    CASE WHEN tenure_days IS NOT NULL THEN 1 - (rank() OVER (ORDER BY tenure_days NULLS LAST))::DOUBLE / count(tenure_days) OVER () ELSE 0 END AS rank_new FROM cpf),
+cs AS (SELECT phone, greatest(rank_z, x_r4_share, x_r6_share) AS conduct, greatest(x_near_share, x_r3_share, x_r1_share, x_r2_share, x_partner_share) AS evasion,
+    greatest(x_n_targets, x_r7_share, y_n_senders) AS network, least(1.0::DOUBLE, (x_n_alerts + 1.5::DOUBLE * x_n_recent + x_worst_rank) / 3) AS alerts, rank_new AS newness FROM xs)
+SELECT phone, {', '.join(f'round({c}, 6) AS {c}' for c in ('conduct', 'evasion', 'network', 'alerts', 'newness'))},
+  CAST(round_even(conduct * 300 + evasion * 250 + network * 200 + alerts * 150 + newness * 100, 0) AS INT) AS score FROM cs"""
+
 SQL = {
     "field_counts": f"WITH {_VALUES} SELECT len(v) AS n_fields, count(*) AS n_lines FROM vs GROUP BY 1",
     "position_profile": f"WITH {_CELLS}, {_PROFILED} SELECT * FROM pp",
@@ -672,15 +714,8 @@ SQL = {
     "report_customers": f"""WITH {CLEAN}, {_USED}, {_ALERTS}, {_METRICS}, most AS (SELECT phone FROM metrics WHERE phone IS NOT NULL ORDER BY sent DESC, phone LIMIT 100),
   wa AS (SELECT entity FROM (SELECT * FROM alerts WHERE worst_rank > 0 ORDER BY worst_rank DESC, day DESC, entity NULLS FIRST, code NULLS FIRST LIMIT 50) WHERE entity IS NOT NULL)
   SELECT phone, 'amount' AS why FROM most UNION ALL SELECT DISTINCT entity, 'alert' FROM wa WHERE entity NOT IN (SELECT phone FROM most)""",
-    "customer_profile": f"""WITH {CLEAN}, {_RATIO}, {_PRIOR}, {_NET}, {_RULES_SQL}, {_USED}, {_ALERTS}, {_METRICS},
-  fg AS (SELECT source_phone AS phone, avg(abs(zscore)) AS mean_abs_z, avg(coalesce(ratio BETWEEN 0.8::DOUBLE AND 1.0::DOUBLE, FALSE)::INT) AS near_share, avg((trim(coalesce(partner_reference, '')) <> '')::INT) AS partner_share,
-    {', '.join(f'avg({r}::INT) AS {r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))} FROM flags GROUP BY 1),
-  se AS (SELECT destination_phone AS phone, count(DISTINCT source_phone) AS n_senders FROM clean WHERE coalesce(destination_phone, '') <> '' GROUP BY 1),
-  h AS (SELECT entity AS phone, count(*) FILTER (worst_rank > 0) AS n_alerts, count(*) FILTER (worst_rank > 0 AND day >= (SELECT max(day) FROM alerts) - 30) AS n_recent, max(worst_rank) AS worst_rank FROM alerts GROUP BY 1)
-  SELECT phone, tenure_days, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('n_sent', 'sent', 'fees', 'n_services', 'n_days', 'received', 'n_targets', 'n_senders', 'n_alerts', 'n_recent', 'worst_rank'))},
-    {', '.join(f'round(coalesce({c}, 0), 9) AS {c}' for c in ('mean_abs_z', 'near_share', 'partner_share', *(f'{r}_share' for r in ('r1', 'r2', 'r3', 'r4', 'r6', 'r7'))))},
-    round(coalesce(sent, 0) + coalesce(received, 0), 2) AS circulated, coalesce(n_sent, 0) > 0 AS is_sender, coalesce(n_days, 0) / greatest(tenure_days, 1) AS active_share
-  FROM customer_phone_map LEFT JOIN metrics USING (phone) LEFT JOIN se USING (phone) LEFT JOIN fg USING (phone) LEFT JOIN h USING (phone)""",
+    "customer_profile": _PROFILE,
+    "composite_scores": _COMPOSITE,
     "leakage_folds": f"""WITH {CLEAN}, b AS (SELECT min(us) AS lo, max(us) AS hi, max(us) - CAST(floor((max(us) - min(us)) * 0.05::DOUBLE) AS BIGINT) AS hold FROM clean),
   s AS (SELECT transaction_code, us, lo, hold, (hold - lo) // 4 AS step, fold FROM clean, b, (SELECT unnest([1, 2, 3]) AS fold)),
   f AS (SELECT *, us < lo + step * fold - 604800000000 AS train, us >= lo + step * fold AND us < CASE WHEN fold < 3 THEN lo + step * (fold + 1) ELSE hold END AS valid FROM s)
@@ -753,4 +788,4 @@ QUERIES = {f.__name__: f for f in (
     norm_rank, norm_scaled, weighted_scores, service_hour_heatmap, monthly_trend, status_counts, kpis, largest, newest, temporal_split, baseline_score,
     average_precision, precision_recall, lr_scores, gbt_scores, field_counts, position_profile, binary_candidates, low_cardinality,
     samples, full_audit, tolerant_load, clean_transactions, offending_amounts, unknown_categories, flagged_amount, worst_alerts, report_customers,
-    customer_profile, score_reasons, baseline_folds, leakage_folds, fold_metrics)}
+    customer_profile, composite_scores, score_reasons, baseline_folds, leakage_folds, fold_metrics)}
