@@ -299,7 +299,7 @@ def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passing(spark, sf_dir).select("node", "n_rows", "n_quick", "quick_rate", "median_delay", F.round("score", 6).alias("score"))
+    return _passing(spark, sf_dir).select("node", "n_rows", "n_quick", "quick_rate", F.round("median_delay", 6).alias("median_delay"), F.round("score", 6).alias("score"))
 
 
 def closed_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -731,7 +731,7 @@ SQL = {
     "graph_sizes": f"WITH {CLEAN}, {_EDGES} SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, count(*) AS edges FROM e",
     "fan_in": f"WITH {CLEAN}, {_EDGES} SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY 1",
     "fan_out_top": f"WITH {CLEAN}, {_EDGES} SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200",
-    "pass_through": f"WITH {CLEAN}, {_NET}, {_PASS} SELECT node, n_rows, n_quick, quick_rate, median_delay, round(score, 6) AS score FROM passing",
+    "pass_through": f"WITH {CLEAN}, {_NET}, {_PASS} SELECT node, n_rows, n_quick, quick_rate, round(median_delay, 6) AS median_delay, round(score, 6) AS score FROM passing",
     "closed_circuits": f"WITH {CLEAN}, {_EDGES}, {_CIRCUITS} SELECT * FROM circuits",
     "graph_features": f"""WITH {CLEAN}, {_NET}, {_EDGES}, {_PASS}, {_CIRCUITS}, fi AS (SELECT dst AS node, count(DISTINCT src) AS fan_in FROM e GROUP BY 1), fu AS (SELECT src AS node, count(DISTINCT dst) AS fan_out FROM e GROUP BY 1),
   lo AS (SELECT node, count(*) AS n_circuits FROM (SELECT a AS node FROM circuits UNION ALL SELECT b FROM circuits) GROUP BY 1)

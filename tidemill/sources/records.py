@@ -191,7 +191,7 @@ class Blocks:
     """
 
     def __init__(self, records: pa.Array, every: bool):
-        filled = pc.fill_null(records, "")
+        filled = pc.fill_null(records if pa.types.is_string(records.type) else records.cast(pa.string()), "")
         missing = MOST_VALUES - 1 - self._commas(filled)
         pads = _PADS.take(pa.array(np.where((missing > 0) & (missing <= MOST_VALUES - len(NAMES)), missing - 1, len(_PADS) - 1)))
         lead = pa.array(np.arange(len(records))).cast(pa.string())
