@@ -1,6 +1,7 @@
 import datetime as dt
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemill.operators import rolling
@@ -142,3 +143,12 @@ def test_corrections_read_touched_states_only(spark):
     deltas = spark.createDataFrame([(None, dt.date(2021, 1, 1), -7, -1)], "k string, day date, units bigint, n bigint")
     got = rolling.correct(states, deltas, ["k"], "2021-01-01", 1).collect()
     assert [(r.k, r.s7, r.n30, r.version) for r in got] == [(None, 0, 0, 1)]
+
+
+def test_backfill_hands_over_states_not_days():
+    rows = pa.RecordBatch.from_pydict({"k": pa.array([None, "a", "a"]), "day": pa.array([None, 9_995, 3], pa.int32()).cast(pa.date32()),
+                                       "units": pa.array([1, 7, 5]), "n": pa.array([1, 1, 1])})
+    out = pa.Table.from_batches(rolling.backfill_runner(["k"], 0, 10_000, (7, 30))(iter([rows])))
+    assert out.nbytes < 1_000
+    assert [tuple(r.values()) for r in out.to_pylist()] == [
+        (None, 0, 10_000, 0, 0, 0, 0), ("a", 0, 3, 0, 0, 0, 0), ("a", 3, 7, 5, 1, 5, 1), ("a", 10, 23, 0, 0, 5, 1), ("a", 33, 9_962, 0, 0, 0, 0), ("a", 9_995, 5, 7, 1, 7, 1)]

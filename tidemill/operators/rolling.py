@@ -57,21 +57,33 @@ def daily_amounts(rows: DataFrame, entity: Sequence[str], ts: str, amount: str,
             .agg(F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.count("units").alias("n")))
 
 
-def _recurrence(units: np.ndarray, period: int) -> np.ndarray:
-    """The rolling state of every day of a calendar: rows are entities, columns days."""
-    state = np.empty_like(units)
-    if not units.shape[1]:
-        return state
-    state[:, 0] = units[:, 0]
-    for d in range(1, units.shape[1]):
-        np.add(state[:, d - 1], units[:, d], out=state[:, d])
-        if d >= period:
-            state[:, d] -= units[:, d - period]
-    return state
-
-
-def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Sequence[int], cells: int = 60_000):
-    """mapInArrow body: rows sorted by entity -> one row per entity with its states."""
+def _runs(at: np.ndarray, day: np.ndarray, amounts: Sequence[np.ndarray], count: int, days: int,
+          periods: Sequence[int]) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """(cells, states): where a state begins to hold, as entity * days + day, and the totals of each period and amount.
+
+    The recurrence changes a state only on days on which an amount arrives or expires; a state
+    holds from its cell to the next one. Every entity has one from the first day on.
+    """
+    arrive = at * days + day
+    expire = [(arrive + p)[day + p < days] for p in periods]
+    cells = np.unique(np.concatenate([np.arange(count, dtype=np.int64) * days, arrive, *expire]))
+    begins = np.searchsorted(cells, np.arange(count, dtype=np.int64) * days)
+    of = np.repeat(np.arange(count), np.diff(np.append(begins, len(cells))))
+    come, states = np.searchsorted(cells, arrive), []
+    for p, gone in zip(periods, expire):
+        go, totals = np.searchsorted(cells, gone), []
+        for x in amounts:
+            change = np.zeros(len(cells), dtype=np.int64)
+            np.add.at(change, come, x)
+            np.subtract.at(change, go, x[day + p < days])
+            state = np.cumsum(change)  # across entities, whose own part remains below: exact, as int64 wraps around
+            totals.append(state - (state - change)[begins][of])
+        states.append(totals)
+    return cells, states
+
+
+def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Sequence[int], groups: int = 4_000):
+    """mapInArrow body: rows sorted by entity -> a row for each state of an entity: from which day on and for how many it holds."""
     names = list(entity)
 
     def emit(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -79,22 +91,17 @@ def backfill_runner(entity: Sequence[str], first: int, days: int, periods: Seque
         at = np.repeat(np.arange(count), np.diff(np.append(starts, t.num_rows)))
         day = t.column("day").cast(pa.int32()).fill_null(-(2**31)).to_numpy().astype(np.int64) - first
         inside = (day >= 0) & (day < days)
-        cell = (at * days + day)[inside]
-        units = np.zeros(count * days, dtype=np.int64)
-        n = np.zeros(count * days, dtype=np.int64)
-        units[cell] = t.column("units").to_numpy()[inside]
-        n[cell] = t.column("n").to_numpy()[inside]
-        units, n = units.reshape(count, days), n.reshape(count, days)
-        out = [t.column(c).combine_chunks().take(pa.array(starts)) for c in names]
-        offsets = pa.array(np.arange(count + 1, dtype=np.int32) * days)
-        for p in periods:
-            out.append(pa.ListArray.from_arrays(offsets, pa.array(_recurrence(units, p).ravel())))
-            out.append(pa.ListArray.from_arrays(offsets, pa.array(_recurrence(n, p).ravel())))
-        return pa.RecordBatch.from_arrays(out, [*names, *[f"{x}{p}" for p in periods for x in ("s", "n")]])
+        amounts = [t.column(c).to_numpy()[inside] for c in ("units", "n")]
+        cells, states = _runs(at[inside], day[inside], amounts, count, days, periods)
+        holds = np.diff(np.append(cells, count * days))
+        out = [t.column(c).combine_chunks().take(pa.array(starts[cells // days])) for c in names]
+        out += [pa.array((cells % days).astype(np.int32)), pa.array(holds.astype(np.int32)), *[pa.array(x) for totals in states for x in totals]]
+        return pa.RecordBatch.from_arrays(out, [*names, "__from", "__days", *[f"{x}{p}" for p in periods for x in ("s", "n")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, names, max(1, cells // max(1, days))):
-            yield emit(t, starts)
+        for t, starts in whole_groups(batches, names, groups):
+            if days:
+                yield emit(t, starts)
 
     return run
 
@@ -104,9 +111,10 @@ def backfill(daily: DataFrame, entity: Sequence[str], periods: Sequence[int] = P
     """(entity..., day, sum_Pd, avg_Pd for each period) for every entity and calendar day.
 
     The calendar runs from the first to the last day of ``daily`` unless given. Daily
-    amounts are co-partitioned and sorted by entity once; each entity's days are then
-    advanced one by one, for a block of entities together. What an entity holds in
-    memory is bounded by the calendar, not by its rows.
+    amounts are co-partitioned and sorted by entity once. Of an entity's days those are
+    advanced on which an amount arrives or expires, for a block of entities together; a
+    state that holds for several days becomes their rows at the end, so what is computed
+    and handed over grows with the amounts and not with the calendar.
     """
     daily = materialize(daily, "daily-amounts")
     low, high, rows = daily.agg(F.min("day"), F.max("day"), F.count(F.lit(1))).first()
@@ -117,19 +125,14 @@ def backfill(daily: DataFrame, entity: Sequence[str], periods: Sequence[int] = P
     days = int((high - low).astype(int)) + 1 if low is not None else 0
     start = int((low - epoch).astype(int)) if low is not None else 0
     fields = [daily.schema[c] for c in entity]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
-                       + [f"{x}{p} array<bigint>" for p in periods for x in ("s", "n")])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__from int", "__days int"]
+                       + [f"{x}{p} bigint" for p in periods for x in ("s", "n")])
     states = (daily.repartition(parts, *entity).sortWithinPartitions(*entity)
               .mapInArrow(backfill_runner(entity, start, max(days, 0), periods), schema))
-    p0 = periods[0]
-    flat = states.select(*entity, F.posexplode(f"s{p0}").alias("__i", "__s"), *[f"{x}{p}" for p in periods for x in ("s", "n")])
-    unit = float(10**decimals)
-    out = [*entity, F.date_add(F.lit(str(low) if low is not None else "1970-01-01").cast("date"), F.col("__i")).alias("day")]
-    for p in periods:
-        s = F.col(f"s{p}")[F.col("__i")] / F.lit(unit)
-        n = F.col(f"n{p}")[F.col("__i")]
-        out += [s.alias(f"sum_{p}d"), F.when(n > 0, s / n).alias(f"avg_{p}d")]
-    return flat.select(*out)
+    # Totals are computed once for each state, before it is spread over its days.
+    spread = totals(states.withColumn("day", F.date_add(F.lit(str(low) if low is not None else "1970-01-01").cast("date"), F.col("__from"))),
+                    entity, periods, decimals, "__days").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__days") - 1)))
+    return spread.withColumn("day", F.date_add("day", F.col("__i"))).drop("__days", "__i")
 
 
 def state_on(daily: DataFrame, entity: Sequence[str], day: str, periods: Sequence[int] = PERIODS,
@@ -205,10 +208,11 @@ def current(states: DataFrame, entity: Sequence[str]) -> DataFrame:
     return states.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def totals(states: DataFrame, entity: Sequence[str], periods: Sequence[int] = PERIODS, decimals: int = 2) -> DataFrame:
-    """Sums and averages in the amount's unit, of a table of states."""
+def totals(states: DataFrame, entity: Sequence[str], periods: Sequence[int] = PERIODS, decimals: int = 2,
+           *keep: str) -> DataFrame:
+    """Sums and averages in the amount's unit, of a table of states; ``keep``: further columns."""
     unit = float(10**decimals)
-    out = [*entity, "day"]
+    out = [*entity, "day", *keep]
     for p in periods:
         s = F.col(f"s{p}") / F.lit(unit)
         out += [s.alias(f"sum_{p}d"), F.when(F.col(f"n{p}") > 0, s / F.col(f"n{p}")).alias(f"avg_{p}d")]
